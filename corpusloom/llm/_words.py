@@ -99,7 +99,7 @@ class Words:
         return at, span_hash(self.hash, at, at + k, _BASE2)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """The batches cut so that each piece has about `most` bytes of text, or one longer text."""
     for batch in batches:
         texts = batch.column(column)

@@ -164,7 +164,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text", least_share: float = L
             end = np.append(start[1:], len(points))
             k, some, n = np.unique(span_hash(points.astype(np.uint64) + np.uint64(1), start, end, _bpe._BASE3), return_index=True, return_counts=True)
             seen += len(start)
-            fresh = np.flatnonzero((n >= 2) & ~np.isin(k, keys, assume_unique=True)) if len(keys) < MOST_WORDS * 8 else []
+            fresh = np.flatnonzero((n >= 2) & ~np.isin(k, keys, assume_unique=True)) if len(keys) < MOST_WORDS * 4 else []
             names.update((int(k[i]), joined[start[some[i]] : end[some[i]]]) for i in fresh)
             both = np.concatenate([keys, k[fresh]])
             keys, order = np.unique(both, return_index=True)
