@@ -1,8 +1,47 @@
-"""Stages from raw documents to token ids."""
+"""Stages from raw documents to token ids, each over all that the one before kept.
 
-STAGES: list = []
+Quality rules drop documents, line dedup rewrites texts (a document may be left empty), the n-gram join keeps one
+document of each group of near copies, decontamination drops documents that hold benchmark windows, and BPE encodes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from corpusloom.llm._store import written
+from corpusloom.llm.queries import table, tokenizer
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs, width=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, tokenizer())
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_join", near_copies), ("decontaminate", benchmark), ("bpe", tokens)]
+
+#: SQL has no byte-pair encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
