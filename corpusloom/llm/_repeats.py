@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
             end = np.flatnonzero(after) + 1
             r = np.searchsorted(w.offsets, begin, side="right") - 1
             n, none = len(begin), pa.nulls
-            yield pa.record_batch([pa.array(names[r]), pa.array((begin - w.offsets[r]).astype(np.int32)), pa.array((end - w.offsets[r]).astype(np.int32)), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], ["id", "start", "end", "shard", "anchor_at", "words"])
+            yield pa.record_batch([pa.array(names[r]), pa.array((begin - w.offsets[r]).astype(np.int32)), pa.array((end - w.offsets[r]).astype(np.int32)), pa.array(mix(names[r].view(U64)).view(np.int64)), none(n, pa.int32()), none(n, pa.binary())], ["id", "start", "end", "shard", "anchor_at", "words"])
             a, b, anchor_at, anchor, ids, start = (x[~later] for x in (a, b, anchor_at, anchor, ids, start))
             if len(hot):
                 is_hot = np.isin(anchor, hot)
@@ -139,8 +140,7 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
             words = w.hash.view(np.uint8).reshape(-1, 8)[flat, :WIDTH]
             yield pa.record_batch([pa.array(ids), pa.array(start.astype(np.int32)), pa.array((start + sizes).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array((anchor_at - a).astype(np.int32)), binary_column(words, sizes * WIDTH)], ["id", "start", "end", "shard", "anchor_at", "words"])
 
-    sent = written(docs.mapInArrow(send, SEGMENTS), "segments")
-
+    # spans known to be later travel along with the segments, without words
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
 
@@ -162,6 +162,11 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
             return pa.record_batch([pa.array(ids[row[i]]), pa.array((start[row[i]] + nth[i]).astype(np.int32)), pa.array((start[row[j]] + nth[j] + length).astype(np.int32))], ["id", "start", "end"])
 
         for batch in batches:
+            known = pa.compute.is_null(batch.column("anchor_at"))
+            yield batch.filter(known).select(["id", "start", "end"])
+            batch = batch.filter(pa.compute.invert(known))
+            if not len(batch):
+                continue
             held.append(batch)
             rows += len(batch)
             if rows < INDEXED:
@@ -176,10 +181,9 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
         if rows:
             yield judge(pa.Table.from_batches(held))
 
-    known = sent.where("shard is null").select("id", "start", "end")
-    candidates = sent.where("shard is not null").repartition("shard").sortWithinPartitions("shard")
-    judged = candidates.mapInArrow(compare, "id bigint, start int, end int")
-    return known.unionByName(judged).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    sent = docs.mapInArrow(send, SEGMENTS).repartition("shard").sortWithinPartitions("shard")
+    found = sent.mapInArrow(compare, "id bigint, start int, end int")
+    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:

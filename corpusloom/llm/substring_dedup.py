@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import _repeats
 from ._words import slices
 
-LENGTH, GRAM = 20, 8
+LENGTH, GRAM = 20, 6
 
 
 class FMIndex:
