@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import diagnostics_queries, inventory_queries, prediction_queries, text_queries
+from corpusloom.plans import diagnostics_queries, inventory_queries, prediction_queries, streaming_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (inventory_queries, diagnostics_queries, prediction_queries, text_queries):
+for _module in (inventory_queries, diagnostics_queries, prediction_queries, text_queries, streaming_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -76,7 +76,7 @@ EVENT_KIND = "case event_type when 'signup' then 'created' when 'purchase' then
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, kind, path, ts."""
-    return table(spark, sf_dir, "events").select("event_id", F.expr(EVENT_KIND).alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/f"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("x"))).alias("path"), "ts")
+    return table(spark, sf_dir, "events").select("event_id", F.expr(EVENT_KIND).alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/f"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("x"))).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 FILE_EVENTS_SQL = f"file_events as (select event_id, {EVENT_KIND} as kind, 'u' || cast(user_id as string) || '/f' || coalesce(json_extract_string(props, '$.k'), 'x') as path, ts from events)"
