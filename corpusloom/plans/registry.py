@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import classify_queries, diagnostics_queries, inventory_queries, prediction_queries, streaming_queries, text_queries
+from corpusloom.plans import classify_queries, diagnostics_queries, inventory_queries, learner_queries, prediction_queries, report_queries, streaming_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (inventory_queries, diagnostics_queries, prediction_queries, text_queries, streaming_queries, classify_queries):
+for _module in (inventory_queries, diagnostics_queries, prediction_queries, text_queries, streaming_queries, classify_queries, report_queries, learner_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
