@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,8 +25,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df, computed once and reread from a table in the shared folder, which cuts its lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+#: The setting of the most rows in an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df, computed once and reread from a table in the shared folder, which cuts its lineage.
+
+    batch_rows bounds the Arrow batches of the job for rows that hold much; the session's setting is put back.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(BATCH)
+    if batch_rows:
+        spark.conf.set(BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    release(spark)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

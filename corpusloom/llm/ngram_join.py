@@ -21,23 +21,27 @@ result. Extra columns are dropped by `link` and kept by `keep_one`. Texts of any
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import binary_column
+from ._bitmap import may_hold
 from ._components import components
-from ._store import written
+from ._store import release, written
 from ._words import _BASE2, U64, Words, mix, slices, span_hash
 
 MOST_MATCHES = 4
 #: Comparing two sets costs as much as reading this many postings.
 COMPARE_COST = 16
 SKETCH_BITS, FILTER_BITS, BLOCK_BITS = 22, 26, 15
-REMEMBERED = 200_000
+REMEMBERED = 50_000
+#: Pairs in an Arrow batch, each with two sets, and texts in one.
+PAIR_ROWS, TEXT_ROWS = 500, 2000
 
 
 def sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,31 +92,47 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
         none = pa.nulls(len(heavy), pa.int64())
         yield pa.record_batch([none, none, none, none, pa.array(heavy), pa.array(sketch[heavy].astype(np.int64))], names)
 
-    return written(docs.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bucket bigint, heavy bigint"), "profile")
+    return written(docs.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bucket bigint, heavy bigint"), "profile", batch_rows=TEXT_ROWS)
 
 
-def postings(docs: DataFrame, prof: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, s1, s2, n, pos, m): the prefix tokens of every set, once a task at least."""
+def sketch_frequency(prof: DataFrame) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """Made on the driver, opened in a task: estimates of the tokens' document frequencies from the sketch."""
     heavy = prof.where("bucket is not null").groupBy("bucket").agg(F.sum("heavy").alias("heavy")).toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((heavy["bucket"].to_numpy(np.int64), np.minimum(heavy["heavy"].to_numpy(np.int64), 1 << 30).astype(np.int32)))
+    shared = prof.sparkSession.sparkContext.broadcast((heavy["bucket"].to_numpy(np.int64), np.minimum(heavy["heavy"].to_numpy(np.int64), 1 << 30).astype(np.int32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened() -> Callable[[np.ndarray], np.ndarray]:
         frequency = np.zeros(1 << SKETCH_BITS, np.int32)
         frequency[shared.value[0]] = shared.value[1]
-        seen: set = set()
-        for _, w in slices(batches, "t", True):
-            row, token, counts = sets(w, width)
+        return lambda token: frequency[bucket(token)]
+
+    return opened
+
+
+def postings(docs: DataFrame, sets_of: Callable[[Words], tuple], frequency: Callable, percent: int, lower: bool = True, most: int = MOST_MATCHES, places: Callable | None = None) -> DataFrame:
+    """(token, s1, s2, e): the prefix tokens of the sets that occur in two sets' prefixes, and a few others.
+
+    Two passes: the first counts the tokens, and the second sends those that a bitmap of fixed size knows as shared.
+    With places, which gives each set of a slice an id and a line, entries carry these too, the earliest of a task's
+    equal sets; and a token counts as shared only among sets whose sizes are near enough to reach the similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
+        estimate = frequency()
+        seen: dict = {}
+        for piece, w in slices(batches, "t", lower):
+            row, token, counts = sets_of(w)
             s1, s2 = signatures(token, counts)
-            often = frequency[bucket(token)]
+            often = estimate(token)
             order = np.lexsort((token, often, row))
             token, often = token[order], often[order]
             end = np.cumsum(counts)
+            ids, lines = places(piece, w) if places else (np.zeros(len(counts), np.int64),) * 2
             out: list[list] = [[], [], []]
             for i in np.flatnonzero(counts).tolist():
-                key = (int(s1[i]), int(s2[i]))
-                if key in seen:
+                key, place = (int(s1[i]), int(s2[i])), (int(ids[i]), int(lines[i]))
+                if key in seen and seen[key] <= place:
                     continue
-                seen.add(key)
+                seen[key] = place
                 n = int(counts[i])
                 a = int(end[i]) - n
                 least = -(-percent * n // 100)
@@ -120,7 +140,7 @@ def postings(docs: DataFrame, prof: DataFrame, width: int, percent: int) -> Data
                 cost = int(often[a : a + size].sum())
                 if cost:
                     best = cost * (1 + COMPARE_COST)
-                    for k in range(2, min(MOST_MATCHES, least) + 1):
+                    for k in range(2, min(most, least) + 1):
                         cost += int(often[a + n - least + k - 1])
                         if cost * (1 + COMPARE_COST / k) < best:
                             best, m, size = cost * (1 + COMPARE_COST / k), k, n - least + k
@@ -135,20 +155,50 @@ def postings(docs: DataFrame, prof: DataFrame, width: int, percent: int) -> Data
             total = np.cumsum(size)
             pos = np.arange(total[-1]) - np.repeat(total - size, size)
             flat = np.repeat(end[i] - counts[i], size) + pos
-            columns = [token[flat].view(np.int64), np.repeat(s1[i], size), np.repeat(s2[i], size), np.repeat(counts[i], size).astype(np.int32), pos.astype(np.int32), np.repeat(m, size).astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], ["token", "s1", "s2", "n", "pos", "m"])
+            prefix, n = token[flat], np.repeat(counts[i], size)
+            keys = [prefix]
+            if places:
+                level = np.floor(np.log(n) / (np.log(100 / percent) + 1e-9)).astype(np.int64)
+                keys = [mix(prefix + mix((level + k).astype(U64))) for k in (0, 1)]
+            if wanted is None:
+                columns = [np.concatenate(keys).view(np.int64), np.tile(np.repeat(s1[i], size), len(keys))]
+                yield pa.record_batch([pa.array(c) for c in columns], ["token", "s1"])
+                continue
+            live = np.zeros(len(prefix), bool)
+            for key in keys:
+                p = (key >> U64(64 - FILTER_BITS)).astype(np.int64)
+                live |= (wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
+            columns = [prefix.view(np.int64), np.repeat(s1[i], size), np.repeat(s2[i], size), n << 32 | pos << 8 | np.repeat(m, size)]
+            names = ["token", "s1", "s2", "e"]
+            if places:
+                columns += [np.repeat(ids[i], size), np.repeat(lines[i], size).astype(np.int32)]
+                names += ["id", "line"]
+            yield pa.record_batch([pa.array(c[live]) for c in columns], names)
+
+    both = docs.mapInArrow(run, "token bigint, s1 bigint").groupBy("token").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).where("least <> most")
+    wanted = bitmap_of(both, F.shiftrightunsigned("token", 64 - FILTER_BITS))
+    return docs.mapInArrow(lambda batches: run(batches, wanted), "token bigint, s1 bigint, s2 bigint, e bigint" + (", id bigint, line int" if places else ""))
+
+
+def bitmap_of(df: DataFrame, place: Column) -> Broadcast:
+    """A broadcast bitmap of 2^FILTER_BITS bits with those at the given places set."""
+    size = 1 << (BLOCK_BITS - 3)
+    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in df.select(place.alias("p")).groupBy(F.shiftright("p", BLOCK_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("m")).collect():
+        bitmap[r.b * size : (r.b + 1) * size] = np.frombuffer(r.m, np.uint8)
+    release(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(bitmap)
+
 
-    return docs.mapInArrow(run, "token bigint, s1 bigint, s2 bigint, n int, pos int, m int")
+def unpacked(entries: DataFrame) -> DataFrame:
+    """The entries with n, pos and m, which travel in one number e."""
+    return entries.withColumns({"n": F.shiftright("e", 32).cast("int"), "pos": F.shiftright("e", 8).bitwiseAND((1 << 24) - 1).cast("int"), "m": F.col("e").bitwiseAND(255).cast("int")}).drop("e")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, tokens): the sets of the wanted ids, and of a few others that share their place in a bitmap of fixed size."""
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    size = 1 << (BLOCK_BITS - 3)
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in wanted.select(place.alias("p")).groupBy(F.shiftright("p", BLOCK_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("m")).collect():
-        bitmap[r.b * size : (r.b + 1) * size] = np.frombuffer(r.m, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = bitmap_of(wanted, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -168,6 +218,21 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a's sets travel to b's."""
 
+    pairs = written(pairs, "pairs")
+    x, y = (tokens.where(may_hold(pairs, F.xxhash64(c), F.xxhash64("id"))).select(F.col("id").alias(c), F.col("tokens").alias(name)) for c, name in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(similar(percent), "a bigint, b bigint"), "links", batch_rows=PAIR_ROWS)
+
+
+def close(percent: int) -> Column:
+    """Of rows x and y of a block: sizes that can reach the similarity, and a token within the pair's prefixes."""
+    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    return F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.pos < x.n - {need} + least(x.m, y.m) and y.pos < y.n - {need} + least(x.m, y.m)")
+
+
+def similar(percent: int) -> Callable:
+    """An Arrow function that keeps the rows whose sets x and y are similar enough, without the sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -175,10 +240,9 @@ def verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select([c for c in batch.schema.names if c not in ("x", "y")]).filter(pa.array(good, pa.bool_()))
 
-    x, y = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return run
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,33 +251,37 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     prof = profile(docs, width)
     rows = prof.where("bucket is null").select("id", "n", "s1", "s2")
     classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("d"))
-    entries = postings(docs.where("id is not null"), prof, width, percent)
-    # blocks with two classes at least
-    entries = entries.repartition("token")
-    blocks = entries.groupBy("token").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).where("least <> most").select("token")
-    entries = entries.join(blocks, "token").join(classes, ["s1", "s2"]).groupBy("token", "d").agg(F.min(F.struct("pos", "n", "m")).alias("x")).select("token", "d", "x.*")
-    entries = written(entries, "postings")
-    tokens = written(token_sets(docs.where("id is not null"), entries.select(F.col("d").alias("id")).distinct(), width), "sets")
-
-    def close(x: str, y: str) -> Column:
-        """Sizes that can reach the similarity, and a token within the pair's prefixes."""
-        need = f"(({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent})"
-        return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {x}.pos < {x}.n - {need} + least({x}.m, {y}.m) and {y}.pos < {y}.n - {need} + least({x}.m, {y}.m)")
+    entries = postings(docs.where("id is not null"), lambda w: sets(w, width), sketch_frequency(prof), percent)
+    entries = entries.join(classes, ["s1", "s2"]).groupBy("token", "d").agg(F.min("e").alias("e"))
+    entries = unpacked(entries)
+    entries = written(entries, "postings", batch_rows=TEXT_ROWS)
+    tokens = written(token_sets(docs.where("id is not null"), entries.select(F.col("d").alias("id")).distinct(), width), "sets", batch_rows=TEXT_ROWS)
 
     # the most central document of a block is the one whose prefix has least before the block's token
     hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "d", "n", "m")).alias("h")).select("token", "h.*")
-    near = entries.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.d <> y.d") & close("x", "y")).groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).count()
+    near = entries.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.d <> y.d") & close(percent)).groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).count()
     near = near.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", "best.b")
-    links = written(verify(near, tokens, percent), "links")
-    first = components(links)
+    links = verify(near, tokens, percent)
+    first = written(components(links), "components")
     entries = entries.join(first.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
     entries = written(entries, "postings")
     hub_class = entries.groupBy("token").agg(F.min(F.struct("pos", "d", "c")).alias("h")).select("token", F.col("h.c").alias("hc"))
     rest = entries.join(hub_class, "token").where("c <> hc").drop("hc")
-    pairs = rest.alias("x").join(entries.alias("y"), F.expr("x.token = y.token and x.c <> y.c") & close("x", "y"))
-    pairs = pairs.groupBy(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).agg(F.countDistinct("x.token").alias("shared"), F.min(F.least("x.m", "y.m")).alias("need")).where("shared >= need").select("a", "b")
-    more = verify(pairs, tokens, percent)
-    found = components(links.unionByName(more))
+    pairs = rest.alias("x").join(entries.alias("y"), F.expr("x.token = y.token and x.c <> y.c") & close(percent))
+    ends = F.array_sort(F.array(F.struct("x.d", "x.c"), F.struct("y.d", "y.c")))
+    pairs = pairs.select(ends.alias("e"), "x.token", F.least("x.m", "y.m").alias("m")).groupBy("e").agg(F.countDistinct("token").alias("shared"), F.min("m").alias("need")).where("shared >= need")
+    pairs = written(pairs.select(*(F.col("e")[i][k].alias(n) for i, k, n in ((0, "d", "a"), (0, "c", "ca"), (1, "d", "b"), (1, "c", "cb"))), "shared"), "pairs")
+    # of two components the pair that shares most first; the others only if the two stay apart
+    lead = pairs.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max(F.struct("shared", "a", "b")).alias("x")).select("x.a", "x.b")
+    lead = written(lead, "pairs")
+    stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = stars.unionByName(verify(lead, tokens, percent))
+    second = written(components(links), "components")
+    name = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
+    apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
+    rest = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b").join(lead, ["a", "b"], "left_anti")
+    stars = second.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(stars.unionByName(verify(rest, tokens, percent)))
     named = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component_id"))
     out = rows.join(named, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

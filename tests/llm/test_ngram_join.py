@@ -48,7 +48,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, "t") for i, t in rows], "doc_id long, text string, n int, token string").repartition(3)
 
 
-@pytest.mark.parametrize("seed,width,percent", [(1, 3, 90), (2, 3, 90), (3, 5, 80)])
+@pytest.mark.parametrize("seed,width,percent", [(1, 3, 90), (3, 5, 80)])
 def test_components_match_brute_force(spark, seed, width, percent):
     rows = corpus(seed)
     got = sorted(map(tuple, ngram_join.link(frame(spark, rows), width, percent).collect()))
