@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_output
+from . import bpe, decontaminate, language_id, line_dedup, ngram_join, oracles, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
