@@ -28,6 +28,8 @@ from ._words import slices, span_hash
 
 #: Most words that the transducer holds, and the least share of some partition's pieces that a word must have.
 MOST_WORDS, LEAST_SHARE = 1 << 16, 1e-6
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 19
 
 
 class Transducer:
@@ -155,7 +157,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text", least_share: float = L
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, str] = {}
         keys, counts, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for piece, _ in slices(batches, "t"):
+        for piece, _ in slices(batches, "t", most=SLICE):
             joined = "\n".join(x for x in piece.column("t").to_pylist() if x)
             if not joined:
                 continue
@@ -211,7 +213,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         merges, special = shared.value
         lexicon = Transducer.open(SparkFiles.get(name))
         table = _bpe.PieceTable(lambda pieces: transduce(lexicon, merges, pieces))
-        for piece, _ in slices(batches, "t"):
+        for piece, _ in slices(batches, "t", most=SLICE):
             ids, counts = _bpe.encode_texts(piece.column("t").to_pylist(), table, special)
             yield pa.record_batch([piece.column("id"), binary_column(ids.astype("<u4"), counts * 4)], [id_col, "ids"])
 
@@ -230,7 +232,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, first, flat = shared.value
-        for piece, _ in slices(batches, ids_col):
+        for piece, _ in slices(batches, ids_col, most=4 * SLICE):
             texts = []
             for raw in piece.column(ids_col):
                 ids = np.frombuffer(raw.as_py() or b"", "<u4")
