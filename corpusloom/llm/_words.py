@@ -110,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool
             piece = batch.slice(i, j - i)
             yield piece, Words(piece.column(column), slice(i, j), lower)
             i = j
+        pa.default_memory_pool().release_unused()
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:

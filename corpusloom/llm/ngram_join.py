@@ -41,7 +41,11 @@ COMPARE_COST = 16
 SKETCH_BITS, FILTER_BITS, BLOCK_BITS = 22, 26, 15
 REMEMBERED = 50_000
 #: Pairs in an Arrow batch, each with two sets, and texts in one.
-PAIR_ROWS, TEXT_ROWS = 500, 2000
+PAIR_ROWS, TEXT_ROWS = 200, 2000
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 18
+#: Counts of a set's tokens by their top bits bound what two sets can share.
+BINS = 256
 
 
 def sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +85,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int32), 0
         names = ["id", "n", "s1", "s2", "bucket", "heavy"]
-        for piece, w in slices(batches, "t", True):
+        for piece, w in slices(batches, "t", True, SLICE):
             _, token, counts = sets(w, width)
             s1, s2 = signatures(token, counts)
             np.add.at(sketch, bucket(token), 1)
@@ -119,7 +123,7 @@ def postings(docs: DataFrame, sets_of: Callable[[Words], tuple], frequency: Call
     def run(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
         estimate = frequency()
         seen: dict = {}
-        for piece, w in slices(batches, "t", lower):
+        for piece, w in slices(batches, "t", lower, SLICE):
             row, token, counts = sets_of(w)
             s1, s2 = signatures(token, counts)
             often = estimate(token)
@@ -208,17 +212,21 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 p = batch.column("place").to_numpy()
                 yield batch.filter(pa.array((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0))
 
-        for piece, w in slices(chosen(), "t", True):
+        for piece, w in slices(chosen(), "t", True, SLICE):
             _, token, counts = sets(w, width)
-            yield pa.record_batch([piece.column("id"), binary_column(token, counts * 8)], ["id", "tokens"])
+            row = np.repeat(np.arange(len(counts)), counts)
+            bins = np.bincount(row * BINS + (token >> U64(56)).astype(np.int64), minlength=len(counts) * BINS).astype(np.uint32)
+            yield pa.record_batch([piece.column("id"), binary_column(token, counts * 8), binary_column(bins, np.full(len(counts), BINS * 4))], ["id", "tokens", "bins"])
 
-    return docs.select("id", "t", place.alias("place")).mapInArrow(run, "id bigint, tokens binary")
+    return docs.select("id", "t", place.alias("place")).mapInArrow(run, "id bigint, tokens binary, bins binary")
 
 
 def verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a's sets travel to b's."""
 
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     x, y = (tokens.where(may_hold(pairs, F.xxhash64(c), F.xxhash64("id"))).select(F.col("id").alias(c), F.col("tokens").alias(name)) for c, name in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(similar(percent), "a bigint, b bigint"), "links", batch_rows=PAIR_ROWS)
@@ -245,6 +253,38 @@ def similar(percent: int) -> Callable:
     return run
 
 
+def possible(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets' counts by bins don't rule the similarity out; sets themselves don't travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (x.sum(1) + y.sum(1) - most), pa.bool_()))
+
+    bins = tokens.select("id", "bins")
+    both = pairs.join(bins.select(F.col("id").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("id").alias("b"), F.col("bins").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def joined_up(first: DataFrame, pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The components (node, component) after comparing pairs (a, ca, b, cb, shared) of different ones.
+
+    Of two components the pair that shares most goes first; the others are compared only if the two stay apart.
+    """
+    pairs = written(pairs.join(possible(pairs.select("a", "b"), tokens, percent), ["a", "b"], "left_semi"), "pairs", batch_rows=TEXT_ROWS)
+    lead = pairs.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max(F.struct("shared", "a", "b")).alias("x")).select("x.a", "x.b")
+    lead = written(lead, "pairs")
+    stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = stars.unionByName(verify(lead, tokens, percent))
+    second = written(components(links), "components")
+    name = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
+    apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
+    rest = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b").join(lead, ["a", "b"], "left_anti")
+    stars = second.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(verify(rest, tokens, percent)))
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every document; component_id is the smallest id reachable over links."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
@@ -271,17 +311,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     ends = F.array_sort(F.array(F.struct("x.d", "x.c"), F.struct("y.d", "y.c")))
     pairs = pairs.select(ends.alias("e"), "x.token", F.least("x.m", "y.m").alias("m")).groupBy("e").agg(F.countDistinct("token").alias("shared"), F.min("m").alias("need")).where("shared >= need")
     pairs = written(pairs.select(*(F.col("e")[i][k].alias(n) for i, k, n in ((0, "d", "a"), (0, "c", "ca"), (1, "d", "b"), (1, "c", "cb"))), "shared"), "pairs")
-    # of two components the pair that shares most first; the others only if the two stay apart
-    lead = pairs.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max(F.struct("shared", "a", "b")).alias("x")).select("x.a", "x.b")
-    lead = written(lead, "pairs")
-    stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = stars.unionByName(verify(lead, tokens, percent))
-    second = written(components(links), "components")
-    name = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
-    apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
-    rest = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b").join(lead, ["a", "b"], "left_anti")
-    stars = second.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(stars.unionByName(verify(rest, tokens, percent)))
+    found = first if pairs.isEmpty() else joined_up(first, pairs, tokens, percent)
     named = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component_id"))
     out = rows.join(named, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
