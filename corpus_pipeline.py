@@ -15,7 +15,7 @@ from corpusloom.llm.queries import table, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"), in_sequence=True)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

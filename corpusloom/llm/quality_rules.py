@@ -7,6 +7,10 @@ the good ones". Holm's correction over all cutoffs, rules and strata keeps the c
 its promise at `delta`. The lowest cutoff that passes is used; a rule without one isn't used. The risk is parted
 evenly among the rules, so that all rules together reject at most `risk` of a stratum's good documents.
 
+With `in_sequence` the cutoffs of a rule and stratum are tested from the loosest down to the first that fails. The 19
+cutoffs then share one level, delta / (rules x strata), by Bonferroni's inequality over rules and strata: the same
+promise from fewer labels (`least_labels`). `uncertified` lists the strata and rules that still have no cutoff.
+
 Null texts have no words and fail the base rules. Null strata are one stratum. Labels that name no document, or whose
 quality is null, don't count; a document labelled twice counts twice. Repeated rows keep a row each; an empty table
 gives an empty result; without labels only the base rules act. Extra columns are dropped by `judge` and kept by
@@ -82,14 +86,18 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(terms, start, step, lambda a: a["sum"]))
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, grid: tuple[int, ...] = GRID, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """(stratum, rule, cutoff): the lowest cutoff of each rule and stratum that Holm's test passes."""
+def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, grid: tuple[int, ...] = GRID, id_col: str = "doc_id", quality_col: str = "quality", in_sequence: bool = False) -> DataFrame:
+    """(stratum, rule, cutoff): the lowest cutoff of each rule and stratum that Holm's test, or the test in sequence, passes."""
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("id"))
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), v.alias("v")) for r, v in values().items())))
     held = feats.where(~base_failed()).join(good, "id").select("stratum", each.alias("x")).select("stratum", "x.*")
     tests = held.groupBy("stratum", "rule").agg(F.count("v").alias("n"), *(F.count_if(F.col("v") > c).alias(f"c{c}") for c in grid))
     tests = tests.select("stratum", "rule", "n", F.explode(F.array(*(F.struct(F.lit(c).cast("bigint").alias("cutoff"), F.col(f"c{c}").alias("k")) for c in grid))).alias("x")).select("stratum", "rule", "n", "x.*")
     tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)))
+    if in_sequence:
+        down = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
+        tests = tests.withColumn("bad", (F.col("p") > F.lit(delta) * len(grid) / F.count("p").over(Window.partitionBy())).cast("int"))
+        return tests.withColumn("stop", F.max("bad").over(down)).where("stop = 0").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
     # Holm: from the least p on, all pass until one is above delta / (tests left); the table has a row per test
     order = Window.orderBy("p", "stratum", "rule", "cutoff")
     tests = tests.withColumn("bad", (F.col("p") > F.lit(delta) / (F.count("p").over(Window.partitionBy()) - F.row_number().over(order) + 1)).cast("int"))
@@ -97,10 +105,24 @@ def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: floa
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def least_labels(strata: int, risk: float = RISK, delta: float = DELTA, in_sequence: bool = False) -> int:
+    """The good labels that a stratum needs before a cutoff that rejects none of them can be chosen first."""
+    import math
+
+    tests = strata * len(RULES) * (1 if in_sequence else len(GRID))
+    return math.ceil(math.log(delta / tests) / math.log1p(-risk / len(RULES)))
+
+
+def uncertified(feats: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(stratum, rule): of `features`, those without a cutoff in `chosen`; there the rule rejects nothing."""
+    every = feats.select("stratum").distinct().select("stratum", F.explode(F.array(*map(F.lit, RULES))).alias("rule"))
+    return every.join(chosen, ["stratum", "rule"], "left_anti")
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", in_sequence: bool = False) -> DataFrame:
     """(id_col, the counts, base_failed, failed_rules, kept) of every document."""
     feats = written(features(docs, id_col, text_col, stratum_col), "features")
-    chosen = cutoffs(feats, labels, risk, delta, id_col=id_col).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    chosen = cutoffs(feats, labels, risk, delta, id_col=id_col, in_sequence=in_sequence).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
     df = feats.join(chosen, "stratum", "left")
     failed = F.array_compact(F.array(*(F.when(v > F.col(f"cut_{r}"), F.lit(r)) for r, v in values().items())))
     df = df.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)

@@ -60,3 +60,25 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "decontaminate", "bpe"]
+
+
+def test_quality_stage_uses_the_labels(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import quality_rules
+
+    r = random.Random(7)
+    words = lambda mark: " ".join("w%d%s" % (r.randrange(10**6), mark) for _ in range(60))
+    rows = [(i, words("" if i < 2000 else "###"), "en") for i in range(2050)] + [(3000 + i, words("###"), "fr") for i in range(5)]
+    spark.createDataFrame([(i, int(i < 2000)) for i in range(2050)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    assert quality_rules.least_labels(1, in_sequence=True) <= 2000 < quality_rules.least_labels(1)
+    got = {x.doc_id for x in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
+    assert got == {*range(2000), *range(3000, 3005)}
+    feats = quality_rules.features(docs)
+    chosen = quality_rules.cutoffs(feats, labels, in_sequence=True)
+    assert {(x.stratum, x.rule) for x in quality_rules.uncertified(feats, chosen).collect()} == {("fr", rule) for rule in quality_rules.RULES}
+    # 1,000 good labels prove nothing at this risk
+    few = labels.where(F.col("doc_id") < 1000)
+    assert quality_rules.cutoffs(feats, few, in_sequence=True).count() == 0
