@@ -82,3 +82,9 @@ def test_quality_stage_uses_the_labels(spark, tmp_path):
     # 1,000 good labels prove nothing at this risk
     few = labels.where(F.col("doc_id") < 1000)
     assert quality_rules.cutoffs(feats, few, in_sequence=True).count() == 0
+
+
+def test_line_stage_drops_short_repeats(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three\n重複した行です"), (2, "重複した行です\none two three\nfour")], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()}
+    assert got == {1: "one two three\n重複した行です", 2: "four"}
