@@ -1,7 +1,9 @@
-"""A bitmap of fixed size that tells which 64-bit keys may be wanted, so that the others needn't travel."""
+"""Bitmaps of fixed size that tell which 64-bit keys may be wanted, so that the others needn't travel."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,23 @@ from ._store import written
 
 #: The bitmap has 2^WORD_BITS longs: 8 million bits in one megabyte. Fuller bitmaps let more keys pass, and lose none.
 WORD_BITS = 17
+#: The broadcast bitmap has 2^FILTER_BITS bits, eight megabytes, gathered in blocks of 2^BLOCK_BITS.
+FILTER_BITS, BLOCK_BITS = 26, 15
+
+
+def bitmap_of(df: DataFrame, place: Column) -> Broadcast:
+    """A broadcast bitmap of 2^FILTER_BITS bits with those at the given places set."""
+    size = 1 << (BLOCK_BITS - 3)
+    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in df.select(place.alias("p")).groupBy(F.shiftright("p", BLOCK_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("m")).collect():
+        bitmap[r.b * size : (r.b + 1) * size] = np.frombuffer(r.m, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def held(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the top bits of each key are set in a bitmap made by `bitmap_of`."""
+    p = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
 
 
 def may_hold(wanted: DataFrame, wanted_key: Column, key: Column) -> Column:

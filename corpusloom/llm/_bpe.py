@@ -11,9 +11,8 @@ import json
 import numpy as np
 import regex
 
-from ._words import U64, span_hash
+from ._words import U64, keyed_hash, new_key
 
-_BASE3 = 0x94D049BB133111EB
 #: The white space of the pattern, and the contractions behind an apostrophe.
 _SPACE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SHORT = ("s", "t", "m", "d")
@@ -153,15 +152,19 @@ class Merges:
 
 
 class PieceTable:
-    """Ids of the pieces seen so far in this Python worker, at most `most` of them; `encode` gives those of new ones."""
+    """Ids of the pieces seen so far in this Python worker, at most `most` of them; `encode` gives those of new ones.
+
+    Pieces are told apart by a 64-bit hash with a random key of this table's own. Pieces of up to two characters never
+    collide, and others not by design.
+    """
 
     def __init__(self, encode, most: int = 1 << 20):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.key = encode, most, new_key()
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.first = np.zeros(0, U64), np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.ids = np.zeros(0, np.uint32)
         self.place = np.zeros(0, np.int64)
 
     def look_up(self, keys: np.ndarray, texts) -> np.ndarray:
@@ -177,7 +180,7 @@ class PieceTable:
             ids, counts = self.encode(texts(new))
             base = len(self.first) - 1
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
             self.keys = np.insert(self.keys, at[new], keys[new])
             self.place = np.insert(self.place, at[new], base + np.arange(len(new)))
             at = np.searchsorted(self.keys, keys)
@@ -207,7 +210,7 @@ def encode_texts(texts: list[str], table: PieceTable, special: dict[str, int]) -
             parts.append(t)
             owner.append(i)
     counts = np.zeros(len(texts), np.int64)
-    ids, part_counts = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    ids, part_counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     if parts:
         joined = "".join(parts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -215,7 +218,7 @@ def encode_texts(texts: list[str], table: PieceTable, special: dict[str, int]) -
         first = np.cumsum(sizes) - sizes
         start = split(points, first)
         end = np.append(start[1:], len(points))
-        key = span_hash(points.astype(U64) + U64(1), start, end, _BASE3)
+        key = keyed_hash(points.view(np.uint8), start * 4, end * 4, table.key)
         keys, some, back = np.unique(key, return_index=True, return_inverse=True)
         rows = table.look_up(keys, lambda new: [joined[a:b] for a, b in zip(start[some[new]].tolist(), end[some[new]].tolist(), strict=True)])[back]
         begin, n = table.first[rows], table.first[rows + 1] - table.first[rows]

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from ._arrow import binary_column
 from ._store import written
-from ._words import U64, Words, mix, slices, span_hash, window_min
+from ._words import U64, Words, mix, new_key, slices, span_hash, window_min
 
 BITS, BLOCK_BITS = 26, 15
 #: An anchor with more occurrences than this, and than this share of all, is parted window by window.
 HOT_COUNT, HOT_SHARE = 4096, 1 / 65536
 #: Different segments that a task remembers, and rows of a shard that are indexed at once if their anchors allow it.
 REMEMBERED, INDEXED = 200_000, 24_000
-#: Words travel as the low six bytes of their hashes.
+#: Words travel as the low six bytes of their hashes, whose key is drawn for each run; the anchor's words agree in 64 bits.
 WIDTH = 6
 SEGMENTS = "id bigint, start int, end int, shard bigint, anchor_at int, words binary"
 
@@ -53,13 +53,13 @@ def segments(w: Words, length: int, gram: int, hot: np.ndarray | None = None) ->
     return first[i], first[last] + length, at[least[i]], value[least[i]]
 
 
-def repeated_anchors(docs: DataFrame, length: int, gram: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def repeated_anchors(docs: DataFrame, length: int, gram: int, lower: bool, key: int) -> tuple[np.ndarray, np.ndarray]:
     """The bitmap of anchors that occur twice or more, and the hot ones (at most 1 / HOT_SHARE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w in slices(batches, "t", lower):
-            key, n = np.unique(segments(w, length, gram)[3], return_counts=True)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+        for _, w in slices(batches, "t", lower, key=key):
+            anchor, n = np.unique(segments(w, length, gram)[3], return_counts=True)
+            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
     counts = docs.mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     counts = written(counts, "anchors")
@@ -80,14 +80,14 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
     Earlier is: of a smaller id, or of the same id with a smaller start. shard(ids, starts, words, sizes, anchors) gets
     the segments of whole anchors and returns a flag for each of their windows, laid end to end.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, new_key()
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    shared = spark.sparkContext.broadcast(repeated_anchors(docs, length, gram, lower))
+    shared = spark.sparkContext.broadcast(repeated_anchors(docs, length, gram, lower, key))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = shared.value
         seen: dict[int, tuple[int, int]] = {}
-        for piece, w in slices(batches, "t", lower):
+        for piece, w in slices(batches, "t", lower, key=key):
             a, b, anchor_at, anchor = segments(w, length, gram, hot)
             place = (anchor >> U64(64 - BITS)).astype(np.int64)
             live = (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
@@ -106,9 +106,9 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
             tie[1:] &= (ids[order[1:]] == ids[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
             later = np.ones(len(a), bool)
             first = order[lead]
-            for i, key, place in zip(first.tolist(), same[first].tolist(), zip(ids[first].tolist(), start[first].tolist(), strict=True), strict=True):
-                if key not in seen or place <= seen[key]:
-                    seen[key] = place
+            for i, known, place in zip(first.tolist(), same[first].tolist(), zip(ids[first].tolist(), start[first].tolist(), strict=True), strict=True):
+                if known not in seen or place <= seen[known]:
+                    seen[known] = place
                     later[i] = False
             if tie.any():
                 for i, j in zip(order[:-1][tie[1:]].tolist(), order[1:][tie[1:]].tolist(), strict=True):
@@ -172,8 +172,8 @@ def find(docs: DataFrame, length: int, gram: int, shard: Callable, lower: bool =
             if rows < INDEXED:
                 continue
             t = pa.Table.from_batches(held)
-            key = t["shard"].to_numpy()
-            edge = np.flatnonzero(key[1:] != key[:-1])
+            place = t["shard"].to_numpy()
+            edge = np.flatnonzero(place[1:] != place[:-1])
             if len(edge):
                 cut = int(edge[-1]) + 1
                 yield judge(t.slice(0, cut))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,10 @@ import pyarrow as pa
 import pyarrow.compute
 
 U64 = np.uint64
-_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BASE2 = 0xC2B2AE3D27D4EB4F
+#: Bytes of a word that are mixed in numpy, and masks of the low bytes of eight.
+LONGEST = 64
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: The separators of words, ASCII space and \t \n \v \f \r.
@@ -43,8 +48,38 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def new_key() -> int:
+    """A random key for the hashes of one run, drawn on the driver: texts can't be made to collide beforehand."""
+    return secrets.randbits(64)
+
+
+def keyed_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """A 64-bit hash of the bytes data[s:e] for every pair of start and end.
+
+    Eight bytes at a time go through a bijective mix, so that spans of up to eight bytes never collide; what is beyond
+    LONGEST bytes goes through BLAKE2b with the same key.
+    """
+    size = (end - start).astype(np.int64)
+    h = mix(size.astype(U64) * U64(0x165667B19E3779F9) ^ U64(key))
+    if not len(size):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size)
+    for at in range(0, LONGEST, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            return h
+        chunk = eight[start[live] + at] & _LOW[np.minimum(size[live] - at, 8)]
+        h[live] = mix(h[live] ^ chunk)
+    for i in live[size[live] > LONGEST].tolist():
+        rest = hashlib.blake2b(data[start[i] + LONGEST : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+        h[i] = mix(h[i : i + 1] ^ np.frombuffer(rest, "<u8"))[0]
+    return h
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for every pair of starts and ends."""
+    """A 64-bit hash of the short runs values[s:e] of hashes, for every pair of starts and ends."""
     if not len(starts):
         return np.zeros(0, U64)
     up, down = powers(base, len(values))
@@ -56,10 +91,10 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
 class Words:
     """Words of the texts of one slice: byte spans (start, end), hash, and offsets: text i has words offsets[i] to offsets[i + 1]."""
 
-    __slots__ = ("data", "text_at", "start", "end", "hash", "offsets", "rows")
+    __slots__ = ("data", "text_at", "start", "end", "offsets", "rows", "key", "_hash")
 
-    def __init__(self, texts: pa.Array, rows: slice, lower: bool):
-        self.rows = rows
+    def __init__(self, texts: pa.Array, rows: slice, lower: bool, key: int = 0):
+        self.rows, self.key, self._hash = rows, key, None
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -80,7 +115,12 @@ class Words:
             start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
         self.start, self.end = start, end
         self.offsets = np.searchsorted(start, self.text_at)
-        self.hash = span_hash(self.data.astype(U64) + U64(1), start, end, _BASE)
+
+    @property
+    def hash(self) -> np.ndarray:
+        if self._hash is None:
+            self._hash = keyed_hash(self.data, self.start, self.end, self.key)
+        return self._hash
 
     @property
     def counts(self) -> np.ndarray:
@@ -99,7 +139,7 @@ class Words:
         return at, span_hash(self.hash, at, at + k, _BASE2)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False, most: int = 1 << 20, key: int = 0) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """The batches cut so that each piece has about `most` bytes of text, or one longer text."""
     for batch in batches:
         texts = batch.column(column)
@@ -108,7 +148,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool
         while i < len(sizes):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most)))
             piece = batch.slice(i, j - i)
-            yield piece, Words(piece.column(column), slice(i, j), lower)
+            yield piece, Words(piece.column(column), slice(i, j), lower, key)
             i = j
         pa.default_memory_pool().release_unused()
 

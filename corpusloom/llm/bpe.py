@@ -12,7 +12,6 @@ are dropped, whatever their names. A text of any length is encoded whole.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import _bpe
 from ._arrow import binary_column
-from ._words import slices, span_hash
+from ._store import shared_dir
+from ._words import keyed_hash, new_key, slices
 
 #: Most words that the transducer holds, and the least share of some partition's pieces that a word must have.
 MOST_WORDS, LEAST_SHARE = 1 << 16, 1e-6
@@ -81,23 +81,24 @@ class Transducer:
         return cls({
             "key": np.array([*key, 1 << 62], np.int64), "target": np.array([*target, 0], np.int64), "skip": np.array([*skip, 0], np.int64),
             "final": np.array([*(x[0] for x in states), root], np.int64),  # the last entry is the root's number
-            "first": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), "ids": np.array([i for w in order for i in words[w]], np.uint16),
+            "first": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), "ids": np.array([i for w in order for i in words[w]], np.uint32),
         })
 
+    def to_bytes(self) -> bytes:
+        """All arrays as one file: a line of their lengths, then their bytes."""
+        head = " ".join(str(len(getattr(self, k))) for k in self.FIELDS).encode()
+        return head.ljust(128) + b"".join(np.ascontiguousarray(getattr(self, k)).tobytes() for k in self.FIELDS)
+
     def save(self, path: str) -> None:
-        """All arrays in one file: a line of their lengths, then their bytes."""
         with open(path, "wb") as f:
-            head = " ".join(str(len(getattr(self, k))) for k in self.FIELDS).encode()
-            f.write(head.ljust(128))
-            for k in self.FIELDS:
-                f.write(np.ascontiguousarray(getattr(self, k)).tobytes())
+            f.write(self.to_bytes())
 
     @classmethod
     def open(cls, path: str) -> Transducer:
         data = np.memmap(path, np.uint8, "r")
         arrays, at = {}, 128
         for k, n in zip(cls.FIELDS, map(int, bytes(data[:128]).split()), strict=True):
-            kind = np.uint16 if k == "ids" else np.int64
+            kind = np.uint32 if k == "ids" else np.int64
             end = at + n * np.dtype(kind).itemsize
             arrays[k] = data[at:end].view(kind)
             at = end
@@ -141,7 +142,7 @@ def transduce(lexicon: Transducer, merges: _bpe.Merges, pieces: list[str]) -> tu
     made = np.zeros(0, np.int64)
     if len(rest):
         made, counts[rest] = merges.apply(data[np.repeat(~known, sizes)], sizes[rest])
-    ids = np.zeros(counts.sum(), np.uint16)
+    ids = np.zeros(counts.sum(), np.uint32)
     is_known = np.repeat(known, counts)
     ids[~is_known] = made
     n = counts[known]
@@ -156,6 +157,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text", least_share: float = L
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, str] = {}
+        own = new_key()
         keys, counts, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for piece, _ in slices(batches, "t", most=SLICE):
             joined = "\n".join(x for x in piece.column("t").to_pylist() if x)
@@ -164,7 +166,7 @@ def count_pieces(docs: DataFrame, text_col: str = "text", least_share: float = L
             points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
             start = _bpe.split(points, np.zeros(1, np.int64))
             end = np.append(start[1:], len(points))
-            k, some, n = np.unique(span_hash(points.astype(np.uint64) + np.uint64(1), start, end, _bpe._BASE3), return_index=True, return_counts=True)
+            k, some, n = np.unique(keyed_hash(points.view(np.uint8), start * 4, end * 4, own), return_index=True, return_counts=True)
             seen += len(start)
             fresh = np.flatnonzero((n >= 2) & ~np.isin(k, keys, assume_unique=True)) if len(keys) < MOST_WORDS * 4 else []
             names.update((int(k[i]), joined[start[some[i]] : end[some[i]]]) for i in fresh)
@@ -191,9 +193,11 @@ def compile_lexicon(spark: SparkSession, docs: DataFrame, merges: _bpe.Merges, t
         at = np.concatenate([[0], np.cumsum(counts)])
         words = {p.encode("utf-8", "surrogatepass"): ids[at[i] : at[i + 1]].tolist() for i, p in enumerate(top)}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), name)
-    Transducer.build(words).save(path)
-    spark.sparkContext.addFile(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(Transducer.build(words).to_bytes())
+    out.close()
+    spark.sparkContext.addFile(path.toString())
     return name
 
 

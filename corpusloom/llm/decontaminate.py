@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh
 from ._words import slices
 
 WIDTH = 10
@@ -38,7 +40,7 @@ _TABLE = bytes(_TABLE)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = "array<struct<word_start: int, word_end: int, start: int, end: int>>"
 _SPAN = pa.list_(pa.struct([("word_start", pa.int32()), ("word_end", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-_automata: dict[int, ahocorasick.Automaton] = {}
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
 def normal(text: str) -> list[bytes]:
@@ -104,7 +106,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.array().cast(SPAN), "items": F.array().cast("array<string>")})
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(parts)) == k) if parts > 1 else items
-        shared = spark.sparkContext.broadcast((f"{id(items)}-{k}-{total}", patterns([tuple(r) for r in mine.collect()], width)))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, patterns([tuple(r) for r in mine.collect()], width)))
         last = k == parts - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
@@ -125,5 +127,6 @@ def digests(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any match, with all their columns; the matching ids, unique, are anti-joined."""
-    bad = scan(docs.where(F.col(id_col).isNotNull()), benchmark, width, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad_id"), "left_anti")
+    name = fresh(docs.columns, "bad_id")
+    bad = scan(docs.where(F.col(id_col).isNotNull()), benchmark, width, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(bad, F.col(id_col) == F.col(name), "left_anti")

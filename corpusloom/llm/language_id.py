@@ -24,8 +24,6 @@ from ._store import written
 from ._words import LOWER, slices
 
 BITS = 14
-#: Most languages, the most frequent of the labels.
-MOST_LANGUAGES = 256
 TEMPER, SMOOTH, BACK_OFF = 0.15, 0.5, 20.0
 ITEM = "host string, domain string, suffix string, declared string, hint string"
 
@@ -44,8 +42,8 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, smooth: float = SMOOTH) -> tuple[list[str], np.ndarray]:
-    """Languages of (text t, language lang), and their log probabilities of trigram buckets; both of bounded size."""
-    langs = sorted(r.lang for r in labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    """Languages of (text t, language lang), and their log probabilities of trigram buckets: 64 kB for each language of the labels."""
+    langs = [r.lang for r in labelled.select("lang").where("lang is not null").distinct().orderBy("lang").collect()]
     code = {x: i for i, x in enumerate(langs)}
     size = 1 << BITS
 

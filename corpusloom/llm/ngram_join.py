@@ -12,11 +12,14 @@ smaller m of the two.
 
 To learn components not every link is needed: first each document is compared with the most central document of its
 blocks; then only pairs of one block that are still in different components are joined, counted and verified. So a
-block of near copies costs a row for each, not one for each pair, and no link that could join components is lost.
-
-Documents without words have an empty set, link with nothing and are their own component. Rows that share an id are
-one node, with the links of all of them; rows without an id have a null component. An empty table gives an empty
-result. Extra columns are dropped by `link` and kept by `keep_one`. Texts of any length are read whole.
+block of near copies costs a row for each, not one for each pair, and no link that could join components is lost. In
+both rounds a pair must pass the length filter, the positional filter and parity sketches of 256 bits, which bound how
+many tokens two sets share, before texts travel; then the sets are made anew from the texts and compared.
+
+Words are hashed with a key drawn for each run. Documents without words have an empty set, link with nothing and are
+their own component. Rows that share an id are one node, with the links of all of them; rows without an id have a null
+component. An empty table gives an empty result. Extra columns are dropped by `link` and kept by `keep_one`, whatever
+their names. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,27 +28,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import binary_column
-from ._bitmap import may_hold
+from ._bitmap import bitmap_of, held, may_hold
 from ._components import components
-from ._store import release, written
-from ._words import _BASE2, U64, Words, mix, slices, span_hash
+from ._sets import LANES, near_enough, overlap_needed, parity, rarity, signatures, tallied
+from ._store import discard, fresh, written
+from ._words import _BASE2, U64, Words, new_key, slices, span_hash
 
 MOST_MATCHES = 4
 #: Comparing two sets costs as much as reading this many postings.
 COMPARE_COST = 16
-SKETCH_BITS, FILTER_BITS, BLOCK_BITS = 22, 26, 15
 REMEMBERED = 50_000
-#: Pairs in an Arrow batch, each with two sets, and texts in one.
+#: Pairs in an Arrow batch, each with two texts, and texts in one.
 PAIR_ROWS, TEXT_ROWS = 200, 2000
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 18
-#: Counts of a set's tokens by their top bits bound what two sets can share.
-BINS = 256
+ENTRY = ["token", "pos", "id", "s1", "n", "m", *LANES]
 
 
 def sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,255 +63,155 @@ def sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, token, np.bincount(row, minlength=len(w.counts))
 
 
-def totals(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive values, counts[i] of them each, modulo 2^64."""
-    run = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
+def prefixes(counts: np.ndarray, often: np.ndarray, percent: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matches m and the prefix length of every live set; often has the tokens' frequencies, rare ones first."""
     end = np.cumsum(counts)
-    return run[end] - run[end - counts]
-
-
-def signatures(token: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that depend on the set alone."""
-    return totals(mix(token), counts).view(np.int64), totals(mix(token ^ U64(0x5851F42D4C957F2D)), counts).view(np.int64)
-
-
-def bucket(token: np.ndarray) -> np.ndarray:
-    return (token >> U64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def profile(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, s1, s2) of every row, and (bucket, heavy) of heavy sketch buckets, in one written table."""
+    m, size = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for i in np.flatnonzero(live).tolist():
+        n = int(counts[i])
+        a = int(end[i]) - n
+        least = -(-percent * n // 100)
+        m[i], size[i] = 1, n - least + 1
+        cost = int(often[a : a + n - least + 1].sum())
+        if cost:
+            best = cost * (1 + COMPARE_COST)
+            for k in range(2, min(MOST_MATCHES, least) + 1):
+                cost += int(often[a + n - least + k - 1])
+                if cost * (1 + COMPARE_COST / k) < best:
+                    best, m[i], size[i] = cost * (1 + COMPARE_COST / k), k, n - least + k
+    return m, size
+
+
+def profile(docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
+    """(id, n, s1, s2, m, prefix, LANES) of every row; one of a task's equal sets, of the least id so far, has a prefix."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (sets(w, width)[1] for _, w in slices(batches, "t", True, SLICE, key))
+
+    often = rarity(tallied(docs, tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.int32), 0
-        names = ["id", "n", "s1", "s2", "bucket", "heavy"]
-        for piece, w in slices(batches, "t", True, SLICE):
-            _, token, counts = sets(w, width)
-            s1, s2 = signatures(token, counts)
-            np.add.at(sketch, bucket(token), 1)
-            seen += len(token)
-            none = pa.nulls(len(counts), pa.int64())
-            yield pa.record_batch([piece.column("id"), pa.array(counts.astype(np.int64)), pa.array(s1), pa.array(s2), none, none], names)
-        heavy = np.flatnonzero(sketch > 8 + 2 * seen / len(sketch))
-        none = pa.nulls(len(heavy), pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.array(heavy), pa.array(sketch[heavy].astype(np.int64))], names)
-
-    return written(docs.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bucket bigint, heavy bigint"), "profile", batch_rows=TEXT_ROWS)
-
-
-def sketch_frequency(prof: DataFrame) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """Made on the driver, opened in a task: estimates of the tokens' document frequencies from the sketch."""
-    heavy = prof.where("bucket is not null").groupBy("bucket").agg(F.sum("heavy").alias("heavy")).toPandas()
-    shared = prof.sparkSession.sparkContext.broadcast((heavy["bucket"].to_numpy(np.int64), np.minimum(heavy["heavy"].to_numpy(np.int64), 1 << 30).astype(np.int32)))
-
-    def opened() -> Callable[[np.ndarray], np.ndarray]:
-        frequency = np.zeros(1 << SKETCH_BITS, np.int32)
-        frequency[shared.value[0]] = shared.value[1]
-        return lambda token: frequency[bucket(token)]
-
-    return opened
-
-
-def postings(docs: DataFrame, sets_of: Callable[[Words], tuple], frequency: Callable, percent: int, lower: bool = True, most: int = MOST_MATCHES, places: Callable | None = None) -> DataFrame:
-    """(token, s1, s2, e): the prefix tokens of the sets that occur in two sets' prefixes, and a few others.
-
-    Two passes: the first counts the tokens, and the second sends those that a bitmap of fixed size knows as shared.
-    With places, which gives each set of a slice an id and a line, entries carry these too, the earliest of a task's
-    equal sets; and a token counts as shared only among sets whose sizes are near enough to reach the similarity.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[pa.RecordBatch]:
-        estimate = frequency()
-        seen: dict = {}
-        for piece, w in slices(batches, "t", lower, SLICE):
-            row, token, counts = sets_of(w)
+        estimate = often()
+        seen: dict[tuple[int, int], int] = {}
+        for piece, w in slices(batches, "t", True, SLICE, key):
+            row, token, counts = sets(w, width)
             s1, s2 = signatures(token, counts)
-            often = estimate(token)
-            order = np.lexsort((token, often, row))
-            token, often = token[order], often[order]
-            end = np.cumsum(counts)
-            ids, lines = places(piece, w) if places else (np.zeros(len(counts), np.int64),) * 2
-            out: list[list] = [[], [], []]
-            for i in np.flatnonzero(counts).tolist():
-                key, place = (int(s1[i]), int(s2[i])), (int(ids[i]), int(lines[i]))
-                if key in seen and seen[key] <= place:
-                    continue
-                seen[key] = place
-                n = int(counts[i])
-                a = int(end[i]) - n
-                least = -(-percent * n // 100)
-                m, size = 1, n - least + 1
-                cost = int(often[a : a + size].sum())
-                if cost:
-                    best = cost * (1 + COMPARE_COST)
-                    for k in range(2, min(most, least) + 1):
-                        cost += int(often[a + n - least + k - 1])
-                        if cost * (1 + COMPARE_COST / k) < best:
-                            best, m, size = cost * (1 + COMPARE_COST / k), k, n - least + k
-                out[0].append(i)
-                out[1].append(m)
-                out[2].append(size)
+            sketch = parity(token, counts)
+            frequency = estimate(token)
+            order = np.lexsort((token, frequency, row))
+            token, frequency = token[order], frequency[order]
+            live = np.zeros(len(counts), bool)
+            for i, (a, b, name, n) in enumerate(zip(s1.tolist(), s2.tolist(), piece.column("id").to_pylist(), counts.tolist(), strict=True)):
+                if n and name is not None and ((a, b) not in seen or name < seen[a, b]):
+                    seen[a, b] = name
+                    live[i] = True
             if len(seen) > REMEMBERED:
                 seen.clear()
-            i, m, size = (np.array(x, np.int64) for x in out)
-            if not len(i):
-                continue
+            m, size = prefixes(counts, frequency, percent, live)
             total = np.cumsum(size)
-            pos = np.arange(total[-1]) - np.repeat(total - size, size)
-            flat = np.repeat(end[i] - counts[i], size) + pos
-            prefix, n = token[flat], np.repeat(counts[i], size)
-            keys = [prefix]
-            if places:
-                level = np.floor(np.log(n) / (np.log(100 / percent) + 1e-9)).astype(np.int64)
-                keys = [mix(prefix + mix((level + k).astype(U64))) for k in (0, 1)]
-            if wanted is None:
-                columns = [np.concatenate(keys).view(np.int64), np.tile(np.repeat(s1[i], size), len(keys))]
-                yield pa.record_batch([pa.array(c) for c in columns], ["token", "s1"])
-                continue
-            live = np.zeros(len(prefix), bool)
-            for key in keys:
-                p = (key >> U64(64 - FILTER_BITS)).astype(np.int64)
-                live |= (wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0
-            columns = [prefix.view(np.int64), np.repeat(s1[i], size), np.repeat(s2[i], size), n << 32 | pos << 8 | np.repeat(m, size)]
-            names = ["token", "s1", "s2", "e"]
-            if places:
-                columns += [np.repeat(ids[i], size), np.repeat(lines[i], size).astype(np.int32)]
-                names += ["id", "line"]
-            yield pa.record_batch([pa.array(c[live]) for c in columns], names)
-
-    both = docs.mapInArrow(run, "token bigint, s1 bigint").groupBy("token").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).where("least <> most")
-    wanted = bitmap_of(both, F.shiftrightunsigned("token", 64 - FILTER_BITS))
-    return docs.mapInArrow(lambda batches: run(batches, wanted), "token bigint, s1 bigint, s2 bigint, e bigint" + (", id bigint, line int" if places else ""))
-
-
-def bitmap_of(df: DataFrame, place: Column) -> Broadcast:
-    """A broadcast bitmap of 2^FILTER_BITS bits with those at the given places set."""
-    size = 1 << (BLOCK_BITS - 3)
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in df.select(place.alias("p")).groupBy(F.shiftright("p", BLOCK_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("m")).collect():
-        bitmap[r.b * size : (r.b + 1) * size] = np.frombuffer(r.m, np.uint8)
-    release(df.sparkSession)
-    return df.sparkSession.sparkContext.broadcast(bitmap)
-
-
-def unpacked(entries: DataFrame) -> DataFrame:
-    """The entries with n, pos and m, which travel in one number e."""
-    return entries.withColumns({"n": F.shiftright("e", 32).cast("int"), "pos": F.shiftright("e", 8).bitwiseAND((1 << 24) - 1).cast("int"), "m": F.col("e").bitwiseAND(255).cast("int")}).drop("e")
-
-
-def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, tokens): the sets of the wanted ids, and of a few others that share their place in a bitmap of fixed size."""
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    shared = bitmap_of(wanted, place)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-
-        def chosen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = batch.column("place").to_numpy()
-                yield batch.filter(pa.array((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0))
+            flat = np.arange(total[-1] if len(total) else 0) + np.repeat(np.cumsum(counts) - counts - (total - size), size)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total]).astype(np.int32)), pa.array(token[flat].view(np.int64)))
+            columns = [piece.column("id"), pa.array(counts.astype(np.int64)), pa.array(s1), pa.array(s2), pa.array(m.astype(np.int32)), prefix, *map(pa.array, sketch)]
+            yield pa.record_batch(columns, ["id", "n", "s1", "s2", "m", "prefix", *LANES])
 
-        for piece, w in slices(chosen(), "t", True, SLICE):
-            _, token, counts = sets(w, width)
-            row = np.repeat(np.arange(len(counts)), counts)
-            bins = np.bincount(row * BINS + (token >> U64(56)).astype(np.int64), minlength=len(counts) * BINS).astype(np.uint32)
-            yield pa.record_batch([piece.column("id"), binary_column(token, counts * 8), binary_column(bins, np.full(len(counts), BINS * 4))], ["id", "tokens", "bins"])
+    lanes = ", ".join(f"{k} bigint" for k in LANES)
+    return written(docs.mapInArrow(run, f"id bigint, n bigint, s1 bigint, s2 bigint, m int, prefix array<bigint>, {lanes}"), "profile", batch_rows=TEXT_ROWS)
 
-    return docs.select("id", "t", place.alias("place")).mapInArrow(run, "id bigint, tokens binary, bins binary")
 
+def entries(prof: DataFrame) -> DataFrame:
+    """ENTRY: the prefix tokens that different sets have, and a few others that share their place in a bitmap."""
+    prof = prof.where("size(prefix) > 0")
+    shared = prof.select(F.explode("prefix").alias("token"), "s1").groupBy("token").agg(F.min("s1").alias("least"), F.max("s1").alias("most")).where("least <> most")
+    bitmap = bitmap_of(shared, F.shiftrightunsigned("token", 38))
 
-def verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; a's sets travel to b's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            size = np.diff(lists.offsets.to_numpy())
+            token = lists.flatten().to_numpy().view(U64)
+            row = np.repeat(np.arange(len(batch)), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            keep = held(bitmap.value, token)
+            yield pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(pos[keep].astype(np.int32)), *(batch.column(c).take(pa.array(row[keep])) for c in ENTRY[2:])], ENTRY)
 
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    x, y = (tokens.where(may_hold(pairs, F.xxhash64(c), F.xxhash64("id"))).select(F.col("id").alias(c), F.col("tokens").alias(name)) for c, name in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(similar(percent), "a bigint, b bigint"), "links", batch_rows=PAIR_ROWS)
+    lanes = ", ".join(f"{k} bigint" for k in LANES)
+    return prof.select("prefix", "id", "s1", F.col("n").cast("int").alias("n"), "m", *LANES).mapInArrow(run, f"token bigint, pos int, id bigint, s1 bigint, n int, m int, {lanes}")
 
 
 def close(percent: int) -> Column:
-    """Of rows x and y of a block: sizes that can reach the similarity, and a token within the pair's prefixes."""
-    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
-    return F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.pos < x.n - {need} + least(x.m, y.m) and y.pos < y.n - {need} + least(x.m, y.m)")
+    """Of entries x and y of a block: a token within the pair's prefixes, and sets that may be near enough."""
+    need = overlap_needed(percent)
+    return F.expr(f"x.pos < x.n - {need} + least(x.m, y.m) and y.pos < y.n - {need} + least(x.m, y.m)") & near_enough(percent)
 
 
-def similar(percent: int) -> Callable:
-    """An Arrow function that keeps the rows whose sets x and y are similar enough, without the sets."""
+def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
+    """The pairs (a, b) whose sets, made from their texts, are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            both = pa.record_batch([pa.concat_arrays([batch.column("x"), batch.column("y")])], ["t"])
+            found: list[np.ndarray] = []
+            for _, w in slices(iter([both]), "t", True, SLICE, key):
+                _, token, counts = sets(w, width)
+                found.extend(np.split(token, np.cumsum(counts)[:-1]))
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([c for c in batch.schema.names if c not in ("x", "y")]).filter(pa.array(good, pa.bool_()))
+            for x, y in zip(found[: len(batch)], found[len(batch) :], strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    texts = docs.where(may_hold(pairs.select(F.explode(F.array("a", "b")).alias("p")), F.xxhash64("p"), F.xxhash64("id")))
+    x, y = texts.select(F.col("id").alias("a"), F.col("t").alias("x")), texts.select(F.col("id").alias("b"), F.col("t").alias("y"))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links", batch_rows=PAIR_ROWS)
 
 
-def possible(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' counts by bins don't rule the similarity out; sets themselves don't travel."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(1)
-            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (x.sum(1) + y.sum(1) - most), pa.bool_()))
-
-    bins = tokens.select("id", "bins")
-    both = pairs.join(bins.select(F.col("id").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("id").alias("b"), F.col("bins").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def joined_up(first: DataFrame, pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def joined_up(first: DataFrame, pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The components (node, component) after comparing pairs (a, ca, b, cb, shared) of different ones.
 
     Of two components the pair that shares most goes first; the others are compared only if the two stay apart.
     """
-    pairs = written(pairs.join(possible(pairs.select("a", "b"), tokens, percent), ["a", "b"], "left_semi"), "pairs", batch_rows=TEXT_ROWS)
     lead = pairs.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).agg(F.max(F.struct("shared", "a", "b")).alias("x")).select("x.a", "x.b")
     lead = written(lead, "pairs")
     stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = stars.unionByName(verify(lead, tokens, percent))
-    second = written(components(links), "components")
+    second = components(stars.unionByName(check(lead)))
     name = lambda c: second.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
     apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
-    rest = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b").join(lead, ["a", "b"], "left_anti")
+    rest = written(pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where(apart).select("a", "b").join(lead, ["a", "b"], "left_anti"), "pairs")
+    discard(lead)
+    if rest.isEmpty():
+        return second
     stars = second.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(stars.unionByName(verify(rest, tokens, percent)))
+    return components(stars.unionByName(check(rest)))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every document; component_id is the smallest id reachable over links."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    prof = profile(docs, width)
-    rows = prof.where("bucket is null").select("id", "n", "s1", "s2")
-    classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("d"))
-    entries = postings(docs.where("id is not null"), lambda w: sets(w, width), sketch_frequency(prof), percent)
-    entries = entries.join(classes, ["s1", "s2"]).groupBy("token", "d").agg(F.min("e").alias("e"))
-    entries = unpacked(entries)
-    entries = written(entries, "postings", batch_rows=TEXT_ROWS)
-    tokens = written(token_sets(docs.where("id is not null"), entries.select(F.col("d").alias("id")).distinct(), width), "sets", batch_rows=TEXT_ROWS)
+    docs, key = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")), new_key()
+    prof = profile(docs, width, percent, key)
+    rows = prof.select("id", "n", "s1", "s2")
+    classes = written(rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("d")), "classes")
+    later = rows.join(classes, ["s1", "s2"]).where("id > d").select("id", "s1").distinct()
+    sent = written(entries(prof).join(later, ["id", "s1"], "left_anti").drop("s1"), "postings")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verify(pairs, docs, width, percent, key)
 
     # the most central document of a block is the one whose prefix has least before the block's token
-    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "d", "n", "m")).alias("h")).select("token", "h.*")
-    near = entries.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.d <> y.d") & close(percent)).groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).count()
-    near = near.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", "best.b")
-    links = verify(near, tokens, percent)
-    first = written(components(links), "components")
-    entries = entries.join(first.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
-    entries = written(entries, "postings")
-    hub_class = entries.groupBy("token").agg(F.min(F.struct("pos", "d", "c")).alias("h")).select("token", F.col("h.c").alias("hc"))
-    rest = entries.join(hub_class, "token").where("c <> hc").drop("hc")
-    pairs = rest.alias("x").join(entries.alias("y"), F.expr("x.token = y.token and x.c <> y.c") & close(percent))
-    ends = F.array_sort(F.array(F.struct("x.d", "x.c"), F.struct("y.d", "y.c")))
+    hubs = sent.groupBy("token").agg(F.min(F.struct("pos", "id", "n", "m", *LANES)).alias("h"), F.count("*").alias("many")).where("many > 1").select("token", "h.*")
+    near = sent.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.id <> y.id") & close(percent)).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).count()
+    near = written(near.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", "best.b"), "pairs")
+    first = components(check(near))
+    discard(near)
+    marked = written(sent.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "postings")
+    discard(sent)
+    hub_class = marked.groupBy("token").agg(F.min(F.struct("pos", "id", "c")).alias("h")).select("token", F.col("h.c").alias("hc"))
+    open_ = marked.join(hub_class, "token").where("c <> hc").drop("hc")
+    pairs = open_.alias("x").join(marked.alias("y"), F.expr("x.token = y.token and x.c <> y.c") & close(percent))
+    ends = F.array_sort(F.array(F.struct("x.id", "x.c"), F.struct("y.id", "y.c")))
     pairs = pairs.select(ends.alias("e"), "x.token", F.least("x.m", "y.m").alias("m")).groupBy("e").agg(F.countDistinct("token").alias("shared"), F.min("m").alias("need")).where("shared >= need")
-    pairs = written(pairs.select(*(F.col("e")[i][k].alias(n) for i, k, n in ((0, "d", "a"), (0, "c", "ca"), (1, "d", "b"), (1, "c", "cb"))), "shared"), "pairs")
-    found = first if pairs.isEmpty() else joined_up(first, pairs, tokens, percent)
+    pairs = written(pairs.select(*(F.col("e")[i][k].alias(n) for i, k, n in ((0, "id", "a"), (0, "c", "ca"), (1, "id", "b"), (1, "c", "cb"))), "shared"), "pairs")
+    discard(marked)
+    found = first if pairs.isEmpty() else joined_up(first, pairs, check)
     named = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component_id"))
     out = rows.join(named, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
@@ -319,5 +219,6 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those whose component has a smaller id, with all their columns."""
-    gone = link(docs, width, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "gone_id")
+    gone = link(docs, width, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

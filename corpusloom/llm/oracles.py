@@ -55,7 +55,7 @@ select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, coalesce(n_hit, 0
 
 #: Words ordered by exact counts: any order gives the same pairs.
 OP9 = f"""with l as (select doc_id, i, list_distinct(regexp_extract_all(x[i], '{_WORD}')) as w from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null))),
-e as (select doc_id, i, w, len(w) as n from l where len(w) >= 5),
+e as (select doc_id, i, w, len(w) as n from l where len(w) > 0),
 t as (select doc_id, i, n, unnest(w) as word from e),
 f as (select word, count(*) as c from t group by word),
 o as (select doc_id, i, n, word, row_number() over (partition by doc_id, i order by c, word) as nth from t join f using (word)),

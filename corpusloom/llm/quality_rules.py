@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._store import written
+from ._store import fresh, written
 
 RULES = ("symbols", "dup_lines", "repeats", "capitals")
 GRID = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90)
@@ -132,5 +132,6 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """The documents that pass, with all their columns. Rows that share an id stay only if all of them pass; rows without an id go."""
     verdict = judge(docs, labels, id_col=id_col, **more)
-    bad = verdict.where(~F.col("kept")).select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(bad, F.col(id_col) == F.col("_bad_id"), "left_anti")
+    name = fresh(docs.columns, "bad_id")
+    bad = verdict.where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return docs.where(F.col(id_col).isNotNull()).join(bad, F.col(id_col) == F.col(name), "left_anti")

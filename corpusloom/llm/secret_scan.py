@@ -54,6 +54,21 @@ def literal_score(value: str) -> int:
     return 1 + (n >= 12) + (n >= 20) + (entropy >= 3) + (entropy >= 4) + (kinds >= 2) + (kinds >= 3) - 3 * (" " in value)
 
 
+def name_before(text: str, at: int) -> str:
+    """The whole name that ends before place at, behind blanks, the colon of `:=`, quotes and a closing bracket; "" if there is none."""
+    i = at
+    for marks in (" ", ":", " ", '"', "'", "]", '"', "'"):
+        while i and text[i - 1] == marks:
+            i -= 1
+            if marks != " ":
+                break
+    j = i
+    while j and (text[j - 1].isascii() and text[j - 1].isalnum() or text[j - 1] in "_.$-"):
+        j -= 1
+    name = _NAME.search(text[j:i])
+    return name[0] if name else ""
+
+
 def lex(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, name, value) of every assigned literal; the value of a known name or a join is its text."""
     constants: dict[str, str] = {}
@@ -62,9 +77,7 @@ def lex(text: str) -> list[tuple[int, int, str, str]]:
         at = m.start()
         if at < done:
             continue
-        head = text[max(0, at - 80) : at].rstrip(" ").removesuffix(":").rstrip(" ")
-        head = head.removesuffix('"').removesuffix("'").removesuffix("]").removesuffix('"').removesuffix("'")
-        name = _NAME.search(head)
+        name = name_before(text, at)
         if not name:
             continue
         i = at + 1
@@ -90,8 +103,8 @@ def lex(text: str) -> list[tuple[int, int, str, str]]:
                 break
             i = more.end()
         if spans:
-            constants[name[0]] = value
-            out.append((spans[0][0], spans[-1][1], name[0], value))
+            constants[name] = value
+            out.append((spans[0][0], spans[-1][1], name, value))
             done = spans[-1][1] if spans[-1][1] > at and text[spans[0][0] - 1 : spans[0][0]] in ('"', "'", "`") else done
     return out
 
@@ -141,10 +154,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans) of every document."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_literal) of every document."""
     base = F.filter("spans", lambda s: s["kind"] != "literal")
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    return scan(docs).select("doc_id", *map(count, ORDER), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return scan(docs).select("doc_id", *map(count, ORDER[:3]), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), count(ORDER[3]))
 
 

@@ -84,3 +84,15 @@ def test_components_of_a_path(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(n)} | {100: 100, 101: 100}
     assert components(links.limit(0)).collect() == []
+
+
+def test_clashing_names_long_texts_and_words_made_to_collide(spark):
+    r = random.Random(5)
+    long = ["x%d" % r.randrange(10**6) for _ in range(20000)]
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, " ".join(long), 0, 0), (2, " ".join(long[:19900]), 0, 0), (3, a, 0, 0), (4, b, 0, 0), (5, " ".join(long[:9000]), 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, _gone_id int")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3, 4, 5]

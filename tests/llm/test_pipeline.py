@@ -40,7 +40,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     rows = [(i, t) for i, t in rows if not brute_counts(t)[5]]
-    gone = lines_brute(rows, 80, 5)
+    gone = lines_brute(rows)
     rows = [(i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ()))) for i, t in rows]
     kept = {i for i, n, c in links_brute(rows, 5, 80) if i == c}
     rows = [(i, t) for i, t in rows if i in kept]

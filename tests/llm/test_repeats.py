@@ -100,3 +100,22 @@ def test_rank_of_the_wavelet_matrix():
     bwt = text[index.sa - 1]
     c, i = rng.integers(1, 30, 50), rng.integers(0, index.n + 1, 50)
     assert index.rank(c, i).tolist() == [int((bwt[:b] == a).sum()) for a, b in zip(c, i)]
+
+
+def test_words_made_to_collide(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(i, " ".join("w%d" % j for j in range(49)) + " " + x) for i, x in enumerate((a, b))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.digests(frame(spark, [(i, " ".join(t.split()[30:])) for i, t in rows])).collect()}
+    assert got == {0: 0, 1: 0}
+    assert suffix_dedup.report(frame(spark, rows)).collect() == []
+
+
+def test_long_texts(spark):
+    r = random.Random(3)
+    words = ["x%d" % r.randrange(10**6) for _ in range(20000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5000:12000] + ["new"] + words[:60]))]
+    got = {x.doc_id: x.n_removed for x in substring_dedup.digests(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 7060}
+    assert [(x.doc_id, x.n_removed) for x in suffix_dedup.report(frame(spark, rows)).collect()] == [(2, 7060)]

@@ -8,7 +8,11 @@ from tokenizers import Tokenizer
 from corpusloom.llm import _bpe, bpe, token_output
 from corpusloom.llm.queries import tokenizer
 
-ODD = [(3, "Hello  world\n\n x<|endoftext|>é"), (1, None), (2, ""), (5, "a" * 5000), (5, "a" * 5000), (4, "don't 'tis 're ' \t\r\n 日本 🙂 ½ ٣\x85\x1c!"), (9, "  " * 400), (8, "<|endoftext|>")]
+ODD = [(3, "Hello  world\n\n x<|endoftext|>é"), (1, None), (2, ""), (5, "a" * 5000), (5, "a" * 5000), (4, "don't 'tis 're ' \t\r\n 日本 🙂 ½ ٣\x85\x1c!"), (9, "  " * 400), (8, "<|endoftext|>"), (7, "b"), (7, None), (7, "a b c"), (7, "")]
+#: Two words that a polynomial hash of letters modulo 2^64 can't tell apart, whatever its base.
+PAIR = ["a", "b"]
+for _ in range(10):
+    PAIR = [PAIR[0] + PAIR[1], PAIR[1] + PAIR[0]]
 
 
 @pytest.fixture(scope="module")
@@ -45,13 +49,27 @@ def test_documents_match_the_library(spark, library):
 def test_token_files(spark, library, rows):
     got = sorted(map(tuple, token_output.digests(frame(spark, rows), tokenizer()).collect()))
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    for i, t in sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode())):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == sorted(want)
 
 
+def test_rows_without_an_id_come_first(spark, library):
+    rows = [(None, "one"), (1, "two words"), (None, None)]
+    got = token_output.digests(frame(spark, rows), tokenizer()).collect()
+    assert sorted((r.start, r.doc_id, r.n_tokens) for r in got) == [(0, None, 1), (1, None, 2), (3, 1, 3)]
+
+
+def test_words_made_to_collide(spark, library):
+    got = {r.doc_id: r.ids_sha256 for r in bpe.digests(frame(spark, list(enumerate(PAIR))), tokenizer()).collect()}
+    crc = {r.doc_id: r.ids_crc32 for r in token_output.digests(frame(spark, list(enumerate(PAIR))), tokenizer()).collect()}
+    for i, t in enumerate(PAIR):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and crc[i] == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+
+
 def test_several_files_of_one_partition(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
     path = token_output.write_shards(docs, tokenizer(), shard_tokens=1000)
@@ -61,11 +79,12 @@ def test_several_files_of_one_partition(spark, library):
         assert ids[r.doc_id] == [*library.encode(r.text, add_special_tokens=False).ids, 2]
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("bits,shift", [(16, 0), (18, 200000)])
+def test_wavelet_matrix(bits, shift):
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):
-        x = rng.integers(0, 50257, n) if n < 5000 else rng.integers(0, 300, n)
-        w = token_output.WaveletMatrix.from_bytes(token_output.WaveletMatrix.build(x).to_bytes())
+        x = shift + (rng.integers(0, 50257, n) if n < 5000 else rng.integers(0, 300, n))
+        w = token_output.WaveletMatrix.from_bytes(token_output.WaveletMatrix.build(x, bits).to_bytes())
         assert (w.tokens() == x).all()
         if n:
             at = rng.integers(0, n, 20)
