@@ -13,7 +13,7 @@ from ._words import U64, mix
 
 #: Buckets of the rarity sketch: at most 2^SKETCH_BITS heavy ones (an id and a level each) reach the driver.
 SKETCH_BITS = 20
-#: Longs of a parity sketch.
+#: Longs of a parity sketch; a join uses the first two or all four.
 LANES = ("k1", "k2", "k3", "k4")
 
 
@@ -29,14 +29,14 @@ def signatures(token: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return totals(mix(token), counts).view(np.int64), totals(mix(token ^ U64(0x5851F42D4C957F2D)), counts).view(np.int64)
 
 
-def parity(token: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """LANES of each set: bit i tells whether an odd number of its tokens falls on i. Two sets that differ in d tokens differ in at most d bits."""
+def parity(token: np.ndarray, counts: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """The first `lanes` LANES of each set: bit i tells whether an odd number of its tokens falls on i. Two sets that differ in d tokens differ in at most d bits."""
     run = np.zeros(len(token) + 1, U64)
     end = np.cumsum(counts)
     place = mix(token ^ U64(0xA5A5A5A55A5A5A5A))
     out = []
-    for lane in range(len(LANES)):
-        bit = np.where((place >> U64(6)) & U64(len(LANES) - 1) == U64(lane), U64(1) << (place & U64(63)), U64(0))
+    for lane in range(lanes):
+        bit = np.where((place >> U64(6)) & U64(lanes - 1) == U64(lane), U64(1) << (place & U64(63)), U64(0))
         np.bitwise_xor.accumulate(bit, out=run[1:])
         out.append((run[end] ^ run[end - counts]).view(np.int64))
     return out
@@ -47,9 +47,9 @@ def overlap_needed(percent: int) -> str:
     return f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
 
 
-def near_enough(percent: int) -> Column:
+def near_enough(percent: int, lanes: tuple[str, ...]) -> Column:
     """Of entries x and y: sizes that can reach the similarity (length filter), and parity sketches that don't rule it out."""
-    differ = " + ".join(f"bit_count(x.{k} ^ y.{k})" for k in LANES)
+    differ = " + ".join(f"bit_count(x.{k} ^ y.{k})" for k in lanes)
     return F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differ} <= x.n + y.n - 2 * {overlap_needed(percent)}")
 
 

@@ -96,7 +96,7 @@ def profile(docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
         for piece, w in slices(batches, "t", True, SLICE, key):
             row, token, counts = sets(w, width)
             s1, s2 = signatures(token, counts)
-            sketch = parity(token, counts)
+            sketch = parity(token, counts, len(LANES))
             frequency = estimate(token)
             order = np.lexsort((token, frequency, row))
             token, frequency = token[order], frequency[order]
@@ -141,7 +141,7 @@ def entries(prof: DataFrame) -> DataFrame:
 def close(percent: int) -> Column:
     """Of entries x and y of a block: a token within the pair's prefixes, and sets that may be near enough."""
     need = overlap_needed(percent)
-    return F.expr(f"x.pos < x.n - {need} + least(x.m, y.m) and y.pos < y.n - {need} + least(x.m, y.m)") & near_enough(percent)
+    return F.expr(f"x.pos < x.n - {need} + least(x.m, y.m) and y.pos < y.n - {need} + least(x.m, y.m)") & near_enough(percent, LANES)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
