@@ -7,7 +7,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 
 #: The bitmap has 2^WORD_BITS longs: 8 million bits in one megabyte. Fuller bitmaps let more keys pass, and lose none.
 WORD_BITS = 17
@@ -19,8 +19,11 @@ def bitmap_of(df: DataFrame, place: Column) -> Broadcast:
     """A broadcast bitmap of 2^FILTER_BITS bits with those at the given places set."""
     size = 1 << (BLOCK_BITS - 3)
     bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in df.select(place.alias("p")).groupBy(F.shiftright("p", BLOCK_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("m")).collect():
+    blocks = df.select(place.alias("p")).groupBy(F.shiftright("p", BLOCK_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << BLOCK_BITS) - 1)).alias("m"))
+    blocks = written(blocks, "bitmap")  # a written job's shuffle files are gone when it ends
+    for r in blocks.toLocalIterator():
         bitmap[r.b * size : (r.b + 1) * size] = np.frombuffer(r.m, np.uint8)
+    discard(blocks)
     return df.sparkSession.sparkContext.broadcast(bitmap)
 
 
