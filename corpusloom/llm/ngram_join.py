@@ -45,6 +45,8 @@ REMEMBERED = 50_000
 PAIR_ROWS, TEXT_ROWS = 200, 2000
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 18
+#: Bits of the wide parity sketch that pairs of different components must pass before their texts travel.
+WIDE = 4096
 ENTRY = ["token", "pos", "id", "s1", "n", "m", *LANES]
 
 
@@ -82,8 +84,19 @@ def prefixes(counts: np.ndarray, often: np.ndarray, percent: int, live: np.ndarr
     return m, size
 
 
+def wide_parity(row: np.ndarray, token: np.ndarray, live: np.ndarray) -> pa.Array:
+    """For each live set WIDE bits as longs: bit i tells whether an odd number of its tokens falls on i; null for others."""
+    at = np.where(live, np.cumsum(live) - 1, -1)
+    mine = live[row]
+    flat = at[row[mine]] * WIDE + (token[mine] & U64(WIDE - 1)).astype(np.int64)
+    odd = (np.bincount(flat, minlength=int(live.sum()) * WIDE) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view(np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(live)]) * (WIDE // 64), pa.int32(), mask=np.append(~live, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(longs))
+
+
 def profile(docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
-    """(id, n, s1, s2, m, prefix, LANES) of every row; one of a task's equal sets, of the least id so far, has a prefix."""
+    """(id, n, s1, s2, m, prefix, wide, LANES) of every row; one of a task's equal sets, of the least id so far, has a prefix and a wide sketch."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         return (sets(w, width)[1] for _, w in slices(batches, "t", True, SLICE, key))
@@ -98,8 +111,6 @@ def profile(docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
             s1, s2 = signatures(token, counts)
             sketch = parity(token, counts, len(LANES))
             frequency = estimate(token)
-            order = np.lexsort((token, frequency, row))
-            token, frequency = token[order], frequency[order]
             live = np.zeros(len(counts), bool)
             for i, (a, b, name, n) in enumerate(zip(s1.tolist(), s2.tolist(), piece.column("id").to_pylist(), counts.tolist(), strict=True)):
                 if n and name is not None and ((a, b) not in seen or name < seen[a, b]):
@@ -107,15 +118,18 @@ def profile(docs: DataFrame, width: int, percent: int, key: int) -> DataFrame:
                     live[i] = True
             if len(seen) > REMEMBERED:
                 seen.clear()
+            wide = wide_parity(row, token, live)
+            order = np.lexsort((token, frequency, row))
+            token, frequency = token[order], frequency[order]
             m, size = prefixes(counts, frequency, percent, live)
             total = np.cumsum(size)
             flat = np.arange(total[-1] if len(total) else 0) + np.repeat(np.cumsum(counts) - counts - (total - size), size)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total]).astype(np.int32)), pa.array(token[flat].view(np.int64)))
-            columns = [piece.column("id"), pa.array(counts.astype(np.int64)), pa.array(s1), pa.array(s2), pa.array(m.astype(np.int32)), prefix, *map(pa.array, sketch)]
-            yield pa.record_batch(columns, ["id", "n", "s1", "s2", "m", "prefix", *LANES])
+            columns = [piece.column("id"), pa.array(counts.astype(np.int64)), pa.array(s1), pa.array(s2), pa.array(m.astype(np.int32)), prefix, wide, *map(pa.array, sketch)]
+            yield pa.record_batch(columns, ["id", "n", "s1", "s2", "m", "prefix", "wide", *LANES])
 
     lanes = ", ".join(f"{k} bigint" for k in LANES)
-    return written(docs.mapInArrow(run, f"id bigint, n bigint, s1 bigint, s2 bigint, m int, prefix array<bigint>, {lanes}"), "profile", batch_rows=TEXT_ROWS)
+    return written(docs.mapInArrow(run, f"id bigint, n bigint, s1 bigint, s2 bigint, m int, prefix array<bigint>, wide array<bigint>, {lanes}"), "profile", batch_rows=TEXT_ROWS)
 
 
 def entries(prof: DataFrame) -> DataFrame:
@@ -165,6 +179,17 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: int
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links", batch_rows=PAIR_ROWS)
 
 
+def possible(pairs: DataFrame, prof: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ..) whose wide sketches don't rule the similarity out; sketches travel, texts don't."""
+    held = prof.where("wide is not null").select("id", "n", "wide")
+    held = held.where(may_hold(pairs.select(F.explode(F.array("a", "b")).alias("p")), F.xxhash64("p"), F.xxhash64("id")))
+    x, y = (held.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"w_{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("w_a", "w_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    both = pairs.join(x, "a").join(y, "b").where(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+    return both.select(*pairs.columns).distinct()
+
+
 def joined_up(first: DataFrame, pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The components (node, component) after comparing pairs (a, ca, b, cb, shared) of different ones.
 
@@ -211,6 +236,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     pairs = pairs.select(ends.alias("e"), "x.token", F.least("x.m", "y.m").alias("m")).groupBy("e").agg(F.countDistinct("token").alias("shared"), F.min("m").alias("need")).where("shared >= need")
     pairs = written(pairs.select(*(F.col("e")[i][k].alias(n) for i, k, n in ((0, "id", "a"), (0, "c", "ca"), (1, "id", "b"), (1, "c", "cb"))), "shared"), "pairs")
     discard(marked)
+    if not pairs.isEmpty():
+        was, pairs = pairs, written(possible(pairs, prof, percent), "pairs")
+        discard(was)
     found = first if pairs.isEmpty() else joined_up(first, pairs, check)
     named = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component_id"))
     out = rows.join(named, ["s1", "s2"], "left")
