@@ -17,7 +17,9 @@ TYPES = {
 PAPER = "abstract|references|doi:|et al|we show that"
 STATES = {"draft": "draft|wip|temp|tmp|working|scratch", "final": "final|done|complete|publish|release", "archive": "archive|old|backup|bak|_old|deprecated", "review": "review|check|todo|pending|flag"}
 SECRET_NAME = "secret|password|credential|token|\\.env"
-RISKY = [".exe", ".msi", ".bat", ".ps1", ".py"]
+RISKY = [".exe", ".dll", ".sh", ".bat", ".cmd", ".ps1"]
+#: Fixed value: the confidence from which a rename needs no review.
+SURE = 0.98
 JUNK_WORDS = r"(?i)\b(v\d+|final|copy|old|new|temp|tmp|test|draft|bak|backup|untitled|document|file|data|the|and|for|with|from|this|that)\b"
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
@@ -46,10 +48,14 @@ def blocked(files: DataFrame, protected: list[str], roots: DataFrame) -> DataFra
     return files.join(marked, ["root", "dir"], "left").select("doc_id", reason.alias("reason")).where("reason is not null")
 
 
-def review_gate(suggestions: DataFrame, inventory: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(doc_id, review, reason) of rename suggestions (doc_id, path, target, ext, confidence)."""
+def review_gate(suggestions: DataFrame, inventory: DataFrame, threshold: float = SURE, risky: list[str] | None = None) -> DataFrame:
+    """(doc_id, review, reason) of rename suggestions (doc_id, path, target, ext, confidence, protected, review_only, least).
+
+    The last three come from the folder's profile and may be null; least is the profile's own threshold.
+    """
     taken = inventory.select(F.col("path").alias("target")).distinct().withColumn("taken", F.lit(True))
-    reason = F.when(F.col("ext").isin(RISKY), "risky_file_type").when(F.col("taken"), "target_exists").when(F.col("confidence") < threshold, "low_confidence").otherwise("auto_approved_threshold")
+    low = F.col("confidence") < F.coalesce("least", F.lit(threshold))
+    reason = F.when(F.col("protected"), "protected_folder").when(F.col("review_only"), "folder_review_only").when(F.lower("ext").isin(risky or RISKY), "risky_file_type").when(F.col("taken"), "target_exists").when(low, "low_confidence").otherwise("auto_approved_threshold")
     return suggestions.join(taken, "target", "left").select("doc_id", (reason != "auto_approved_threshold").alias("review"), reason.alias("reason"))
 
 

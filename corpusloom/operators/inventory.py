@@ -158,9 +158,17 @@ def facets(items: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def next_codes(batch: DataFrame, used: DataFrame, code: str, order: str, floor: int) -> DataFrame:
-    """The batch with codes that go on from the largest used one, in `order`; a batch is a set of new folders."""
+    """The batch with codes that go on from the largest used one, in `order`, whose values differ.
+
+    The batch is parted by range; a small table of the partitions' sizes gives each its first number.
+    """
     top = used.agg(F.greatest(F.coalesce(F.max(code), F.lit(floor - 1)), F.lit(floor - 1)).alias("top"))
-    return batch.withColumn("_nth", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(top)).withColumn(code, F.col("top") + F.col("_nth")).drop("_nth", "top")
+    parts = batch.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    bounds = parts.groupBy("_part").agg(F.count("*").alias("n"), F.min(order).alias("least"))
+    before = bounds.select("least", (F.sum("n").over(Window.orderBy("least")) - F.col("n")).alias("before"), F.lead("least").over(Window.orderBy("least")).alias("next"))
+    mine = batch.join(F.broadcast(before), (F.col(order) >= F.col("least")) & (F.col("next").isNull() | (F.col(order) < F.col("next"))))
+    nth = F.row_number().over(Window.partitionBy("least").orderBy(order))
+    return mine.withColumn("_nth", nth + F.col("before")).crossJoin(F.broadcast(top)).withColumn(code, F.col("top") + F.col("_nth")).select(*batch.columns, code)
 
 
 def state_log(events: DataFrame) -> DataFrame:

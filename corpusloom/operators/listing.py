@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.text import occurrences
@@ -43,11 +43,18 @@ def search_all(df: DataFrame, query: str) -> DataFrame:
 def secret_warning(df: DataFrame) -> DataFrame:
     """(doc_id, warning): bodies that look like they hold a secret."""
     body = F.col("body")
+    # fixed values: the three patterns
     found = body.rlike(r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*\S+") | body.rlike(r"\bsk-[A-Za-z0-9_-]{12,}") | body.rlike("-----BEGIN [A-Z ]*PRIVATE KEY-----")
     return df.select("doc_id", found.alias("warning"))
 
 
-def combined(df: DataFrame, key: str, order: str, separator: str = "\n---\n") -> DataFrame:
-    """(key, body): the bodies of a key's rows, in order, as one."""
+def combined(df: DataFrame, key: str, order: str, separator: str = "\n---\n", most: int = 100_000) -> DataFrame:
+    """(key, part, body): the bodies of a key's rows, in order, as pieces that begin every `most` characters.
+
+    Lengths are summed first, without the bodies; so a key of any size gives pieces of bounded size.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    part = (F.coalesce(F.sum("n").over(w), F.lit(0)) / most).cast("bigint")
+    parts = df.select(key, order, F.length("body").alias("n")).select(key, order, part.alias("part"))
     rows = F.array_sort(F.collect_list(F.struct(order, "body")))
-    return df.groupBy(key).agg(rows.alias("r")).select(key, F.array_join(F.transform("r", lambda x: x["body"]), separator).alias("body"))
+    return df.join(parts, [key, order]).groupBy(key, "part").agg(rows.alias("r")).select(key, "part", F.array_join(F.transform("r", lambda x: x["body"]), separator).alias("body"))

@@ -41,9 +41,9 @@ def destination(observations: DataFrame, as_of: str, n: int = 100) -> DataFrame:
 
 
 def temporal(observations: DataFrame, as_of: str, hour: int, width: int = 2, n: int = 200) -> DataFrame:
-    """Votes of observations within `width` hours of the hour, around the clock."""
-    apart = F.abs(F.col("hour") - hour)
-    near = recent(observations, ["ext"], n).where(F.least(apart, 24 - apart) <= width)
+    """Votes of observations within `width` hours of the hour; midnight and unknown hours count as noon."""
+    at = F.when(F.coalesce("hour", F.lit(0)) == 0, 12).otherwise(F.col("hour"))
+    near = recent(observations, ["ext"], n).where(F.abs(at - hour) <= width)
     return best(votes(near, ["ext"], as_of), ["ext"]).withColumn("vote", F.col("vote") * 0.7)
 
 
@@ -59,18 +59,62 @@ def together(observations: DataFrame, n: int = 500, seconds: int = 60, group: st
     return pairs.select("ext", "partner").unionByName(pairs.select(F.col("partner").alias("ext"), F.col("ext").alias("partner"))).groupBy("ext", "partner").agg(F.count("*").alias("n"))
 
 
-def combine(observations: DataFrame, as_of: str, hour: int) -> DataFrame:
-    """(ext, folder, dest, confidence): weighted votes of destination, time and folder, damped by the number of observations."""
+def companions(observations: DataFrame, n: int = 500, seconds: int = 60, least: int = 3) -> DataFrame:
+    """(ext, dest, vote): where the files go that most often move together with an extension, among the n latest moves of all."""
+    last = observations.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+    pairs = together(last.withColumn("every", F.lit(1)), n, seconds, "every").where(F.col("n") >= least)
+    partner = pairs.groupBy("ext").agg(F.max_by("partner", F.struct("n", "partner")).alias("partner"), F.max("n").alias("n"))
+    went = last.where("dest is not null").groupBy(F.col("ext").alias("partner"), "dest").agg(F.count("*").alias("c")).groupBy("partner").agg(F.max_by("dest", F.struct("c", "dest")).alias("dest"))
+    return partner.join(went, "partner").select("ext", "dest", F.least(F.lit(1.0), F.col("n") / 10).alias("vote"))
+
+
+def combine(observations: DataFrame, as_of: str, hour: int, rules: DataFrame | None = None, others: int = 3) -> DataFrame:
+    """(ext, folder, dest, confidence, naming, alternatives, ruled): weighted votes of all five signals.
+
+    Destination, time, folder and companions vote for places, damped by the number of observations; names add a
+    strength of their own. A permanent rule (ext, dest, hits), the most used first, wins with a confidence of 1.
+    """
     places = observations.select("ext", "folder").distinct()
-    parts = [("destination", destination(observations, as_of), ["ext"]), ("temporal", temporal(observations, as_of, hour), ["ext"]), ("affinity", affinity(observations, as_of), ["ext", "folder"])]
+    moved = recent(observations, ["ext"], 200).select("ext", F.col("folder").alias("from"), "dest", "ts")
+    there = places.join(moved, "ext").where(F.col("folder").startswith(F.col("from")))
+    parts = [
+        ("destination", places.join(destination(observations, as_of), "ext")), ("temporal", places.join(temporal(observations, as_of, hour), "ext")),
+        ("affinity", best(votes(there, ["ext", "folder"], as_of), ["ext", "folder"])), ("together", places.join(companions(observations), "ext")),
+    ]
     every = None
-    for name, df, on in parts:
-        one = places.join(df, on).select("ext", "folder", "dest", (F.col("vote") * SIGNALS[name]).alias("v"))
+    for name, df in parts:
+        one = df.select("ext", "folder", "dest", (F.col("vote") * SIGNALS[name]).alias("v"))
         every = one if every is None else every.unionByName(one)
-    sums = every.groupBy("ext", "folder", "dest").agg(F.sum("v").alias("vote"))
+    sums = every.groupBy("ext", "folder", "dest").agg(F.round(F.sum("v"), 9).alias("vote"))
+    nth = F.row_number().over(Window.partitionBy("ext", "folder").orderBy(F.desc("vote"), "dest"))
+    ranked = sums.withColumn("nth", nth).where(F.col("nth") <= others + 1)
+    rest = F.array_sort(F.collect_list(F.when(F.col("nth") > 1, F.struct("nth", "dest", "vote"))))
+    top = ranked.groupBy("ext", "folder").agg(F.max(F.when(F.col("nth") == 1, F.col("dest"))).alias("dest"), F.max("vote").alias("vote"), F.array_join(F.transform(rest, lambda x: F.concat_ws("=", x["dest"], F.format_number(x["vote"], 3))), ",").alias("alternatives"))
     total = observations.agg(F.least(F.lit(1.0), F.count("*") / 100).alias("damp"))
-    out = best(sums, ["ext", "folder"]).crossJoin(F.broadcast(total))
-    return out.select("ext", "folder", "dest", F.least(F.lit(0.99), F.col("vote") * F.col("damp")).alias("confidence"))
+    seen = recent(observations, ["ext"], 100).groupBy("ext").agg(F.count("name").alias("names"))
+    strength = F.when(F.col("names") >= 5, F.least(F.lit(1.0), F.col("names") / 20)).otherwise(0.0) * SIGNALS["naming"]
+    out = top.crossJoin(F.broadcast(total)).join(seen, "ext", "left").select("ext", "folder", "dest", F.least(F.lit(0.99), F.col("vote") * F.col("damp")).alias("confidence"), F.round(strength, 6).alias("naming"), "alternatives")
+    if rules is None:
+        return out.withColumn("ruled", F.lit(False))
+    rule = rules.groupBy("ext").agg(F.max_by("dest", F.struct("hits", "dest")).alias("to"))
+    ruled = F.col("to").isNotNull()
+    out = out.join(rule, "ext", "left")
+    return out.select("ext", "folder", F.coalesce("to", "dest").alias("dest"), F.when(ruled, 1.0).otherwise(F.col("confidence")).alias("confidence"), F.when(ruled, 0.0).otherwise(F.col("naming")).alias("naming"), F.when(ruled, "").otherwise(F.col("alternatives")).alias("alternatives"), ruled.alias("ruled"))
+
+
+def promoted(predictions: DataFrame, rules: DataFrame) -> DataFrame:
+    """(pattern, dest, hits): the rules, and confirmed predictions (ext, dest, confirmed) that no rule covers yet, as `*ext`."""
+    sure = predictions.where("confirmed").groupBy("ext").agg(F.max_by("dest", F.struct("confidence", "dest")).alias("dest")).select(F.concat(F.lit("*"), "ext").alias("pattern"), "dest", F.lit(0).cast("bigint").alias("hits"))
+    return rules.select("pattern", "dest", "hits").unionByName(sure.join(rules, "pattern", "left_anti"))
+
+
+def resolved(predictions: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:
+    """The predictions (key.., dest, name) with `correct`: whether what happened (key.., dest, name) agrees, where both are known."""
+    plain = lambda c: F.lower(F.rtrim(F.replace(F.trim(c), F.lit("\\"), F.lit("/")), F.lit("/")))
+    df = predictions.join(actual.withColumnsRenamed({"dest": "actual_dest", "name": "actual_name"}), key)
+    place = F.coalesce(plain(F.col("actual_dest")) == plain(F.col("dest")), F.lit(True))
+    name = F.coalesce(F.lower("actual_name") == F.lower("name"), F.lit(True))
+    return df.withColumn("correct", place & name)
 
 
 def naming(observations: DataFrame, n: int = 100) -> DataFrame:
@@ -97,16 +141,41 @@ def successor(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select("state", "after", "share")
 
 
-def fill(sequences: DataFrame, pairs: DataFrame, state: str, missing: str, key: list[str], order: list[str], least: float = 0.5) -> DataFrame:
-    """(key.., filled): sequences in order; a missing state becomes its predecessor's successor if that is likely enough.
+def fill(sequences: DataFrame, pairs: DataFrame, state: str, missing: str, key: list[str], order: list[str], least: float = 0.5, most: int = 4096) -> DataFrame:
+    """(key.., order.., filled): a missing state becomes its predecessor's successor if that is likely enough.
 
-    A filled state is the predecessor of the next, so each key's sequence is folded from its start.
+    A filled state is the predecessor of the next, so the kth missing state behind a known one (or behind the first of
+    all) is the successor map applied k times. The powers of the map, a table of states, are made up to the number of
+    states, from where on they run in a cycle. More than `most` states are refused.
     """
-    table = successor(pairs).where(F.col("share") >= least).agg(F.map_from_entries(F.collect_list(F.struct("state", "after"))).alias("m"))
-    rows = sequences.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(state).alias("s")))), lambda x: x["s"]).alias("a")).crossJoin(F.broadcast(table))
-    step = lambda acc, s: F.concat(acc, F.array(F.when(s == missing, F.coalesce(F.try_element_at("m", F.element_at(acc, -1)), s)).otherwise(s)))
-    filled = F.aggregate(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), F.slice("a", 1, 1), step)
-    return rows.select(*key, F.array_join(filled, ",").alias("filled"))
+    spark = sequences.sparkSession
+    table = {r.state: r.after for r in successor(pairs).where(F.col("share") >= least).limit(most + 1).collect()}
+    if len(table) > most:
+        raise ValueError(f"more than {most} states with a likely successor")
+    paths = []
+    for s in {missing, *table, *table.values()}:
+        path, at = [s], {s: 0}
+        while True:
+            nxt = table.get(path[-1], missing)
+            if nxt in at:
+                break
+            at[nxt] = len(path)
+            path.append(nxt)
+        paths.append((s, path, at[nxt]))
+    powers = spark.createDataFrame(paths, "anchor string, path array<string>, back int")
+    w = Window.partitionBy(*key).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    known = first | (F.col(state) != missing)
+    runs = sequences.select(*key, *order, F.col(state).alias("s"), F.when(known, F.col(state)).alias("anchor"), F.when(known, F.row_number().over(w)).alias("at"), F.row_number().over(w).alias("i"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.select(*key, *order, "s", F.last("anchor", True).over(upto).alias("anchor"), (F.col("i") - F.last("at", True).over(upto)).alias("k"))
+    n = F.size("path")
+    place = F.when(F.col("k") < n, F.col("k")).otherwise(F.col("back") + (F.col("k") - F.col("back")) % (n - F.col("back")))
+    # a state without a successor is followed by the missing state, and the map goes on from there
+    path, back = next((x[1], x[2]) for x in paths if x[0] == missing)
+    j = F.col("k") - 1
+    lost = F.when(F.col("k") == 0, F.col("anchor")).otherwise(F.get(F.array(*map(F.lit, path)), F.when(j < len(path), j).otherwise(back + (j - back) % (len(path) - back)).cast("int")))
+    return runs.join(F.broadcast(powers), "anchor", "left").select(*key, *order, F.coalesce(F.get("path", place.cast("int")), lost).alias("filled"))
 
 
 def markov_scores(decisions: DataFrame, sequence: str, k: float = 0.5) -> DataFrame:

@@ -92,34 +92,51 @@ def paragraphs(docs: DataFrame, least: int = 4) -> DataFrame:
     return docs.select("doc_id", F.posexplode(every).alias("nth", "n_words"))
 
 
-def spans(docs: DataFrame, term: str, most: int = 1000) -> DataFrame:
-    """(doc_id, start, end): every place of a term in the lower-cased text, from 0."""
-    parts = F.split(F.lower("text"), f"\\Q{term}\\E", -1)
-    rows = docs.where(F.contains(F.lower("text"), F.lit(term))).select("doc_id", F.transform(parts, lambda p: F.length(p)).alias("p"))
-    starts = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x, i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda a, y: a + y) + i * len(term))
-    return rows.select("doc_id", F.explode(starts).alias("start")).select("doc_id", "start", (F.col("start") + len(term)).alias("end"))
+def spans(docs: DataFrame, terms: list[tuple[str, float]]) -> DataFrame:
+    """(doc_id, term, start, end, contribution): every place of a lexicon's terms (term, weight) in the lower-cased text, from 0."""
+    low = docs.select("doc_id", F.lower("text").alias("t"))
+    each = F.explode(F.filter(F.array(*(F.struct(F.lit(x).alias("term"), F.lit(float(w)).alias("weight")) for x, w in terms)), lambda x: F.contains("t", x["term"])))
+    rows = low.select("doc_id", "t", each.alias("x")).select("doc_id", "x.term", "x.weight", F.transform(F.split("t", F.concat(F.lit("\\Q"), "x.term", F.lit("\\E")), -1), lambda p: F.length(p)).alias("p"))
+    ends = rows.select("doc_id", "term", "weight", F.posexplode("p").alias("i", "length"), F.size("p").alias("n"))
+    w = Window.partitionBy("doc_id", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.sum("length").over(w) + F.col("i") * F.length("term")).cast("int")
+    placed = ends.select("doc_id", "term", "weight", "i", "n", start.alias("start")).where("i < n - 1")
+    return placed.select("doc_id", "term", "start", (F.col("start") + F.length("term")).alias("end"), F.col("weight").alias("contribution"))
 
 
-def snippets(docs: DataFrame, keyword: str, width: int = 80) -> DataFrame:
-    """(doc_id, snippet): the text around the first place of a keyword."""
-    at = F.locate(keyword, F.lower("text"))
-    first = F.greatest(F.lit(1), at - width)
-    return docs.select("doc_id", "text", at.alias("at"), first.alias("first")).where("at > 0").select("doc_id", F.substring("text", F.col("first"), F.col("at") - F.col("first") + F.lit(len(keyword) + width)).alias("snippet"))
+def snippets(docs: DataFrame, keyword: str, width: int = 80, most: int = 3) -> DataFrame:
+    """(doc_id, nth, snippet): the text around the first `most` places of a keyword (a report's feature)."""
+    parts = F.transform(F.split(F.lower("text"), f"\\Q{keyword}\\E", most + 1), lambda p: F.length(p))
+    starts = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x, i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda a, y: a + y) + i * len(keyword) + 1)
+    rows = docs.where(F.contains(F.lower("text"), F.lit(keyword))).select("doc_id", "text", parts.alias("p")).select("doc_id", "text", F.posexplode(starts).alias("nth", "at"))
+    first = F.greatest(F.lit(1), F.col("at") - width)
+    return rows.select("doc_id", "nth", F.substring("text", first, F.col("at") - first + F.lit(len(keyword) + width)).alias("snippet"))
 
 
 def simhash(docs: DataFrame) -> DataFrame:
     """(doc_id, simhash): 64 bits as text, the highest first; each word of 3 or more letters votes with its md5."""
     words = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9_]{3,}', 0)")).alias("w")).groupBy("doc_id", "w").count()
-    bits = F.lpad(F.conv(F.right(F.md5(F.col("w").cast("binary")), F.lit(16)), 16, 2), 64, "0")
-    votes = words.select("doc_id", "count", bits.alias("b"))
-    sums = votes.groupBy("doc_id").agg(*(F.sum(F.when(F.substring("b", i + 1, 1) == "1", F.col("count")).otherwise(-F.col("count"))).alias(f"v{i}") for i in range(64)))
+    half = lambda at: F.conv(F.substring(F.md5(F.col("w").cast("binary")), at, 8), 16, 10).cast("bigint")
+    votes = words.select("doc_id", "count", half(17).alias("hi"), half(25).alias("lo"))
+    vote = lambda i: F.when(F.shiftright("hi" if i < 32 else "lo", 31 - i % 32).bitwiseAND(1) == 1, F.col("count")).otherwise(-F.col("count"))
+    sums = votes.groupBy("doc_id").agg(*(F.sum(vote(i)).alias(f"v{i}") for i in range(64)))
     return sums.select("doc_id", F.concat(*(F.when(F.col(f"v{i}") > 0, "1").otherwise("0") for i in range(64))).alias("simhash"))
 
 
-def section_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, sections, root): hashes of the lines' hashes: changed texts differ in the root and in few lines."""
-    each = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.sha2(F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))).cast("binary"), 256))
-    return docs.select("doc_id", F.size(each).alias("sections"), F.sha2(F.array_join(each, "|").cast("binary"), 256).alias("root"))
+def sections(docs: DataFrame, heading: str = r"^(#{1,6}\s|[A-Z]\w*\.$)") -> DataFrame:
+    """(doc_id, section, nth, line): lines with the running number of their section; a heading begins one, lines before the first are section 0."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    return lines.select("doc_id", F.count_if(F.col("line").rlike(heading)).over(Window.partitionBy("doc_id").orderBy("nth")).alias("section"), "nth", "line")
+
+
+def section_hashes(docs: DataFrame, heading: str = r"^(#{1,6}\s|[A-Z]\w*\.$)") -> DataFrame:
+    """(doc_id, level, section, hash): a tree of hashes: of each section's trimmed lines (level 1), and of those hashes (level 0, section null)."""
+    plain = F.lower(F.trim(F.regexp_replace("line", r"\s+", " ")))
+    kept = sections(docs, heading).where(F.trim("line") != "").select("doc_id", "section", "nth", plain.alias("x"))
+    ordered = lambda c, at: F.transform(F.array_sort(F.collect_list(F.struct(at, c))), lambda x: x[c])
+    leaves = kept.groupBy("doc_id", "section").agg(F.sha2(F.array_join(ordered("x", "nth"), "\n").cast("binary"), 256).alias("hash"))
+    roots = leaves.groupBy("doc_id").agg(F.sha2(F.array_join(ordered("hash", "section"), "|").cast("binary"), 256).alias("hash"))
+    return leaves.select("doc_id", F.lit(1).alias("level"), "section", "hash").unionByName(roots.select("doc_id", F.lit(0).alias("level"), F.lit(None).cast("bigint").alias("section"), "hash"))
 
 
 def stage_balance(docs: DataFrame, good: list[str], bad: list[str]) -> DataFrame:

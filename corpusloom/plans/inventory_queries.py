@@ -43,9 +43,8 @@ def _log(spark, sf_dir):
 
 def _codes(spark, sf_dir):
     docs = x.table(spark, sf_dir, "documents")
-    batch = docs.where("doc_id % 50 = 3").select("doc_id")
-    used = docs.where("doc_id % 50 = 4").selectExpr("cast(60000 + doc_id as int) as code")
-    return v.next_codes(batch, used, "code", "doc_id", 60020)
+    used = x.table(spark, sf_dir, "labels").selectExpr("cast(60000 + doc_id as int) as code")
+    return v.next_codes(docs.select("doc_id"), used, "code", "doc_id", 60020)
 
 
 def _patch(spark, sf_dir):
@@ -91,7 +90,7 @@ SQL = {
     "agg07_folder_summary": f"{_f}, e as (select root, dir, ext as top_ext, row_number() over (partition by root, dir order by count(*) desc, ext) as nth from files group by root, dir, ext), s as (select root, dir, count(*) as n, cast(sum(size) as bigint) as bytes, count(distinct ext) as n_ext, min(day) as oldest, max(day) as newest, round((count(*) - count(distinct hash)) / count(*), 6) as duplicate_share from files group by root, dir) select s.root, s.dir, n, bytes, n_ext, top_ext, oldest, newest, duplicate_share, case when n <= 10 then 'every_file' when n <= 100 then 'sampled' else 'statistics' end as strategy from s join e on s.root = e.root and s.dir = e.dir and nth = 1",
     "agg11_folder_fingerprint": f"{_f} select root, dir, count(distinct name) as n_files, substring(sha1(string_agg(distinct name, chr(10) order by name)), 1, 16) as fingerprint from files group by root, dir",
     "agg13_folder_diagnosis": f"{_f}, s as (select root, dir, {', '.join(_share.values())} from files group by root, dir), t as (select *, greatest(documents, code, media) as share from s) select root, dir, case " + " ".join(f"when {k} >= 0.5 and {k} = share then '{k}'" for k in FAMILIES) + " else 'mixed' end as family, round(share, 6) as share from t",
-    "agg38_next_code": "select doc_id, cast((select greatest(coalesce(max(60000 + doc_id), 60019), 60019) from documents where doc_id % 50 = 4) + row_number() over (order by doc_id) as int) as code from documents where doc_id % 50 = 3",
+    "agg38_next_code": "select doc_id, cast((select greatest(coalesce(max(60000 + doc_id), 60019), 60019) from labels) + row_number() over (order by doc_id) as int) as code from documents",
     "join01_twins": f"{_f}, o as (select distinct hash, path from files) select path, (select count(*) from o p where p.hash = o.hash) - 1 as twins from o where twins > 0",
     "join02_inferred_events": f"{_b}, old as (select path, max(hash) as old_hash from before group by path), new as (select path, max(hash) as hash from files group by path), k as (select hash, bool_or(path in (select path from files)) as still from before group by hash) select new.path, case when old_hash = new.hash then 'rescanned' when old_hash is not null then 'modified' when still then 'probable_copy' when still is not null then 'probable_move' else 'created' end as event from new left join old on new.path = old.path left join k on new.hash = k.hash",
     "join03_snapshot_diff": f"{_b}, a as (select path, max(hour) as hour, max(size) as size from before group by path), b as (select path, max(hour) as hour, max(size) as size from files group by path), gone as (select path as old_path, hour, size, row_number() over (partition by hour, size order by path) as nth from a where path not in (select path from b)), new as (select path, hour, size, row_number() over (partition by hour, size order by path) as nth from b where path not in (select path from a)) select 'modified' as event, a.path, null as old_path from a join b on a.path = b.path where a.hour <> b.hour or a.size <> b.size union all select case when old_path is null then 'created' when path is null then 'deleted' else 'moved' end, coalesce(path, old_path), case when path is not null then old_path end from new full join gone on new.hour = gone.hour and new.size = gone.size and new.nth = gone.nth",

@@ -56,8 +56,8 @@ def _vectors(spark, sf_dir):
 
 
 def _names(spark, sf_dir):
-    names = x.files(spark, sf_dir).select("name").distinct()
-    return similarity.nearest_names(names.where(F.length("name") % 5 == 0), names)
+    files = x.files(spark, sf_dir)
+    return similarity.nearest_names(files.where("doc_id % 100 = 0").select("name").distinct(), files.select("name").distinct())
 
 
 QUERIES = {
@@ -70,11 +70,13 @@ QUERIES = {
     "txt16_word_scores": lambda s, d: t.word_scores(x.table(s, d, "documents"), s.createDataFrame(LEXICON, "category string, term string, weight double")),
     "txt01_sentences": _docs(t.sentences),
     "txt01_paragraphs": _docs(t.paragraphs),
-    "txt02_spans": _docs(lambda d: t.spans(d, "tion")),
+    "txt02_spans": _docs(lambda d: t.spans(d, [("tion", 1.0), ("the", 0.5), ("a.", 2.0)])),
     "txt25_snippets": _docs(lambda d: t.snippets(d, "ing", 20)),
-    "agg12_frequent_terms": _docs(lambda d: t.frequent_terms(d.where("lang = 'en'"), STOP)),
+    "agg12_frequent_terms": _docs(lambda d: t.frequent_terms(d, STOP)),
     "agg27_simhash": _docs(t.simhash),
     "agg28_section_hashes": _docs(t.section_hashes),
+    "win10_sections": _docs(t.sections),
+    "agg29_set_similarity": lambda s, d: similarity.set_similarity(c.word_sets(_chunks(s, d), "conv_id", "turn"), "words", "before").select("conv_id", "turn", F.round("jaccard", 6).alias("jaccard")),
     "udf09_near_fingerprints": _docs(lambda d: similarity.near_fingerprints(t.simhash(d))),
     "join17_nearest_names": _names,
     "join18_nearest_vectors": _vectors,
@@ -98,8 +100,14 @@ _lex = "lex(category, term, weight, ord) as (values " + ", ".join(f"('{k}', '{w}
 _counts = f"{_lex}, h as (select doc_id, category, term, weight, ord, cast((length(text) - length(replace(lower(text), term, ''))) // length(term) as bigint) as n from documents, lex), hits as (select * from h where n > 0), sc as (select doc_id, category, ord, sum(n * weight) as score, sum(n) as n from hits group by doc_id, category, ord)"
 _chunk = "ch as (select conv_id, turn, min(text) as text, case min(role) when 'user' then 'human' else min(role) end as speaker from conversations group by conv_id, turn)"
 _emb = f"{_chunk}, tok as (select conv_id, turn, sha256(w) as h from (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from ch)), cell as (select conv_id, turn, cast(('0x' || h[1:8])::ubigint % 64 as int) as i, sum(case when ('0x' || h[9:10])::int % 2 = 0 then 1.0 else -1.0 end) as s from tok group by 1, 2, 3), nrm as (select conv_id, turn, sqrt(sum(s * s)) as nn from cell group by 1, 2), e as (select conv_id, turn, i, case when nn > 0 then round(s / nn, 6) else 0 end as v from cell join nrm using (conv_id, turn)), o as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as before from ch), sim as (select o.conv_id, o.turn, case when before is not null then round(coalesce((select sum(a.v * b.v) from e a join e b using (i) where a.conv_id = o.conv_id and a.turn = o.turn and b.conv_id = o.conv_id and b.turn = o.before), 0), 6) end as similarity from o)"
-_one = lambda ps: "(?i)(" + "|".join(ps).replace("'", "''") + ")"
-_verdicts = f"v as (select doc_id, nth, case when regexp_matches(s, '{_one(c.CORRECTION)}') then 'correction' when length(s) < 5 then 'cut' when regexp_matches(s, '{_one(c.KEEP)}') then 'kept' when regexp_matches(s, '{_one(c.CUT)}') then 'cut' else 'kept' end as verdict from (select doc_id, cast(i - 1 as int) as nth, trim(l[i], ' ') as s from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))))"
+#: The patterns once more, as the SQL's own literals.
+_correction = r"(i\s+was\s+wrong|that'?s?\s+(not\s+)?(right|correct|accurate))|(actually|correction|let\s+me\s+correct|i\s+(need\s+to\s+)?revise)|((on\s+)?second\s+thought|wait.*?that'?s?\s+not)|(previous(ly)?\s+(said|claimed|stated).*?(but|however|wrong))|(supersed(ed?|es)|replaced?\s+by|no\s+longer\s+(true|valid|correct))"
+_keep = r"equation|formula|theorem|axiom|law\s+\d|derivat|proof|lemma|therefore|thus|hence|it\s+follows|QED|∴|[A-Z]_\{|\\frac|\\int|\\sum|\\nabla|χ|Φ|ψ|∫|∑|∇|sigma|p-value|confidence|correlation|r\s*=|p\s*[<>=]|scripture|verse|chapter|genesis|exodus|galatians|john|romans|matthew|grace|entropy|coherence|negentropy|master\s+equation|lagrangian"
+_cut = r"^that'?s?\s+(a\s+)?(great|excellent|wonderful|interesting)\s+(question|point|observation)|^glad\s+you\s+(asked|mentioned|brought)|^(absolutely|definitely|certainly)[.!]?\s*$|^(i'?d\s+be\s+happy|happy)\s+to\s+help|^(sure|of course)[,.]?\s*(let'?s|i'?ll)|^(thanks?\s+for\s+sharing|thank\s+you\s+for)|^(hey|hi|hello|good\s+(morning|afternoon|evening))[\s,!.]*$|^(talk\s+later|bye|goodbye|see\s+you|take\s+care)|^(sorry\s+(about\s+that|for\s+the))|^(you'?re\s+welcome|no\s+problem|my\s+pleasure)"
+_re = lambda p: "(?i)" + p.replace("'", "''")
+_verdicts = f"v as (select doc_id, nth, case when regexp_matches(line, '{_re(_correction)}') then 'correction' when length(s) < 5 then 'cut' when regexp_matches(s, '{_re(_keep)}') then 'kept' when regexp_matches(s, '{_re(_cut)}') then 'cut' else 'kept' end as verdict from (select doc_id, cast(i - 1 as int) as nth, l[i] as line, trim(l[i], ' ') as s from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))))"
+_sections = "sec as (select doc_id, cast(sum(cast(regexp_matches(line, '^(#{1,6}\\s|[A-Z]\\w*\\.$)') as int)) over (partition by doc_id order by nth) as bigint) as section, nth, line from (select doc_id, cast(i - 1 as int) as nth, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))))"
+_simhash = "wd as (select doc_id, w, count(*) as n, md5(w) as h from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) as w from documents) group by doc_id, w), vb as (select doc_id, i, sum(case when (('0x' || h[17 + 8 * (i // 32):24 + 8 * (i // 32)])::ubigint >> (31 - i % 32)::ubigint) & 1 = 1 then n else -n end) as v from (select *, unnest(range(0, 64)) as i from wd) group by doc_id, i), sh as (select doc_id, string_agg(case when v > 0 then '1' else '0' end, '' order by i) as simhash from vb group by doc_id)"
 _talk_sql = f"{_chunk}, talk as (select conv_id as doc_id, string_agg(upper(speaker[1]) || speaker[2:] || ': ' || text, chr(10) order by turn) as text from ch group by conv_id)"
 _level = lambda tiers: "case when {3} >= 2 then 3 when {3} >= 1 or {2} >= 2 then 2 when {2} >= 1 or {1} >= 1 then 1 else 0 end".format(*["0"] + ["(" + " + ".join(f"cast(regexp_matches(text, '{p}') as int)" for p in tiers.get(k, [])) + ")" for k in (1, 2, 3)])
 SQL = {
@@ -112,11 +120,16 @@ SQL = {
     "txt16_word_scores": f"with {_lex}, w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) select doc_id, category, count(*) as n, sum(weight) as score from w join lex using (term) group by doc_id, category",
     "txt01_sentences": "select doc_id, cast(i - 1 as int) as nth, l[i] as sentence from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20) as l from documents))",
     "txt01_paragraphs": "select doc_id, cast(i - 1 as int) as nth, cast(l[i] as int) as n_words from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: len(list_filter(string_split(p, ' '), lambda w: w <> ''))), lambda n: n >= 4) as l from documents))",
-    "txt02_spans": "select doc_id, cast(s as int) as start, cast(s + 4 as int) as \"end\" from (select doc_id, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * 4)) as s from (select doc_id, string_split(lower(text), 'tion') as p from documents))",
-    "txt25_snippets": "select doc_id, substring(text, f, a - f + 23) as snippet from (select doc_id, text, instr(lower(text), 'ing') as a, greatest(1, instr(lower(text), 'ing') - 20) as f from documents) where a > 0",
-    "agg12_frequent_terms": f"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) as w from documents where lang = 'en'), n as (select doc_id, w, row_number() over (partition by doc_id order by count(*) desc, w) as nth from w where w not in ({', '.join(map(repr, STOP))}) group by doc_id, w) select doc_id, string_agg(w, ',' order by nth) as terms from n where nth <= 3 group by doc_id",
-    "agg28_section_hashes": "select doc_id, cast(len(l) as int) as sections, sha256(array_to_string(l, '|')) as root from (select doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: sha256(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))))) as l from documents)",
-    "join17_nearest_names": f"with {x.FILES_SQL}, nm as (select distinct name from files), g as (select name, g, count(*) as k from (select name, unnest(list_transform(range(1, greatest(1, length(name) - 2) + 1), lambda i: lower(name)[i:i + 2])) as g from nm) group by name, g), idf as (select g, ln((1 + (select count(*) from nm)) / (1 + count(*))) + 1 as idf from g group by g), w as (select name, g, k * idf / sqrt(sum(k * idf * k * idf) over (partition by name)) as w from g join idf using (g)), s as (select a.name as query, b.name, round(sum(a.w * b.w), 6) as similarity from w a join w b using (g) where a.name <> b.name and length(a.name) % 5 = 0 group by a.name, b.name) select * from s qualify row_number() over (partition by query order by similarity desc, name) <= 6",
+    "txt02_spans": "with l(term, contribution) as (values ('tion', 1.0::double), ('the', 0.5), ('a.', 2.0)), p as (select doc_id, term, contribution, string_split(lower(text), term) as p from documents, l where contains(lower(text), term)), q as (select doc_id, term, contribution, i, len(p) as n, length(p[i]) as k from (select *, unnest(range(1, len(p) + 1)) as i from p)), r as (select *, cast(sum(k) over (partition by doc_id, term order by i) + (i - 1) * length(term) as int) as start from q) select doc_id, term, start, cast(start + length(term) as int) as \"end\", contribution from r where i < n",
+    "txt25_snippets": "with p as (select doc_id, text, string_split(lower(text), 'ing') as p from documents where contains(lower(text), 'ing')), q as (select *, unnest(range(1, least(4, len(p)))) as i from p), r as (select doc_id, text, cast(i - 1 as int) as nth, cast(list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * 3 + 1 as bigint) as a from q) select doc_id, nth, substring(text, greatest(1, a - 20), a - greatest(1, a - 20) + 23) as snippet from r",
+    "agg12_frequent_terms": f"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) as w from documents), n as (select doc_id, w, row_number() over (partition by doc_id order by count(*) desc, w) as nth from w where w not in ({', '.join(map(repr, STOP))}) group by doc_id, w) select doc_id, string_agg(w, ',' order by nth) as terms from n where nth <= 3 group by doc_id",
+    "agg28_section_hashes": f"with {_sections}, k as (select doc_id, section, nth, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) as x from sec where trim(line, ' ') <> ''), v as (select doc_id, section, sha256(string_agg(x, chr(10) order by nth)) as hash from k group by doc_id, section) select doc_id, 1 as level, section, hash from v union all select doc_id, 0, null, sha256(string_agg(hash, '|' order by section)) from v group by doc_id",
+    "win10_sections": f"with {_sections} select * from sec",
+    "agg27_simhash": f"with {_simhash} select doc_id, simhash from sh",
+    "udf09_near_fingerprints": f"with {_simhash}, cl as (select simhash, min(doc_id) as class_id from sh group by simhash), nr as (select a.class_id, count(*) as near from cl a join cl b on a.class_id <> b.class_id and 64 - list_sum(list_transform(range(1, 65), lambda i: case when a.simhash[i] = b.simhash[i] then 1 else 0 end)) <= 3 group by a.class_id) select doc_id, class_id, cast(coalesce(near, 0) as bigint) as near from sh join cl using (simhash) left join nr using (class_id)",
+    "agg29_set_similarity": f"with {_chunk}, s as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as w from ch), b as (select *, lag(w) over (partition by conv_id order by turn) as b from s) select conv_id, turn, round(case when len(list_distinct(w || coalesce(b, []))) = 0 then 0 else len(list_intersect(w, coalesce(b, []))) / len(list_distinct(w || coalesce(b, []))) end, 6) as jaccard from b",
+    "win02_topics": f"with recursive {_emb}, n as (select conv_id, turn, similarity, row_number() over (partition by conv_id order by turn) as i from sim), f as (select conv_id, i, 0 as topic, 1 as size from n where i = 1 union all select n.conv_id, n.i, f.topic + cast(f.size >= 2 and coalesce(n.similarity < 0.6, false) as int), case when f.size >= 2 and coalesce(n.similarity < 0.6, false) then 1 else f.size + 1 end from f join n on n.conv_id = f.conv_id and n.i = f.i + 1) select conv_id, turn, topic from f join n using (conv_id, i)",
+    "join17_nearest_names": f"with {x.FILES_SQL}, nm as (select distinct name from files), g as (select name, g, count(*) as k from (select name, unnest(list_transform(range(1, greatest(1, length(name) - 2) + 1), lambda i: lower(name)[i:i + 2])) as g from nm) group by name, g), idf as (select g, ln((1 + (select count(*) from nm)) / (1 + count(*))) + 1 as idf from g group by g), w as (select name, g, k * idf / sqrt(sum(k * idf * k * idf) over (partition by name)) as w from g join idf using (g)), s as (select a.name as query, b.name, round(sum(a.w * b.w), 6) as similarity from w a join w b using (g) where a.name <> b.name and a.name in (select name from files where doc_id % 100 = 0) group by a.name, b.name) select * from s qualify row_number() over (partition by query order by similarity desc, name) <= 6",
     "join18_nearest_vectors": "with v as (select vec_id, embedding::double[] as e from embeddings), p as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) as similarity from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) select * from p where similarity > 0 qualify row_number() over (partition by query_id order by similarity desc, vec_id desc) <= 6",
     "win01_adjacent_similarity": f"with {_emb} select * from sim",
     "win11_turns": f"with {_talk_sql}, l as (select doc_id, i, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from talk))), m as (select *, case when regexp_matches(line, '(?i)^(?:\\*\\*)?(?:h|human|user)(?:\\*\\*)?[:\\s]') then 'human' when regexp_matches(line, '(?i)^(?:\\*\\*)?(?:a|assistant|ai)(?:\\*\\*)?[:\\s]') then 'assistant' end as speaker from l), n as (select *, count(speaker) over (partition by doc_id order by i rows unbounded preceding) as turn from m) select doc_id, turn, max(speaker) as speaker, count(*) as n_lines, cast(length(trim(string_agg(line, chr(10) order by i))) as int) as n_chars from n where turn > 0 group by doc_id, turn having length(trim(string_agg(line, chr(10) order by i))) > 20",
@@ -130,5 +143,5 @@ SQL = {
     "flt13_secret_warning": "select doc_id, regexp_matches(text, '(?i)(api[_-]?key|secret|token|password)\\s*[:=]\\s*\\S+') or regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{12,}') or regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') as warning from documents",
     "srt02_search_top": "select * from (select doc_id, cast((length(text) - length(replace(lower(text), 'the', ''))) // 3 + (length(text) - length(replace(lower(text), 'tion', ''))) // 4 as bigint) as score from documents) where score > 0 order by score desc, doc_id desc limit 50",
     "srt02_search_all": "select * from (select doc_id, cast((length(text) - length(replace(lower(text), 'the', ''))) // 3 + (length(text) - length(replace(lower(text), 'tion', ''))) // 4 as bigint) as score from documents) where score > 0",
-    "set06_combined": "select source as folder, string_agg(text, chr(10) || '---' || chr(10) order by doc_id) as body from documents group by source",
+    "set06_combined": "with u as (select *, sum(length(text)) over (partition by source order by doc_id) - length(text) as used from documents) select source as folder, cast(used // 100000 as bigint) as part, string_agg(text, chr(10) || '---' || chr(10) order by doc_id) as body from u group by 1, 2",
 }

@@ -25,9 +25,21 @@ FOLDERS = ["/a/b/c/d/e", "/research", "/build", "/output", "/.git", "/tmp"]
 _ext = pick("doc_id div 7 % 20", EXTS)
 _stem = pick("doc_id div 3 % 31", STEMS, "'doc_' || cast(doc_id % 40 as string) || " + pick("doc_id % 7", ["_v2", "_final", " (1)"]))
 _dir = "source || '/' || lang || " + pick("doc_id % 37", FOLDERS)
+#: Rows that show rare symptoms, by doc_id % 200: folder, stem, extension; every fourth file lies in one large folder.
+RARE = {
+    101: ("src1/pa/app", "readme", ".md"), 102: ("src1/pb/app", "readme", ".md"), 103: ("src1/pc/app", "readme", ".md"), 105: ("src1/links", "index", ".md"), 106: ("src1/pa", "app", ".zip"),
+    107: ("src1/enc", "odd", ".txt"), 109: ("src1/leak", "", ".env"), 110: ("src1/" + "long" * 60, "deep", ".txt"), 111: ("src1/enc", "even", ".txt"), 113: ("src1/research", "Invoice may", ".pdf"), 114: ("src1/subs", "alone.meta", ".srt"), 115: ("src1/old", "readme", ".md"),
+}
+
+
+def _rare(place: int, other: str) -> str:
+    return "case doc_id % 200 " + " ".join(f"when {k} then '{v[place]}'" for k, v in RARE.items()) + f" else {other} end"
+
+
 FILES = {
-    "doc_id": "doc_id", "root": "source", "dir": _dir, "stem": _stem, "ext": _ext, "size": "case when doc_id % 13 = 0 then n_chars % 90 else n_chars end",
-    "day": "(doc_id % 1000) * 7 div 24", "hour": "(doc_id % 1000) * 7", "lang": "lang", "content": "text",
+    "doc_id": "doc_id", "root": "case when doc_id % 4 = 0 then 'src0' else " + "case when doc_id % 200 in (" + ", ".join(map(str, RARE)) + ") then 'src1' else source end end", "dir": f"case when doc_id % 4 = 0 then 'src0/all' else {_rare(0, _dir)} end", "stem": _rare(1, _stem), "ext": _rare(2, _ext),
+    "size": "case when doc_id % 13 = 0 then n_chars % 90 else n_chars end", "day": "case when doc_id % 8 = 0 then 77 when doc_id % 200 = 115 then 1 else (doc_id % 1000) * 7 div 24 end", "hour": "case when doc_id % 8 = 0 then 77 * 24 + doc_id % 24 when doc_id % 200 = 115 then 24 else (doc_id % 1000) * 7 end", "lang": "lang",
+    "content": "case doc_id % 200 when 105 then text || ' [[Missing Page]] [x](gone.md)' when 107 then text || '�' else text end",
 }
 #: The day (from the first) on which ages are taken.
 AS_OF = 300
@@ -40,15 +52,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirs(files: DataFrame) -> DataFrame:
-    """root, dir, parent, base, day: every folder above a file, with its latest change."""
+    """root, dir, parent, base, day: every folder above a file, with its latest change, and a few empty ones."""
     parts = F.split("dir", "/")
-    every = files.select("root", "day", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir"))
+    places = files.select("root", "day", "dir").unionByName(files.where("doc_id % 200 = 111").select("root", "day", F.concat("dir", F.lit("/empty")).alias("dir")))
+    every = places.select("root", "day", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir"))
     return every.groupBy("root", "dir").agg(F.max("day").alias("day")).withColumns({"base": F.substring_index("dir", "/", -1), "parent": F.expr("case when instr(dir, '/') > 0 then substring(dir, 1, length(dir) - length(substring_index(dir, '/', -1)) - 1) end")})
 
 
 FILES_SQL = "files as (select *, stem || ext as name, dir || '/' || stem || ext as path, sha256(content) as hash, len(string_split(dir, '/')) as depth from (select " + ", ".join(f"{e.replace(' div ', ' // ')} as {c}" for c, e in FILES.items()) + " from documents))"
 DIRS_SQL = FILES_SQL + """, dirs as (select root, dir, max(day) as day, list_last(string_split(dir, '/')) as base, case when dir like '%/%' then regexp_replace(dir, '/[^/]*$', '') end as parent
-from (select root, day, unnest(list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/'))) as dir from files) group by root, dir)"""
+from (select root, day, unnest(list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/'))) as dir from (select root, day, dir from files union all select root, day, dir || '/empty' from files where doc_id % 200 = 111)) group by root, dir)"""
 
 
 def files_before(files: DataFrame) -> DataFrame:
