@@ -85,18 +85,20 @@ def rotation(pages: DataFrame, done: DataFrame, kinds: list[str]) -> DataFrame:
     return df.groupBy("page").agg(F.coalesce(lacking, rare).alias("kind"))
 
 
-def tree(folders: DataFrame, most: int = 64) -> DataFrame:
-    """(id, path, depth): folders (id, parent, name) under their parents, level by level until a level is empty."""
-    level = folders.where("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out, depth = level, 0
-    while depth < most:
-        depth += 1
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = folders.join(up, "parent").select("id", F.concat_ws("/", "above", "name").alias("path"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def tree(folders: DataFrame) -> DataFrame:
+    """(id, path, depth): folders (id, parent, name) under their parents, by a recursive query until a level is empty.
+
+    The session's limits of depth and rows of recursive queries are lifted, so that no folder is left out.
+    """
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        folders.sparkSession.conf.set(limit, "-1")
+    folders.createOrReplaceTempView("corpusloom_tree")
+    return folders.sparkSession.sql(
+        """with recursive t(id, path, depth) as (
+        select id, name, 0 from corpusloom_tree where parent is null
+        union all select f.id, concat(t.path, '/', f.name), t.depth + 1 from t join corpusloom_tree f on f.parent = t.id)
+        select id, path, depth from t"""
+    )
 
 
 def gaps(scores: DataFrame, least: int) -> DataFrame:

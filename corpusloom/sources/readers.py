@@ -12,7 +12,7 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 def inventory(spark: SparkSession, roots: list[str], glob: str | None = None, least: int = 0, most: int | None = None, content: bool = True) -> DataFrame:
     """(path, root, name, ext, size, mtime, depth, content) of the files below the roots, in any store Spark reads.
 
-    Content is read only if a later step uses it.
+    Content is read only if a later step uses it. Names that begin with a dot or an underscore are hidden from readers of Spark.
     """
     out = None
     for root in roots:
