@@ -44,6 +44,14 @@ l as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.d
 r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on l.a = r.b)
 select doc_id, coalesce(n.n, 0) as n_shingles, component_id from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) using (doc_id)"""
 
+OP13 = f"""with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on l.a = r.b),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept from d left join n using (doc_id) join c using (doc_id)"""
+
 OP8 = rf"""with words as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 items as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 bw as (select distinct item_id, len(w[i:i + 9]) as k, array_to_string(w[i:i + 9], ' ') as s from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0)),
@@ -65,4 +73,4 @@ gone as (select distinct c.doc_id, c.i from c join e x on x.doc_id = c.doc_id an
 g as (select doc_id, count(*) as n, string_agg(cast(i - 1 as varchar), ',' order by i) as removed from gone group by doc_id)
 select doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, coalesce(n, 0) as n_removed, coalesce(removed, '') as removed from documents left join g using (doc_id)"""
 
-SQL = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_dedup": OP9}
+SQL = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_dedup": OP9, "op13_minhash_dedup": OP13}

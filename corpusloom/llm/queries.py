@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, oracles, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_output
+from . import bpe, decontaminate, language_id, line_dedup, minhash_dedup, ngram_join, oracles, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.link(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 SQL: dict[str, str] = dict(oracles.SQL)
