@@ -149,6 +149,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
         was, pairs = pairs, written(possible(pairs, prof, percent), "pairs")
         discard(was)
     found = first if pairs.isEmpty() else joined_up(first, pairs, check)
+    # an id whose rows hold different sets ties their classes together
+    several = rows.where("n > 0 and id is not null").groupBy("id").agg((F.min("s1") != F.max("s1")).alias("differ")).where("differ").select("id")
+    ties = written(rows.join(several, "id").join(classes, ["s1", "s2"]).select(F.col("id").alias("a"), F.col("d").alias("b")), "ties")
+    if not ties.isEmpty():
+        found = components(ties.unionByName(found.toDF("a", "b")))
     named = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component_id"))
     out = rows.join(named, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
