@@ -44,6 +44,23 @@ l as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.d
 r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on l.a = r.b)
 select doc_id, coalesce(n.n, 0) as n_shingles, component_id from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) using (doc_id)"""
 
+OP12 = """with recursive turns as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos from conversations where conv_id is not null),
+ids as (select distinct c from turns),
+tab(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from tab where k < 8),
+crc(c, p, v) as (select c, 1, 4294967295 from ids union all select c, p + 1, xor(crc.v >> 8, tab.v) from crc join tab on tab.k = 8 and tab.i = xor(crc.v & 255, ascii(substr(cast(c as varchar), p, 1))) where p <= length(cast(c as varchar))),
+h as (select c, xor(v, 4294967295) % 6 as h from crc where p = length(cast(c as varchar)) + 1),
+built as (select h.c, 0 as part, pos, role, text from h join turns on turns.c = h.c - h.c % 100 and pos < h union all select h.c, 1, pos, role, text from h join turns on turns.c = h.c and pos >= h),
+placed as (select *, row_number() over (partition by c order by part, pos) as depth from built),
+keyed as (select *, md5(string_agg(md5(length(role) || ':' || role || text), '' order by depth) over (partition by c order by depth)) as key from placed),
+paths as (select c, depth, key, length(text) as size, lag(key, 1, '') over (partition by c order by depth) as parent from keyed union all select c, 0, '', 0, null from ids),
+last as (select c, max(depth) as depth from paths group by c),
+nodes as (select key, any_value(depth) as depth, any_value(parent) as parent, any_value(size) as size, min(c) as c, count(*) as n from paths group by key),
+children as (select parent as key, count(*) as n_children from nodes group by parent),
+below as (select a.key, sum((v.n - 1) * v.size) as saved, count(*) filter (n_children is null) as leaves from nodes v left join children on children.key = v.key join paths a on a.c = v.c and a.depth <= v.depth group by a.key),
+ends as (select key, string_agg(cast(c as varchar), ',' order by c) as ends from paths join last using (c, depth) group by key)
+select nodes.c as conv_id, cast(nodes.depth as bigint) as depth, up.c as parent_conv_id, nodes.n as n_convs, coalesce(n_children, 0) as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from nodes left join nodes up on up.key = nodes.parent left join children on children.key = nodes.key join below on below.key = nodes.key left join ends on ends.key = nodes.key"""
+
 OP13 = f"""with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
 s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d)),
 n as (select doc_id, count(*) as n from s group by doc_id),
@@ -73,4 +90,4 @@ gone as (select distinct c.doc_id, c.i from c join e x on x.doc_id = c.doc_id an
 g as (select doc_id, count(*) as n, string_agg(cast(i - 1 as varchar), ',' order by i) as removed from gone group by doc_id)
 select doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, coalesce(n, 0) as n_removed, coalesce(removed, '') as removed from documents left join g using (doc_id)"""
 
-SQL = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_dedup": OP9, "op13_minhash_dedup": OP13}
+SQL = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_dedup": OP9, "op12_conversation_trie": OP12, "op13_minhash_dedup": OP13}
