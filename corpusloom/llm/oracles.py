@@ -44,6 +44,18 @@ l as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.d
 r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on l.a = r.b)
 select doc_id, coalesce(n.n, 0) as n_shingles, component_id from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) using (doc_id)"""
 
+OP11 = rf"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents where text is not null),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w)) as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (select unnest([1, 2, 3, 4, 5]) as k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by lang, k, phrase having count(*) >= 100),
+inside as (select lang, phrase, max(f) as longer from (select lang, f, unnest(list_distinct([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')])) as phrase from f where k > 2) group by lang, phrase),
+good as (select f.* from f left join inside using (lang, phrase) where f.k > 1 and (longer is null or 100 * longer < 100 * f.f)),
+cuts as (select lang, phrase, f as a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') as left_, array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') as right_ from good, (select unnest([1, 2, 3, 4]) as cut) where cut < k),
+scored as (select cuts.*, x.f as l, y.f as r, n.n, cast((cast(1000 as hugeint) * a * n.n) // (cast(x.f as hugeint) * y.f) as bigint) as score from cuts join f x on x.lang = cuts.lang and x.phrase = left_ join f y on y.lang = cuts.lang and y.phrase = right_ join n on n.lang = cuts.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, score from best qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
 OP12 = """with recursive turns as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos from conversations where conv_id is not null),
 ids as (select distinct c from turns),
 tab(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from tab where k < 8),
@@ -90,4 +102,4 @@ gone as (select distinct c.doc_id, c.i from c join e x on x.doc_id = c.doc_id an
 g as (select doc_id, count(*) as n, string_agg(cast(i - 1 as varchar), ',' order by i) as removed from gone group by doc_id)
 select doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, coalesce(n, 0) as n_removed, coalesce(removed, '') as removed from documents left join g using (doc_id)"""
 
-SQL = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_dedup": OP9, "op12_conversation_trie": OP12, "op13_minhash_dedup": OP13}
+SQL = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op4_ngram_join": OP4, "op8_decontaminate": OP8, "op9_line_dedup": OP9, "op11_phrases": OP11, "op12_conversation_trie": OP12, "op13_minhash_dedup": OP13}

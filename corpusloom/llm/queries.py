@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_trie, decontaminate, language_id, line_dedup, minhash_dedup, ngram_join, oracles, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_output
+from . import bpe, conversation_trie, decontaminate, language_id, line_dedup, minhash_dedup, ngram_join, oracles, phrases, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.of_shared_openings(table(spark, sf_dir, "conversations"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_phrases": op11_phrases,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_minhash_dedup": op13_minhash_dedup,
 }
