@@ -131,7 +131,9 @@ def page_items(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"&#?\w{1,8};", " ")
     found = lambda c, p: F.when(F.regexp_extract(c, p, 1) != "", F.lower(F.regexp_extract(c, p, 1)))
     host = found("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
-    path = found("url", r"://[^/?#]+/(?:[^/?#]+/)*?([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)")
+    # the first part of the path that is a language, or a language and a region; parts are split, as a pattern over many parts recurses in Java
+    parts = F.split(F.substring_index(F.regexp_extract("url", r"://[^/?#]+(/[^?#]*)", 1), "//", 1), "/")
+    path = F.lower(F.substring(F.get(F.filter(parts, lambda x: x.rlike(r"^[A-Za-z]{2}([-_][A-Za-z]{2})?$")), F.lit(0)), 1, 2))
     suffix = F.substring_index(host, ".", -1)
     return pages.select(
         "page_id", text.alias("t"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), suffix.alias("suffix"),

@@ -31,3 +31,9 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.lang) for r in language_id.identify(df).collect()) == [(1, "en"), (2, "en"), (2, "en")]
     assert language_id.identify(df.limit(0)).collect() == []
     assert [r.lang for r in language_id.identify(df.where("lang is null")).collect()] == [None, None]
+
+
+def test_addresses_of_any_length(spark):
+    urls = ["https://a.org/" + "abc/" * 30000 + "de/", "https://a.org/x/en-GB?q=fr", "https://a.org/FR", "https://a.org//de/", "https://a.org/deu/x", "https://a.es/", None, "https://a.org/x/it#de"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.hint for r in language_id.page_items(pages).collect()} == {0: "de", 1: "en", 2: "fr", 3: None, 4: None, 5: "es", 6: None, 7: "it"}
