@@ -6,13 +6,15 @@ resolves names that were given a literal before (constants) and joins of literal
 its target's name and its own form; literals of LEAST_SCORE or more give spans of kind `literal`.
 
 Null texts are empty: no spans. Repeated rows keep a row each. An empty table gives an empty result. Extra columns are
-dropped. Texts of any length are read whole; offsets count code points, ends are exclusive.
+dropped. Joined values of over LONGEST characters are scored by how often they have each character and by their ends, so
+that constants that are doubled line by line cost a line each. Texts of any length are read whole; offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ ORDER = ("assign", "access", "hex", "literal")
 NAME_SCORES = {"password": 5, "passwd": 5, "pwd": 5, "passphrase": 5, "secret": 5, "token": 4, "credential": 4, "credentials": 4, "apikey": 5, "privatekey": 5, "auth": 2, "bearer": 3, "key": 2, "api": 2, "access": 1, "private": 2, "signing": 2, "session": 1, "encryption": 2, "client": 1}
 PLACEHOLDERS = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|todo|changeme|example.*|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 LEAST_SCORE = 7
+#: Characters of a joined value that are kept as text, and of each end of a longer one.
+LONGEST, ENDS = 256, 64
 _HEX_ONLY = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _MARK = re.compile(r"[:=]")
 _NAME = re.compile(r"""[A-Za-z_][A-Za-z0-9_.\-]*\Z""")
@@ -44,14 +48,47 @@ def name_score(name: str) -> int:
     return sum(NAME_SCORES.get(p, 0) for p in set(parts)) + max([0, *(NAME_SCORES[a + b] for a, b in zip(parts, parts[1:], strict=False) if a + b in NAME_SCORES)])
 
 
-def literal_score(value: str) -> int:
+class Long:
+    """What scoring needs of a joined value of over LONGEST characters: how often it has each, and its ends.
+
+    These add up, so that constants joined to themselves over and over cost no more than any other. The numbers are
+    exact up to 2^512; beyond, all are shortened alike.
+    """
+
+    __slots__ = ("counts", "head", "tail")
+
+    def __init__(self, counts: dict[str, int], head: str, tail: str):
+        self.counts, self.head, self.tail = counts, head, tail
+
+    def __len__(self) -> int:
+        return min(sum(self.counts.values()), sys.maxsize)
+
+
+def join(a: str | Long, b: str | Long) -> str | Long:
+    if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) <= LONGEST:
+        return a + b
+    (x, head_a, tail_a), (y, head_b, tail_b) = ((Counter(v), v, v) if isinstance(v, str) else (v.counts, v.head, v.tail) for v in (a, b))
+    counts = {k: x.get(k, 0) + y.get(k, 0) for k in {*x, *y}}
+    while sum(counts.values()) >> 512:
+        counts = {k: max(1, v >> 256) for k, v in counts.items()}
+    return Long(counts, (head_a + head_b)[:ENDS], (tail_a + tail_b)[-ENDS:])
+
+
+def literal_score(value: str | Long) -> int:
     """0 for what can't be a secret; else a score of length, kinds of characters and entropy."""
-    if len(value) < 6 or PLACEHOLDERS.match(value):
+    if isinstance(value, str):
+        counts, shape = Counter(value), value
+    else:
+        # between the ends one more character, so that a run of one character isn't taken for all
+        counts = value.counts
+        shape = value.head + next((c for c in counts if c not in value.head), value.head[0]) + value.tail
+    if len(value) < 6 or PLACEHOLDERS.match(shape):
         return 0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    return 1 + (n >= 12) + (n >= 20) + (entropy >= 3) + (entropy >= 4) + (kinds >= 2) + (kinds >= 3) - 3 * (" " in value)
+    n = sum(counts.values())
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    letters = "".join(counts)
+    kinds = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    return 1 + (n >= 12) + (n >= 20) + (entropy >= 3) + (entropy >= 4) + (kinds >= 2) + (kinds >= 3) - 3 * (" " in counts)
 
 
 def name_before(text: str, at: int) -> str:
@@ -69,9 +106,9 @@ def name_before(text: str, at: int) -> str:
     return name[0] if name else ""
 
 
-def lex(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, name, value) of every assigned literal; the value of a known name or a join is its text."""
-    constants: dict[str, str] = {}
+def lex(text: str) -> list[tuple[int, int, str, str | Long]]:
+    """(start, end, name, value) of every assigned literal; the value of a known name or a join is its text, or a Long."""
+    constants: dict[str, str | Long] = {}
     out, done = [], 0
     for m in _MARK.finditer(text):
         at = m.start()
@@ -89,13 +126,14 @@ def lex(text: str) -> list[tuple[int, int, str, str]]:
         while t := _TERM.match(text, i):
             quoted = t[1] if t[1] is not None else t[2] if t[2] is not None else t[3]
             if quoted is not None:
-                value += quoted
+                value = join(value, quoted) if value else quoted
                 spans.append(t.span(1 if t[1] is not None else 2 if t[2] is not None else 3))
             elif t[4] is not None and t[4] in constants:
-                value += constants[t[4]]
+                value = join(value, constants[t[4]]) if value else constants[t[4]]
                 spans.append(t.span(4))
             else:
-                value += t[4] if t[4] is not None else t[5]
+                plain = t[4] if t[4] is not None else t[5]
+                value = join(value, plain) if value else plain
                 spans.append(t.span(4 if t[4] is not None else 5))
             i = t.end()
             more = re.compile(r"\x20*\+").match(text, i)

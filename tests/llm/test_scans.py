@@ -146,3 +146,18 @@ def test_cutoffs_reject_few_good_documents(spark):
     assert sum(not got[i] for i in range(3000)) <= 30 and not any(got[i] for i in range(3000, 3300))
     kept = quality_rules.keep(frame(spark, rows), labels)
     assert kept.columns == frame(spark, []).columns and kept.count() == sum(got.values())
+
+
+def test_constants_doubled_line_by_line():
+    lines = ["x0 = 'aB3$kdLq'"] + [f"x{i} = x{i - 1} + x{i - 1}" for i in range(1, 2000)] + ["secret_token = x1999", "password = x9", "password = 'xxxx' + 'xxxx'", "zs = 'x' + 'x'", *[f"z{i} = z{i - 1} + z{i - 1}" for i in range(1, 1)]]
+    text = "\n".join(lines)
+    found = [text[a:b] for _, a, b in secret_scan.literal_spans(text)]
+    assert found == ["x1999", "x9"]
+    short, long = secret_scan.join("aB3$kdLq", "aB3$kdLq"), "aB3$kdLq"
+    for _ in range(9):
+        long = secret_scan.join(long, long)
+    assert isinstance(long, secret_scan.Long) and len(long) == 8 * 512
+    assert secret_scan.literal_score(long) == secret_scan.literal_score("aB3$kdLq" * 512) and secret_scan.literal_score(short) > 0
+    runs = secret_scan.join("x" * 200, "x" * 200)
+    assert secret_scan.literal_score(runs) == 0 and secret_scan.literal_score(secret_scan.join(runs, "1aB")) > 0
+    assert secret_scan.literal_score(secret_scan.join("your-" + "k" * 300, "1")) == 0 == secret_scan.literal_score(secret_scan.join("<" + "k" * 300, ">"))
