@@ -6,6 +6,7 @@ The split is that of the public byte-level pattern
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -83,6 +84,10 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
+#: Bytes of a piece beyond which it is merged with a heap.
+LONG = 512
+
+
 class Merges:
     """The merge table as arrays; merges many pieces at once."""
 
@@ -94,6 +99,7 @@ class Merges:
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.lookup: dict[int, int] | None = None
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -103,6 +109,49 @@ class Merges:
     def apply(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their counts for pieces of `sizes` bytes (at least 1) laid end to end in data.
 
+        Short pieces are merged together in rounds, pieces of over LONG bytes one by one with a heap of their pairs.
+        """
+        long = sizes > LONG
+        if not long.any():
+            return self.rounds(data, sizes)
+        ends = np.cumsum(sizes)
+        ids, counts = self.rounds(data[np.repeat(~long, sizes)], sizes[~long])
+        parts, sizes_out = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [], np.zeros(len(sizes), np.int64)
+        parts, out = iter(parts), []
+        for i, is_long in enumerate(long.tolist()):
+            out.append(self.one(data[ends[i] - sizes[i] : ends[i]]) if is_long else next(parts))
+            sizes_out[i] = len(out[-1])
+        return np.concatenate(out), sizes_out
+
+    def one(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one piece: its pairs of least rank are merged first, the leftmost of equals, in n log n steps."""
+        if self.lookup is None:
+            self.lookup = dict(zip(self.key.tolist(), self.rank.tolist(), strict=True))
+        lookup, made = self.lookup, self.made
+        ids, n = self.byte_id[data].tolist(), len(data)
+        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := lookup.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = nxt[i]
+            # a pair that has changed since: one of its sides was merged away or grew
+            if ids[i] < 0 or j >= n or lookup.get(ids[i] << 32 | ids[j]) != rank:
+                continue
+            ids[i], ids[j] = int(made[rank]), -1
+            nxt[i] = after = nxt[j]
+            if after < n:
+                prev[after] = i
+                if (r := lookup.get(ids[i] << 32 | ids[after])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (before := prev[i]) >= 0 and (r := lookup.get(ids[before] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (r, before))
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
+    def rounds(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts, as `apply`.
+
         Each round merges in every piece its pair of least rank (the leftmost of equals) until no piece has a pair.
         """
         none = len(self.key)

@@ -109,3 +109,18 @@ def test_bounded_piece_table(library):
     table = _bpe.PieceTable(lambda p: merges.apply(*bpe.piece_bytes(p)), most=3)
     for t in ["a b c d e", "f g h", "a b c zz"]:
         assert _bpe.encode_texts([t], table, {})[0].tolist() == library.encode(t).ids
+
+
+def test_long_pieces_without_blanks(library):
+    """A megabyte of letters, and of Chinese characters, in one piece each, as the library merges them."""
+    merges = _bpe.Merges(_bpe.load(tokenizer())["model"])
+    r = np.random.default_rng(4)
+    letters = bytes(r.integers(97, 123, 1 << 20, dtype=np.uint8)).decode()
+    chinese = "".join(map(chr, r.integers(0x4E00, 0x5E00, 40000)))
+    for text in (letters, chinese, "a" * 100000, "ab" * 700):
+        ids, counts = merges.apply(np.frombuffer(text.encode(), np.uint8), np.array([len(text.encode())]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    pieces = [b"hello", letters[:3000].encode(), b"world", b"x" * 513, b"y"]
+    ids, counts = merges.apply(np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces))))
+    assert np.split(ids, np.cumsum(counts)[:-1])[1].tolist() == library.encode(letters[:3000], add_special_tokens=False).ids
+    assert len(counts) == 5 and ids.tolist() == sum((library.encode(p.decode(), add_special_tokens=False).ids for p in pieces), [])
