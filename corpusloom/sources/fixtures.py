@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.encodings import encoding
+
 
 def pick(key: str, values: list[str], other: str = "''") -> str:
     """SQL: the value at the place that key gives, else `other`."""
@@ -39,16 +41,19 @@ def _rare(place: int, other: str) -> str:
 FILES = {
     "doc_id": "doc_id", "root": "case when doc_id % 4 = 0 then 'src0' else " + "case when doc_id % 200 in (" + ", ".join(map(str, RARE)) + ") then 'src1' else source end end", "dir": f"case when doc_id % 4 = 0 then 'src0/all' else {_rare(0, _dir)} end", "stem": _rare(1, _stem), "ext": _rare(2, _ext),
     "size": "case when doc_id % 13 = 0 then n_chars % 90 else n_chars end", "day": "case when doc_id % 8 = 0 then 77 when doc_id % 200 = 115 then 1 else (doc_id % 1000) * 7 div 24 end", "hour": "case when doc_id % 8 = 0 then 77 * 24 + doc_id % 24 when doc_id % 200 = 115 then 24 else (doc_id % 1000) * 7 end", "lang": "lang",
-    "content": "case doc_id % 200 when 105 then text || ' [[Missing Page]] [x](gone.md)' when 107 then text || '�' else text end",
+    "content": "case doc_id % 200 when 105 then text || ' [[Missing Page]] [x](gone.md)' else text end",
 }
+#: The bytes of some files, as Latin-1.
+LATIN = "Café au lait, s'il vous plaît"
 #: The day (from the first) on which ages are taken.
 AS_OF = 300
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, root, dir, depth, name, stem, ext, path, size, hash, day and hour of the last change, content."""
+    """doc_id, root, dir, depth, name, stem, ext, path, size, hash, day and hour of the last change, content, encoding."""
     df = table(spark, sf_dir, "documents").select(*(F.expr(e).alias(c) for c, e in FILES.items()))
-    return df.withColumns({"name": F.concat("stem", "ext"), "path": F.concat("dir", F.lit("/"), "stem", "ext"), "hash": F.sha2("content", 256), "depth": F.size(F.split("dir", "/"))})
+    raw = F.when(F.expr("doc_id % 200 = 107"), F.encode(F.lit(LATIN), "ISO-8859-1")).otherwise(F.col("content").cast("binary"))
+    return df.withColumns({"name": F.concat("stem", "ext"), "path": F.concat("dir", F.lit("/"), "stem", "ext"), "hash": F.sha2("content", 256), "depth": F.size(F.split("dir", "/")), "encoding": encoding(raw)})
 
 
 def dirs(files: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def dirs(files: DataFrame) -> DataFrame:
     return every.groupBy("root", "dir").agg(F.max("day").alias("day")).withColumns({"base": F.substring_index("dir", "/", -1), "parent": F.expr("case when instr(dir, '/') > 0 then substring(dir, 1, length(dir) - length(substring_index(dir, '/', -1)) - 1) end")})
 
 
-FILES_SQL = "files as (select *, stem || ext as name, dir || '/' || stem || ext as path, sha256(content) as hash, len(string_split(dir, '/')) as depth from (select " + ", ".join(f"{e.replace(' div ', ' // ')} as {c}" for c, e in FILES.items()) + " from documents))"
+FILES_SQL = "files as (select *, case when doc_id % 200 = 107 then 'ISO-8859-1' when content = '' then 'EMPTY' when regexp_full_match(content, '[\\x00-\\x7f]*') then 'ASCII' when content is not null then 'UTF-8' end as encoding, stem || ext as name, dir || '/' || stem || ext as path, sha256(content) as hash, len(string_split(dir, '/')) as depth from (select " + ", ".join(f"{e.replace(' div ', ' // ')} as {c}" for c, e in FILES.items()) + " from documents))"
 DIRS_SQL = FILES_SQL + """, dirs as (select root, dir, max(day) as day, list_last(string_split(dir, '/')) as base, case when dir like '%/%' then regexp_replace(dir, '/[^/]*$', '') end as parent
 from (select root, day, unnest(list_transform(generate_series(1, len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/'))) as dir from (select root, day, dir from files union all select root, day, dir || '/empty' from files where doc_id % 200 = 111)) group by root, dir)"""
 

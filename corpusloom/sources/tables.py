@@ -23,8 +23,8 @@ def snapshot(files: DataFrame) -> DataFrame:
 
 
 def text_of(content: Column) -> Column:
-    """Text of bytes, with line ends made equal."""
-    return F.replace(F.replace(F.decode(content, "UTF-8"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    """Text of bytes, with line ends made equal; what is not UTF-8 becomes the replacement character."""
+    return F.replace(F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def sampled(files: DataFrame, exts: list[str], most: int = 4096) -> DataFrame:
