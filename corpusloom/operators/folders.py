@@ -9,9 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Order of equal pressures, and the marks of file kinds.
+# Order of equal pressures; kinds of files by first bytes (hex), by suffix and by marks of code; codes and thresholds of names.
 PRESSURES = ["rename_cleanup", "duplicate_cleanup", "archive_pressure", "routing_pressure", "metadata_fill_pressure", "manual_review_pressure"]
-SIGNATURES = {"%PDF": "pdf", "PK": "zip", "<!DOCTYPE": "html", "<html": "html", "{": "json", "---\n": "markdown"}
+SIGNATURES = [
+    ("255044462D", "document", "pdf_signature"), ("504B0304", "archive", "zip_signature"), ("89504E470D0A1A0A", "media", "png_signature"), ("FFD8FF", "media", "jpeg_signature"),
+    ("474946383761", "media", "gif_signature"), ("474946383961", "media", "gif_signature"), ("1F8B", "archive", "gzip_signature"),
+]
+CATEGORIES = {
+    "text": [".txt", ".md", ".rst", ".log"], "code": [".py", ".js", ".ts", ".html", ".css"], "data": [".json", ".csv", ".xml", ".yaml", ".yml", ".sql"], "document": [".pdf", ".doc", ".docx", ".rtf", ".xlsx"],
+    "media": [".jpg", ".jpeg", ".png", ".gif", ".mp3", ".mp4"], "archive": [".zip", ".gz", ".tar", ".7z", ".rar"],
+}
+CODE_MARKS = ["#!/usr/bin/env", "#!/bin/", "import ", "def ", "function ", "const ", "class "]
+TYPE_CODES = {"document": "DOC", "code": "COD", "data": "DAT", "note": "NOT", "config": "CFG", "paper": "PAP", "image": "IMG", "video": "VID", "audio": "AUD", "binary": "BIN"}
+STATE_CODES = {"draft": "DR", "active": "AC", "final": "FN", "archive": "AR", "review": "RV"}
+CERTAIN = [".py", ".js", ".ts", ".ahk", ".json", ".csv", ".sqlite", ".db", ".md", ".txt", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".mp4", ".mov", ".avi", ".mkv", ".mp3", ".wav", ".flac"]
+APPROVE, QUEUE, REJECTED, LONGEST_NAME = 0.72, 0.45, 0.25, 180
 WEIGHTS = {"F": 2, "N": 3, "E": 1, "C": 3, "H": 5, "T": 1, "P": 2, "Role": 1}
 
 
@@ -137,16 +149,27 @@ def corpus(approved: DataFrame, reference: DataFrame, least: int, most: int = 30
     return both.withColumn("nth", nth).where(F.col("nth") <= most).select("ext", "doc_id", "origin")
 
 
-def file_kind(files: DataFrame, suffixes: dict[str, str], printable: float = 0.85) -> DataFrame:
-    """(doc_id, kind): by the first bytes, else by suffix, else text or binary by the share of printable characters."""
-    n = F.length("content")
-    share = F.length(F.regexp_replace("content", r"[\x00-\x08\x0E-\x1F]", "")) / n
-    kind = F.when(n == 0, "empty").when(share >= printable, "text").otherwise("binary")
-    for suffix, name in suffixes.items():
-        kind = F.when(F.lower("ext") == suffix, name).otherwise(kind)
-    for mark, name in reversed(SIGNATURES.items()):
-        kind = F.when(F.substring("content", 1, len(mark)) == mark, name).otherwise(kind)
-    return files.select("doc_id", kind.alias("kind"))
+def file_kind(files: DataFrame, head: int = 4096, printable: float = 0.85) -> DataFrame:
+    """(doc_id, label, confidence, reason) of files (doc_id, ext, bytes): by first bytes, else by suffix, else code or text by the share of printable ASCII bytes.
+
+    Only the first `head` bytes are looked at. No bytes, or a null among them, is no text; null bytes count as none.
+    """
+    first = F.substring(F.coalesce("bytes", F.lit(b"")), 1, head)
+    one = F.decode(first, "ISO-8859-1")
+    start, suffix = F.hex(F.substring(first, 1, 8)), F.lower("ext")
+    share = F.regexp_count(one, F.lit(r"[\n\r\t -~]")) / F.greatest(F.length(one), F.lit(1))
+    textual = ~F.contains(one, F.lit("\0")) & (share > printable)
+    marks = F.lit(False)
+    for mark in CODE_MARKS:
+        marks = marks | F.contains(one, F.lit(mark))
+    kind = lambda label, confidence, reason: F.struct(label.alias("label"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+    rules = [(start.startswith(mark), kind(F.lit(label), 0.99, reason)) for mark, label, reason in SIGNATURES]
+    rules += [(suffix.isin(names), kind(F.lit(label), 0.9, "suffix")) for label, names in CATEGORIES.items()]
+    rules += [(textual, kind(F.when(marks, "code").otherwise("text"), 0.75, "text_signature"))]
+    found = kind(F.lit("unknown"), 0.4, "no_deterministic_match")
+    for test, value in reversed(rules):
+        found = F.when(test, value).otherwise(found)
+    return files.select("doc_id", found.alias("k")).select("doc_id", "k.*")
 
 
 def clean(c: Column, most: int) -> Column:
@@ -154,15 +177,32 @@ def clean(c: Column, most: int) -> Column:
 
 
 def suggestions(files: DataFrame) -> DataFrame:
-    """(doc_id, target, confidence): a clean stem with a part of the content's hash, and at most 0.95."""
-    return files.select("doc_id", F.concat(clean(F.col("stem"), 60), F.lit("_"), F.substring("hash", 1, 8), F.lower("ext")).alias("target"), F.least(F.lit(0.95), F.col("confidence")).alias("confidence"))
+    """(doc_id, target, confidence) of classified files (doc_id, dir, stem, ext, label, hash, confidence): `stem__label__digest.ext` beside the file, digest the hash's first twelve digits; the confidence is at most 0.95."""
+    safe = F.regexp_replace(F.regexp_replace("stem", "[^A-Za-z0-9._-]+", "_"), "^[._-]+|[._-]+$", "")
+    name = F.concat(F.when(safe == "", "file").otherwise(safe), F.lit("__"), F.coalesce("label", F.lit("unknown")), F.lit("__"), F.substring("hash", 1, 12), F.lower("ext"))
+    return files.select("doc_id", F.concat("dir", F.lit("/"), name).alias("target"), F.least(F.lit(0.95), F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+
 
+def auto_approved(confidence: Column, preference: Column) -> Column:
+    """Whether a name goes through without review: by its confidence alone while no preference is known (null), else by both, and never if its like are mostly rejected."""
+    return F.when(preference.isNull(), confidence >= APPROVE).otherwise((preference >= REJECTED) & (0.6 * confidence + 0.4 * preference >= APPROVE))
 
-def coded_names(files: DataFrame, known: list[str], sure: float = 0.8) -> DataFrame:
-    """(doc_id, coded, decision): `DOMAIN__TYPE__tags__date__STATE.ext`, and what to do with it by confidence and extension."""
-    coded = F.concat(F.concat_ws("__", F.upper("domain"), F.upper("kind"), F.array_join(F.slice("tags", 1, 3), "-"), F.date_format("date", "yyyyMMdd"), F.upper("state")), F.lower("ext"))
-    decision = F.when(~F.lower("ext").isin(known), "keep").when(F.col("confidence") >= sure, "rename").when(F.col("confidence") >= sure / 2, "propose").otherwise("review")
-    return files.select("doc_id", coded.alias("coded"), decision.alias("decision"))
+
+def coded_names(files: DataFrame) -> DataFrame:
+    """(doc_id, coded, decision): `DOMAIN__TYPE__tags__date__STATE.ext`, and whether it is skipped, approved or queued.
+
+    files: (doc_id, domain, content_type, tags, date, status, ext, confidence, has_text, preference); preference, the
+    learned chance of approval, is null while too little is known. Skipped are files of low confidence, of an unknown
+    extension and without text; an extension that tells the type for sure is approved as long as no preference is known.
+    """
+    code = lambda c, table, other: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.lower(c)), F.lit(other))
+    ext, confidence = F.lower("ext"), F.coalesce("confidence", F.lit(0.0))
+    tags = F.when(F.size(F.coalesce("tags", F.array().cast("array<string>"))) == 0, "GN").otherwise(F.array_join("tags", "-"))
+    coded = F.substring(F.concat(F.concat_ws("__", F.coalesce("domain", F.lit("GN")), code("content_type", TYPE_CODES, "DOC"), tags, F.coalesce(F.date_format("date", "yyyyMMdd"), F.lit("00000000")), code("status", STATE_CODES, "AC")), ext), 1, LONGEST_NAME)
+    certain = ext.isin(CERTAIN)
+    skip = (confidence < QUEUE) & ~certain & ~F.coalesce("has_text", F.lit(False))
+    sure = auto_approved(confidence, F.col("preference")) | (F.col("preference").isNull() & certain)
+    return files.select("doc_id", F.when(~skip, coded).alias("coded"), F.when(skip, "skip").when(sure, "auto_approve").otherwise("queue").alias("decision"))
 
 
 def projected(files: DataFrame, mode: str) -> DataFrame:

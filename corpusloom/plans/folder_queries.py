@@ -15,7 +15,6 @@ from corpusloom.sources import fixtures as x
 STEPS = [("C05", "sort the media"), ("I04", "resolve the conflicts"), ("N01", "name the files")]
 TERMS = ["tion", "the", "eau", "sch", "ing", "zzz"]
 KNOWN = [".md", ".txt", ".pdf", ".docx", ".html"]
-SUFFIX = {".zip": "archive", ".png": "image", ".jpg": "image", ".exe": "program"}
 _files = lambda f: lambda s, d: f(x.files(s, d))
 
 
@@ -71,8 +70,20 @@ def _names(f):
     return o.name_ratio(one.alias("p").join(one.alias("q"), F.expr("p.dir = q.dir and p.stem < q.stem")).select(F.col("p.stem").alias("a"), F.col("q.stem").alias("b"))).distinct()
 
 
+def _bytes(f):
+    """Files with bytes: some begin with a signature, some with a mark of code, some with bytes that are no text."""
+    mark = "case doc_id % 60 " + " ".join(f"when {i} then X'{m}'" for i, m in MARKS) + " end"
+    return f.withColumn("bytes", F.expr(f"case when doc_id % 60 in ({', '.join(str(i) for i, _ in MARKS)}) then {mark} || cast(content as binary) else cast(content as binary) end"))
+
+
+def _suggested(f):
+    return o.suggestions(f.join(o.file_kind(_bytes(f)).drop("reason"), "doc_id"))
+
+
 def _coded(f):
-    return o.coded_names(f.selectExpr("doc_id", "lang as domain", "case when size > 1000 then 'paper' else 'note' end as kind", "array(lang, root, stem, ext) as tags", "date_add(date'2024-01-01', cast(day as int)) as date", "case when doc_id % 2 = 0 then 'dr' else 'fi' end as state", "ext", "(doc_id % 100) / 100.0D as confidence"), KNOWN)
+    cols = ["doc_id", "case when doc_id % 7 <> 0 then upper(lang) end as domain", "case doc_id % 4 when 0 then 'Paper' when 1 then 'code' when 2 then 'odd' end as content_type", "case when doc_id % 3 = 0 then array() else array(lang, source) end as tags"]
+    cols += ["case when doc_id % 5 <> 0 then date_add(date'2024-01-01', cast(day as int)) end as date", "case when doc_id % 2 = 0 then 'draft' else 'shipped' end as status", "ext", "(doc_id % 100) / 100.0D as confidence", "doc_id % 11 <> 0 as has_text", "case when doc_id % 3 = 1 then (doc_id % 41) / 40.0D end as preference"]
+    return o.coded_names(f.withColumn("source", F.col("root")).selectExpr(*cols))
 
 
 def _followed(s, d):
@@ -81,6 +92,8 @@ def _followed(s, d):
     return o.followed(b.selectExpr("item_id as query_id", "text"), index, docs.selectExpr("doc_id as node", "doc_id + 1 as target").where("node % 2 = 0"))
 
 
+#: First bytes of some files, by doc_id % 60.
+MARKS = [(1, "255044462D"), (2, "504B0304"), (3, "89504E470D0A1A0A"), (4, "FFD8FF"), (5, "474946383761"), (6, "474946383961"), (7, "1F8B08"), (8, "696D706F727420"), (9, "00FE"), (10, "636F6E737420")]
 QUERIES = {
     "agg09_pressures": _files(lambda f: o.pressures(_records(f)).select("root", "dir", "n", *o.PRESSURES, "dominant")),
     "agg10_folder_health": _files(lambda f: o.pressures(_records(f)).select("root", "dir", "health", "churn", "drivers")),
@@ -94,8 +107,8 @@ QUERIES = {
     "agg14_node_summaries": _nodes,
     "agg06_gate_report": _gate,
     "join25_corpus": _files(_corpus),
-    "flt19_file_kind": _files(lambda f: o.file_kind(f, SUFFIX)),
-    "flt23_suggestions": _files(lambda f: o.suggestions(f.withColumn("confidence", F.expr("(doc_id % 100) / 100.0D")))),
+    "flt19_file_kind": _files(lambda f: o.file_kind(_bytes(f))),
+    "flt23_suggestions": _files(_suggested),
     "flt24_coded_names": _files(_coded),
     "flt25_projected": _files(lambda f: o.projected(f.withColumn("address", F.substring("hash", 1, 4)), "suffix")),
     "udf06_name_ratio": _files(_names),
@@ -112,9 +125,17 @@ _term = "h as (select distinct doc_id, term, (length(text) - length(replace(lowe
 _edges = "e as (select x.term as a, y.term as b, count(*) as n, array_to_string(list_sort(list(x.doc_id))[1:3], ',') as evidence from h x join h y on x.doc_id = y.doc_id and x.term < y.term group by 1, 2)"
 _comp = "c as (select doc_id as key, doc_id % 6 = 0 as whole, doc_id % 101 as safety, doc_id % 4 = 0 as variants, case when doc_id % 6 = 0 or doc_id % 3 = 0 then 1.0 else 0.0 end as H, " + ", ".join(f"case when doc_id % 6 = 0 then 1.0 else (doc_id * {k} % 11) / 10.0 end as {n}" for n, k in (("F", 3), ("N", 5), ("E", 7), ("C", 2), ("T", 9), ("P", 4), ("Role", 8))) + " from documents), cb as (select key, cast(greatest(0, least(100, round(100 * (2.0 * F + 3 * N + E + 3 * C + 5 * H + T + 2 * P + Role) / 18))) as int) as confidence, safety, variants, H, C from c), bh as (select key, confidence, case when confidence >= 90 and safety >= 90 then 'auto_execute_reversible' when confidence >= 90 and safety >= 50 then 'stage_require_batch_approval' when confidence >= 90 then 'link_logically_do_not_move' when confidence >= 50 then 'suggest_cluster_no_destructive_action' else 'quarantine_logically' end as behaviour, case when H > 0 then 'IDENTITY' when variants or C >= 0.45 then 'FAMILY' else 'PROJECT' end as kind from cb)"
 _slug = lambda n: f"substring(regexp_replace(regexp_replace(lower(stem), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, {n})"
-_marks = " ".join(f"when starts_with(content, '{m}') then '{k}'" for m, k in list(o.SIGNATURES.items())[:-1])
 _pair = f"pr as (select source, target, margin from ({cq.SQL['join16_group_scores']}))"
 _sym = lambda n: f"({TEXT_SQL[n]})"
+_first = "case doc_id % 60 " + " ".join(f"when {i} then unhex('{m}')" for i, m in MARKS) + " else ''::blob end"
+_suffixes = {"text": "'.txt', '.md', '.rst', '.log'", "code": "'.py', '.js', '.ts', '.html', '.css'", "data": "'.json', '.csv', '.xml', '.yaml', '.yml', '.sql'", "document": "'.pdf', '.doc', '.docx', '.rtf', '.xlsx'", "media": "'.jpg', '.jpeg', '.png', '.gif', '.mp3', '.mp4'", "archive": "'.zip', '.gz', '.tar', '.7z', '.rar'"}
+_sign = "case when starts_with(h, '255044462D') then 'document:pdf' when starts_with(h, '504B0304') then 'archive:zip' when starts_with(h, '89504E470D0A1A0A') then 'media:png' when starts_with(h, 'FFD8FF') then 'media:jpeg' when starts_with(h, '474946383761') or starts_with(h, '474946383961') then 'media:gif' when starts_with(h, '1F8B') then 'archive:gzip' end"
+_pairs_sql = "regexp_extract_all(h, '..')"
+_marks_code = " or ".join(f"contains(h, hex('{m}'))" for m in ("#!/usr/bin/env", "#!/bin/", "import ", "def ", "function ", "const ", "class "))
+KINDS_SQL = (
+    f"heads as (select doc_id, lower(ext) as e, substr(hex({_first} || encode(coalesce(content, ''))), 1, 8192) as h from files), signs as (select *, {_sign} as sign, case " + " ".join(f"when e in ({v}) then '{k}'" for k, v in _suffixes.items()) + f" end as by_suffix, not list_contains({_pairs_sql}, '00') and len(list_filter({_pairs_sql}, lambda b: b in ('0A', '0D', '09') or b >= '20' and b <= '7E')) / greatest(len(h) / 2, 1) > 0.85 as textual from heads), "
+    f"kinds as (select doc_id, case when sign is not null then split_part(sign, ':', 1) when by_suffix is not null then by_suffix when textual then case when {_marks_code} then 'code' else 'text' end else 'unknown' end as label, case when sign is not null then 0.99 when by_suffix is not null then 0.9 when textual then 0.75 else 0.4 end as confidence, case when sign is not null then split_part(sign, ':', 2) || '_signature' when by_suffix is not null then 'suffix' when textual then 'text_signature' else 'no_deterministic_match' end as reason from signs)"
+)
 SQL = {
     "agg09_pressures": f"{_f}, {_p} select root, dir, n, {_all}, {'[' + ', '.join(repr(a) for a in o.PRESSURES) + ']'}[list_position([{_all}], greatest({_all}))] as dominant from p",
     "agg10_folder_health": f"{_f}, {_p} select root, dir, round(1 - least(0.7, (duplicate_cleanup + manual_review_pressure) / n), 3) as health, case when n < 2 then 0 else round(spread / n, 3) end as churn, array_to_string(list_filter([case when duplicate_cleanup > 0 then 'duplicates' end, case when manual_review_pressure > 0 then 'manual_review_queue' end, case when metadata_fill_pressure > 0 then 'missing_metadata' end], lambda v: v is not null), ',') as drivers from p",
@@ -127,9 +148,9 @@ SQL = {
     "agg14_node_summaries": f"with {_term}, r as (select term, doc_id, row_number() over (partition by term order by n desc, doc_id) as nth from h), w as (select unnest([{', '.join(repr(w) for w in TERMS)}]) as node) select node, count(doc_id) as n, round(count(doc_id) / (select count(*) from documents), 6) as share, coalesce(string_agg(cast(doc_id as varchar), ',' order by nth) filter (nth <= 30), '') as top from w left join r on term = node group by node",
     "agg06_gate_report": f"select category, overridden, count(*) as n, string_agg(distinct source, ',' order by source) as sources from {_sym('txt08_gate')} join documents using (doc_id) group by 1, 2",
     "join25_corpus": f"{_f}, i as (select doc_id, ext, (doc_id % 97) / 97.0 as confidence from files), a as (select * from i where doc_id % 9 = 0), u as (select *, 'approved' as origin from a union all select *, 'reference' from i where doc_id % 9 in (1, 2) and ext not in (select ext from a group by ext having count(*) >= 5)) select ext, doc_id, origin from u qualify row_number() over (partition by ext order by origin, confidence desc, doc_id) <= 6",
-    "flt19_file_kind": f"{_f} select doc_id, case {_marks} when starts_with(content, '---' || chr(10)) then 'markdown' " + " ".join(f"when lower(ext) = '{k}' then '{v}'" for k, v in reversed(SUFFIX.items())) + " when length(content) = 0 then 'empty' when length(regexp_replace(content, '[\\x00-\\x08\\x0E-\\x1F]', '', 'g')) / length(content) >= 0.85 then 'text' else 'binary' end as kind from files",
-    "flt23_suggestions": f"{_f} select doc_id, {_slug(60)} || '_' || hash[1:8] || lower(ext) as target, least(0.95, (doc_id % 100) / 100.0) as confidence from files",
-    "flt24_coded_names": f"{_f} select doc_id, upper(lang) || '__' || case when size > 1000 then 'PAPER' else 'NOTE' end || '__' || lang || '-' || root || '-' || stem || '__' || strftime(date '2024-01-01' + cast(day as int), '%Y%m%d') || '__' || case when doc_id % 2 = 0 then 'DR' else 'FI' end || lower(ext) as coded, case when lower(ext) not in ('.md', '.txt', '.pdf', '.docx', '.html') then 'keep' when doc_id % 100 >= 80 then 'rename' when doc_id % 100 >= 40 then 'propose' else 'review' end as decision from files",
+    "flt19_file_kind": f"{_f}, {KINDS_SQL} select doc_id, label, confidence, reason from kinds",
+    "flt23_suggestions": f"{_f}, {KINDS_SQL} select doc_id, dir || '/' || case when safe = '' then 'file' else safe end || '__' || label || '__' || hash[1:12] || lower(ext) as target, least(0.95, confidence) as confidence from (select *, regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as safe from files join kinds using (doc_id))",
+    "flt24_coded_names": f"{_f}, c as (select doc_id, lower(ext) as e, (doc_id % 100) / 100.0 as conf, doc_id % 11 <> 0 as text, case when doc_id % 3 = 1 then (doc_id % 41) / 40.0 end as pref, lower(ext) in ('.py', '.js', '.ts', '.ahk', '.json', '.csv', '.sqlite', '.db', '.md', '.txt', '.png', '.jpg', '.jpeg', '.gif', '.webp', '.svg', '.mp4', '.mov', '.avi', '.mkv', '.mp3', '.wav', '.flac') as certain, case when doc_id % 7 <> 0 then upper(lang) else 'GN' end || '__' || case doc_id % 4 when 0 then 'PAP' when 1 then 'COD' else 'DOC' end || '__' || case when doc_id % 3 = 0 then 'GN' else lang || '-' || root end || '__' || case when doc_id % 5 <> 0 then strftime(date '2024-01-01' + cast(day as int), '%Y%m%d') else '00000000' end || '__' || case when doc_id % 2 = 0 then 'DR' else 'AC' end || lower(ext) as coded from files) select doc_id, case when not (conf < 0.45 and not certain and not text) then coded[1:180] end as coded, case when conf < 0.45 and not certain and not text then 'skip' when pref is null and (conf >= 0.72 or certain) or pref >= 0.25 and 0.6 * conf + 0.4 * pref >= 0.72 then 'auto_approve' else 'queue' end as decision from c",
     "flt25_projected": f"{_f} select doc_id, {_slug(48)} || '_' || hash[1:4] || lower(ext) as name from files",
     "txt24_records": f"{_f} select doc_id, name, ext, dir, hash as sha256, hour as modified, size, case when root = 'src1' then 'default' else 'profile of ' || root end as profile, ext = '' as review, root as who, stem as what, day as when_day, dir as where_dir, 'inventory of ' || root as why from files",
     "grf01_nodes": f"with {_term} select term as node, count(*) as n from h group by 1",
