@@ -1,12 +1,16 @@
 """Readers of snapshots, registries, profiles, ledgers and hand-edited lists; and writers of ledgers, manifests and keyed tables.
 
 Keyed tables are written as versions: a folder for each, of which the last complete one is current, so that a lost
-executor or a failed job leaves the version before in place.
+executor or a failed job leaves the version before in place. A version that a batch of a stream wrote has the batch's
+number in its name; a batch that is delivered again starts from the version before it and writes the same folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The columns of a folder profile, and their defaults.
@@ -68,32 +72,68 @@ def append(rows: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def manifest(rows: DataFrame, key: list[str], path: str, most: int = 10_000) -> None:
-    """Writes a row for each key and run of up to `most` rows with the rows nested, so that no row grows without bound."""
-    part = (F.monotonically_increasing_id() % 1_000_003 / most).cast("int")
-    numbered = rows.withColumn("part", part)
-    rest = [c for c in rows.columns if c not in key]
-    numbered.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows")).write.mode("overwrite").json(path)
+    """Writes a row (key, part, rows) for each key and run of up to `most` of its rows, nested and in order.
+
+    Rows are sorted over ranges and numbered there; a range's numbers go on from those of the key in the ranges before,
+    so no key is numbered in one task, and parts depend on the rows alone. The numbered rows are kept in a table beside
+    the manifest until it is written.
+    """
+    spark, rest = rows.sparkSession, [c for c in rows.columns if c not in key]
+    own = f"{path}.{uuid.uuid4().hex}"
+    ranged = rows.repartitionByRange(*key, *rest).withColumn("_range", F.spark_partition_id())
+    ranged.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*rest))).write.parquet(own)
+    numbered = spark.read.parquet(own)
+    many = numbered.groupBy(*key, "_range").agg(F.max("_nth").alias("_many"))
+    before = many.withColumn("_before", F.coalesce(F.sum("_many").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_many")
+    same = [numbered[c].eqNullSafe(before[c]) for c in [*key, "_range"]]
+    placed = numbered.join(before, same).select(*(numbered[c] for c in rows.columns), F.floor((F.col("_before") + F.col("_nth") - 1) / most).alias("part"))
+    placed.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows")).write.mode("overwrite").json(path)
+    remove(spark, own)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def version(spark: SparkSession, path: str) -> int:
-    """The number of the last complete version of a keyed table; -1 without any."""
+def versions(spark: SparkSession, path: str) -> list[tuple[int, int | None, str]]:
+    """(number, batch, folder) of the complete versions of a keyed table, the oldest first; batch is null outside streams."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return -1
-    done = [int(s.getPath().getName().removeprefix("v")) for s in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, default=-1)
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    found = [re.fullmatch(r"v(\d+)(?:-b(\d+))?", n) for n in names]
+    return sorted((int(m[1]), int(m[2]) if m[2] else None, f"{path}/{m[0]}") for m in found if m)
+
 
+def current(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:
+    """The last complete version; with before_batch, the last one that doesn't hold that batch of a stream or a later one."""
+    found = [v for v in versions(spark, path) if before_batch is None or v[1] is None or v[1] < before_batch]
+    return spark.read.parquet(found[-1][2]) if found else None
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    v = version(spark, path)
-    return None if v < 0 else spark.read.parquet(f"{path}/v{v}")
 
+def replace(rows: DataFrame, path: str, batch: int | None = None) -> DataFrame:
+    """Writes rows as the next version of a table.
 
-def upsert(rows: DataFrame, key: list[str], path: str) -> DataFrame:
-    """Writes the next version of a keyed table: new rows, and the old ones whose keys aren't among them."""
+    A batch of a stream that is delivered again is written to the same folder as before, over what it left there.
+    """
     spark = rows.sparkSession
-    v = version(spark, path)
-    both = rows if v < 0 else rows.unionByName(spark.read.parquet(f"{path}/v{v}").join(rows.select(*key), key, "left_anti"))
-    both.write.mode("overwrite").parquet(f"{path}/v{v + 1}")
-    return spark.read.parquet(f"{path}/v{v + 1}")
+    found = [v for v in versions(spark, path) if batch is None or v[1] is None or v[1] < batch]
+    number = found[-1][0] + 1 if found else 0
+    folder = f"{path}/v{number}" + ("" if batch is None else f"-b{batch}")
+    rows.write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def upsert(rows: DataFrame, key: list[str], path: str, order: list[str] | None = None, batch: int | None = None) -> DataFrame:
+    """Writes the next version of a keyed table: the new rows, and the old ones whose keys aren't among them.
+
+    Of rows that repeat a key the one with the greatest `order` columns stays, the greatest in all columns among equals.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    first = order or []
+    best = rows.groupBy(*key).agg(F.max(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(first)), *rest)).alias("_x")) if rest else rows.distinct()
+    new = best.select(*key, *(F.col("_x")[c].alias(c) for c in rest)).select(*rows.columns) if rest else best
+    old = current(rows.sparkSession, path, batch)
+    return replace(new if old is None else new.unionByName(old.join(new.select(*key), key, "left_anti")), path, batch)
