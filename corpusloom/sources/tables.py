@@ -85,8 +85,9 @@ def manifest(rows: DataFrame, key: list[str], path: str, most: int = 10_000) ->
     numbered = spark.read.parquet(own)
     many = numbered.groupBy(*key, "_range").agg(F.max("_nth").alias("_many"))
     before = many.withColumn("_before", F.coalesce(F.sum("_many").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_many")
-    same = [numbered[c].eqNullSafe(before[c]) for c in [*key, "_range"]]
-    placed = numbered.join(before, same).select(*(numbered[c] for c in rows.columns), F.floor((F.col("_before") + F.col("_nth") - 1) / most).alias("part"))
+    before = before.toDF(*(f"_{c}" for c in [*key, "_range"]), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "_range"]]
+    placed = numbered.join(before, same).select(*rows.columns, F.floor((F.col("_before") + F.col("_nth") - 1) / most).alias("part"))
     placed.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows")).write.mode("overwrite").json(path)
     remove(spark, own)
 
