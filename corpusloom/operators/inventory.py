@@ -113,6 +113,41 @@ def copies_compared(files: DataFrame, copy: str, rel: str) -> DataFrame:
     return files.groupBy(rel).agg(F.countDistinct(copy).alias("copies"), F.countDistinct("hash").alias("contents"))
 
 
+def folder_trees(files: DataFrame) -> DataFrame:
+    """(copy, dir, parent, n, t1, t2) of every folder of trees (copy, rel, hash), the root's dir is "": n files below, and 128 bits that depend on their relative paths and contents alone.
+
+    A file adds the hash of its path below the folder and its content to each folder above it by exclusive or, so that
+    tasks add up parts of a large tree in any order, and no folder's files are gathered.
+    """
+    parts = F.split("rel", "/")
+    levels = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("dir"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("inside")))
+    each = files.select("copy", "hash", F.explode(levels).alias("x")).select("copy", "x.dir", F.sha2(F.concat_ws("\n", "x.inside", "hash"), 256).alias("h"))
+    bits = lambda at: F.conv(F.substring("h", at, 16), 16, -10).cast("bigint")
+    trees = each.groupBy("copy", "dir").agg(F.count("*").alias("n"), F.bit_xor(bits(1)).alias("t1"), F.bit_xor(bits(17)).alias("t2"))
+    parent = F.when(F.contains("dir", F.lit("/")), F.regexp_replace("dir", "/[^/]*$", "")).when(F.col("dir") != "", "")
+    return trees.select("copy", "dir", parent.alias("parent"), "n", "t1", "t2")
+
+
+def same_trees(files: DataFrame) -> DataFrame:
+    """(copy, dir, n, first): folders whose whole tree is found elsewhere too, named by the first place (copy:dir) that has it; only the topmost of nested ones.
+
+    files: (copy, rel, hash), one row a copy and path. A tree below one that is itself repeated is left out.
+    """
+    trees = folder_trees(files)
+    place = F.concat_ws(":", "copy", "dir")
+    groups = trees.groupBy("t1", "t2", "n").agg(F.count("*").alias("many"), F.min(place).alias("first")).where("many > 1")
+    found = trees.join(groups, ["t1", "t2", "n"]).select("copy", "dir", "parent", "n", "first")
+    above = found.select("copy", F.col("dir").alias("parent"))
+    return found.join(above, ["copy", "parent"], "left_anti").select("copy", "dir", "n", "first")
+
+
+def tree_differences(files: DataFrame) -> DataFrame:
+    """(rel, copy, state): `unique` files that one copy alone has, and `divergent` ones that several have with different contents; a row a copy."""
+    counts = files.groupBy("rel").agg(F.count("*").alias("copies"), (F.min("hash") != F.max("hash")).alias("differ"))
+    state = F.when(F.col("copies") == 1, "unique").when(F.col("differ"), "divergent")
+    return files.join(counts.withColumn("state", state).where("state is not null").select("rel", "state"), "rel").select("rel", "copy", "state")
+
+
 def folder_fingerprint(files: DataFrame) -> DataFrame:
     """(root, dir, n_files, fingerprint): the hash of a folder's sorted names."""
     names = F.array_sort(F.collect_set("name"))
@@ -158,7 +193,7 @@ def facets(items: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def next_codes(batch: DataFrame, used: DataFrame, code: str, order: str, floor: int) -> DataFrame:
-    """The batch with codes that go on from the largest used one, in `order`, whose values differ.
+    """The batch with codes that go on from the largest used one, in `order`, whose values differ; rows without an order come first.
 
     The batch is parted by range; a small table of the partitions' sizes gives each its first number.
     """
@@ -166,7 +201,9 @@ def next_codes(batch: DataFrame, used: DataFrame, code: str, order: str, floor:
     parts = batch.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     bounds = parts.groupBy("_part").agg(F.count("*").alias("n"), F.min(order).alias("least"))
     before = bounds.select("least", (F.sum("n").over(Window.orderBy("least")) - F.col("n")).alias("before"), F.lead("least").over(Window.orderBy("least")).alias("next"))
-    mine = batch.join(F.broadcast(before), (F.col(order) >= F.col("least")) & (F.col("next").isNull() | (F.col(order) < F.col("next"))))
+    # the first range is open below, so that it holds rows without an order too
+    before = before.withColumn("least", F.when(F.row_number().over(Window.orderBy("before")) > 1, F.col("least")))
+    mine = batch.join(F.broadcast(before), (F.col("least").isNull() | (F.col(order) >= F.col("least"))) & (F.col("next").isNull() | F.coalesce(F.col(order) < F.col("next"), F.lit(True))))
     nth = F.row_number().over(Window.partitionBy("least").orderBy(order))
     return mine.withColumn("_nth", nth + F.col("before")).crossJoin(F.broadcast(top)).withColumn(code, F.col("top") + F.col("_nth")).select(*batch.columns, code)
 
