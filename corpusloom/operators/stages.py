@@ -87,43 +87,6 @@ def run(docs: DataFrame, names: list[str], stages: dict[str, Callable[[], Column
     return low.select("doc_id", *(stages[n]().alias(n) for n in names), F.lit(",".join(names)).alias("stages"))
 
 
-def metrics(units: DataFrame, specs: list[dict]) -> DataFrame:
-    """(doc_id, nth, metric, hits, weighted, terms, density, support, counter, score, confidence, qualifier, route) of sentences (doc_id, nth, sentence).
-
-    A spec has a metric's name, its terms (term, weight), and lists of supporting and of counter terms, all matched as
-    whole words. Rows without a hit and with a score below 10 are dropped.
-    """
-    count = lambda t: F.regexp_count(F.col("low"), F.lit(rf"\b{t}\b"))
-    has = lambda ts, k: F.least(F.lit(100.0), k * sum((F.col("low").rlike(rf"\b{t}\b").cast("int") for t in ts), F.lit(0)))
-    zero = F.lit(0)
-
-    def one(spec: dict) -> Column:
-        return F.struct(
-            F.lit(spec["metric"]).alias("metric"), sum((count(t) for t, _ in spec["terms"]), zero).alias("hits"), sum((count(t) * max(0.25, w) for t, w in spec["terms"]), F.lit(0.0)).alias("weighted"),
-            sum(((count(t) > 0).cast("int") for t, _ in spec["terms"]), zero).alias("terms"), has(spec["support"], 14).alias("support"), has(spec["counter"], 16).alias("counter"),
-        )
-
-    rows = units.select("doc_id", "nth", F.lower("sentence").alias("low")).withColumn("words", F.greatest(F.lit(1), F.regexp_count("low", F.lit("[a-z0-9]+"))))
-    df = rows.select("doc_id", "nth", "words", F.explode(F.array(*map(one, specs))).alias("x")).select("doc_id", "nth", "words", "x.*")
-    pct = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)), 4)
-    df = df.withColumn("density", F.round(1000 * F.col("weighted") / F.col("words"), 4))
-    df = df.withColumn("score", pct(0.35 * F.least(F.lit(100.0), F.col("weighted") * 12) + 0.20 * F.least(F.lit(100.0), F.col("density") * 10) + 0.20 * F.col("support") + F.when(F.col("hits") > 0, 15.0).otherwise(0.0) - 0.20 * F.col("counter")))
-    df = df.withColumn("confidence", pct(0.55 * F.col("score") + 0.25 * F.least(F.lit(100), F.col("terms") * 20) + 0.20 * (100 - F.col("counter"))))
-    s = F.col("score")
-    qualifier = F.when(s >= 85, "dominant").when(s >= 65, "strong").when(s >= 35, "moderate").when(s >= 10, "weak").otherwise("absent")
-    route = (s >= 70) | (F.col("counter") >= 50) | ((s >= 45) & (F.col("confidence") < 55))
-    return df.withColumn("qualifier", qualifier).withColumn("route", route).where("hits > 0 or score >= 10").drop("words")
-
-
-def metric_report(scored: DataFrame, units: int = 300, most: int = 100) -> DataFrame:
-    """(doc_id, n, routed, top): of each document's first units the number of results, whether any is routed, and its best ones (a report's feature)."""
-    first = scored.where(F.col("nth") < units)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("confidence"), "nth", "metric"))
-    ranked = first.withColumn("place", place)
-    best = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "metric", "nth"))))
-    return ranked.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("route").alias("routed"), F.array_join(F.transform(best, lambda x: F.concat_ws("@", x["metric"], x["nth"].cast("string"))), ",").alias("top"))
-
-
 def claims(kinds: DataFrame) -> DataFrame:
     """(doc_id, n, what, how, why, mixed): mean shares of a document's claims (doc_id, what, how, why), scaled to 100; a null doc_id for all."""
     top = F.greatest("what", "how", "why")

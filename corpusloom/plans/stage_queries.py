@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog
+from corpusloom.operators import metrics as m
 from corpusloom.operators import stages as g
 from corpusloom.operators import text as t
 from corpusloom.plans.text_queries import SQL as TEXT_SQL
 from corpusloom.sources import fixtures as x
 
-#: Frequent words of the supplied texts, so that every branch occurs.
+#: Frequent words of the supplied texts, so that every branch occurs: collection, term, weight, polarity, danger.
+LEXICON = [
+    ("articles", "the", 1.0, "positive", "low"), ("articles", "a", 0.5, "positive", "critical"), ("articles", "of the", 1.5, "positive", "medium"), ("verbs", "was", 2.0, "negative", "high"), ("verbs", "is", 1.5, "counter", "odd"), ("verbs", "it", 0.1, "positive", "low"),
+    ("places", "in", 0.1, "positive", "low"), ("places", "on", 1.0, "positive", "low"), ("places", "at", 1.0, "positive", "low"), ("joins", "and", 1.0, "positive", "low"), ("joins", "of", 1.0, "positive", "low"), ("joins", "for", 1.0, "positive", "low"), ("joins", "that", 1.0, "positive", "low"),
+]
 SPECS = [
-    {"metric": "article", "terms": [("the", 1.0), ("a", 0.5)], "support": ["of", "and"], "counter": ["was"]},
-    {"metric": "verb", "terms": [("was", 2.0), ("is", 1.5)], "support": ["it"], "counter": ["not", "the", "of"]},
-    {"metric": "place", "terms": [("in", 0.1), ("on", 1.0), ("at", 1.0)], "support": [], "counter": []},
-]
+    ("article.score", "evidence", "article", "term", "articles"), ("article.score", "evidence", "article", "support", "joins"), ("article.score", "evidence", "article", "counter", "verbs"),
+    ("verb.boundary", "verb", "verb", "term", "verbs"), ("verb.boundary", "verb", "verb", "support", "places"), ("verb.boundary", "verb", "verb", "counter", "articles"), ("verb.boundary", "verb", "verb", "counter", "joins"),
+    ("place.score", "domain", "place", "term", "places"), ("place.score", "domain", "place", "term", "joins"),
+]
 _docs = lambda f: lambda s, d: f(x.table(s, d, "documents"))
-_scored = lambda v: g.metrics(t.sentences(v), SPECS)
+def _scored(docs):
+    spark = docs.sparkSession
+    lexicon = spark.createDataFrame(LEXICON, "collection string, term string, weight double, polarity string, danger string")
+    return m.measured(t.sentences(docs), lexicon, spark.createDataFrame(SPECS, "metric string, family string, object string, role string, collection string"))
 
 
 def _claims(docs):
@@ -31,8 +39,9 @@ QUERIES = {
     "txt12_justice": _docs(lambda v: g.run(v, ["justice"]).select("doc_id", "justice.*")),
     "txt13_evidence": _docs(lambda v: g.run(v, ["evidence"]).select("doc_id", "evidence.*")),
     "txt15_stages": _docs(lambda v: g.run(v, ["domains", "justice", "evidence"]).select("doc_id", "stages", F.col("domains.primary").alias("domain"), "justice.diagnosis", "evidence.risk")),
-    "txt03_metrics": _docs(_scored),
-    "txt05_metric_report": _docs(lambda v: g.metric_report(_scored(v))),
+    "txt03_metrics": _docs(lambda v: _scored(v).drop("spans")),
+    "txt05_metric_report": _docs(lambda v: m.report(_scored(v))),
+    "srt03_metric_spans": _docs(lambda v: _scored(v).select("doc_id", "nth", "metric", F.array_join(F.transform("spans", lambda p: F.concat_ws(":", p["start"].cast("string"), p["term"])), ",").alias("spans"))),
     "agg15_claims": _docs(_claims),
 }
 _n = lambda ts: f"len(list_filter([{', '.join(repr(w) for w in ts)}], lambda w: contains(lower(text), w)))"
@@ -45,14 +54,29 @@ def _composition(terms, other):
 
 _five = f"select *, greatest(0, least(100, least(justice, mercy) + cost - coercion)) as coherence, case when justice > 60 and mercy < 20 then 'terminal justice' when mercy > 60 and justice < 20 then 'false mercy' when justice > 40 and mercy > 40 and cost < 15 then 'no cost-bearer' when justice > 40 and mercy > 40 and cost > 30 then 'coherent' when coercion > 40 then 'coercive' else 'low signal' end as diagnosis from (select doc_id, " + ", ".join(f"cast(least(100, {k} * {_n(ts)}) as int) as {n}" for n, ts, k in (("justice", g.JUSTICE, 12), ("mercy", g.MERCY, 12), ("cost", g.COST, 14), ("coercion", g.COERCION, 16))) + " from documents)"
 _evidence = f"select *, greatest(0, evidence - overclaim) as balance, case when overclaim > evidence + 20 then 'high' when overclaim > evidence then 'medium' else 'low' end as risk from (select doc_id, cast(least(100, 12 * {_n(g.EVIDENCE)}) as int) as evidence, cast(least(100, 18 * {_n(g.OVERCLAIM)}) as int) as overclaim from documents)"
-_c = lambda w: f"len(list_filter(ws, lambda y: y = '{w}'))"
-_has = lambda ts, k: "least(100.0::double, " + (" + ".join([f"{k} * cast(list_contains(ws, '{w}') as int)" for w in ts]) or "0") + ")"
-_one = " union all ".join(
-    f"select doc_id, nth, '{p['metric']}' as metric, words, cast({' + '.join(_c(w) for w, _ in p['terms'])} as int) as hits, ({' + '.join(f'{_c(w)} * {max(0.25, k)}' for w, k in p['terms'])})::double as weighted, cast({' + '.join(f'cast({_c(w)} > 0 as int)' for w, _ in p['terms'])} as int) as terms, {_has(p['support'], 14)} as support, {_has(p['counter'], 16)} as counter from u"
-    for p in SPECS
+_dangers = {"low": 1.0, "medium": 1.15, "high": 1.35, "critical": 1.65}
+_c = lambda w: f"(length(low) - length(replace(low, '{w}', ''))) / {len(w)}" if " " in w else f"len(list_filter(ws, lambda y: y = '{w}'))"
+
+
+def _one(metric: str) -> str:
+    """A metric's counts, by hand from its lexicon."""
+    of = lambda role: [r for s in SPECS if s[0] == metric and s[3] == role for r in LEXICON if r[0] == s[4]]
+    family, name = next((s[1], s[2]) for s in SPECS if s[0] == metric)
+    terms = of("term")
+    seen = lambda role: " + ".join(f"cast({_c(r[1])} > 0 as int)" for r in of(role)) or "0"
+    return f"select doc_id, nth, '{metric}' as metric, '{family}' as family, '{name}' as obj, words, cast({' + '.join(_c(r[1]) for r in terms)} as bigint) as hits, round(({' + '.join(f'{_c(r[1])} * {max(0.25, r[2]) * _dangers.get(r[4], 1.0)}' for r in terms)})::double, 9) as weighted, cast({seen('term')} as bigint) as terms, least(100.0::double, 14 * ({seen('support')})) as support, least(100.0::double, 16 * ({seen('counter')})) as counter from u"
+
+
+_pct = lambda v: f"floor(greatest(0.0::double, least(100.0::double, {v})) * 100 + 0.5 + 1e-7) / 100"
+_metrics = (
+    f"s as ({TEXT_SQL['txt01_sentences']}), u as (select doc_id, nth, low, regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+') as ws, greatest(1, len(regexp_extract_all(sentence, '[A-Za-z][A-Za-z0-9_\\-'']+|[χΧΩΣΘΛΨΦ][\\p{{L}}\\p{{N}}_]*'))) as words from (select *, lower(sentence) as low from s)), "
+    f"m0 as ({' union all '.join(map(_one, dict.fromkeys(s[0] for s in SPECS)))}), m1 as (select *, 1000 * weighted / words as density from m0), m2 as (select *, {_pct('0.35::double * least(100.0::double, weighted * 12) + 0.20::double * least(100.0::double, density * 10) + 0.20::double * support + case when hits > 0 then 15.0::double else 0 end - 0.20::double * counter')} as score from m1), "
+    f"m3 as (select *, {_pct('0.55::double * score + 0.25::double * least(100, terms * 20) + 0.20::double * (100 - counter)')} as confidence from m2 where hits > 0 or score >= 10), "
+    "m4 as (select *, case when score >= 85 then 'dominant' when score >= 65 then 'strong' when score >= 35 then 'moderate' when score >= 10 then 'weak' else 'absent' end as qualifier from m3), "
+    "m as (select doc_id, nth, metric, family, hits, round(weighted, 4) as weighted, terms, round(round(density, 9), 4) as density, support, counter, score, confidence, qualifier, case when family in ('evidence', 'domain', 'law') then support else 0.0::double end as evidence_support, case when contains(metric, 'boundary') then support else 0.0::double end as boundary_support, "
+    "case when score < 10 then 'No meaningful signal detected.' else obj || ' signal is ' || qualifier || ' at sentence level.' end || case when counter > 40 then ' Counter-signal pressure is high; inspect contradiction or mixed category.' else '' end as symptom, case when counter > 60 then 'high' when score < 35 and hits > 0 then 'medium' else 'low' end as severity, "
+    "case when counter > 40 then 'Split claim or add boundary language before promoting.' when score < 35 then 'Add clearer terms, evidence spans, or downgrade this label.' else 'No immediate repair required; preserve and compare to rivals.' end as repair, score >= 70 or counter >= 50 or score >= 45 and confidence < 55 as route from m4)"
 )
-_pct = lambda v: f"round(greatest(0.0::double, least(100.0::double, {v})), 4)"
-_metrics = f"s as ({TEXT_SQL['txt01_sentences']}), u as (select doc_id, nth, low, regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+') as ws, greatest(1, len(regexp_extract_all(low, '[a-z0-9]+'))) as words from (select *, lower(sentence) as low from s)), m0 as ({_one}), m1 as (select *, round(1000 * weighted / words, 4) as density from m0), m2 as (select *, {_pct('0.35::double * least(100.0, weighted * 12) + 0.20::double * least(100.0, density * 10) + 0.20::double * support + case when hits > 0 then 15.0 else 0.0 end - 0.20::double * counter')} as score from m1), m3 as (select *, {_pct('0.55::double * score + 0.25::double * least(100, terms * 20) + 0.20::double * (100 - counter)')} as confidence from m2), m as (select * exclude (words), case when score >= 85 then 'dominant' when score >= 65 then 'strong' when score >= 35 then 'moderate' when score >= 10 then 'weak' else 'absent' end as qualifier, score >= 70 or counter >= 50 or (score >= 45 and confidence < 55) as route from m3 where hits > 0 or score >= 10)"
 _kinds = {n: " + ".join([f"case when contains(low, '{p}') then 2.5::double else 0 end" for p in ps] + [f"case when regexp_matches(low, '\\b{w}\\b') then 1.0::double else 0 end" for w in ts]) for n, (ps, ts) in catalog.KINDS.items()}
 SQL = {
     "txt11_variables": _composition(g.VARIABLES, "UC"),
@@ -61,6 +85,6 @@ SQL = {
     "txt13_evidence": _evidence,
     "txt15_stages": f"select doc_id, 'domains,justice,evidence' as stages, d.primary as domain, diagnosis, risk from ({_composition(g.DOMAINS, 'unknown')}) d join ({_five}) f using (doc_id) join ({_evidence}) e using (doc_id)",
     "txt03_metrics": f"with {_metrics} select * from m",
-    "txt05_metric_report": f"with {_metrics}, r as (select *, row_number() over (partition by doc_id order by score desc, confidence desc, nth, metric) as place from m where nth < 300) select doc_id, count(*) as n, bool_or(route) as routed, coalesce(string_agg(metric || '@' || nth, ',' order by place) filter (place <= 100), '') as top from r group by doc_id",
+    "txt05_metric_report": f"with {_metrics}, q as (select *, route or counter > 50 as risky from m where nth < 300), r as (select *, row_number() over (partition by doc_id order by score desc, confidence desc, nth, metric) as place, row_number() over (partition by doc_id order by risky desc, nth, metric) as turn from q) select doc_id, count(*) as n, coalesce(string_agg(metric || '@' || nth, ',' order by place) filter (place <= 100), '') as top, bool_or(risky) or max(score) >= 70 as deep_audit, coalesce(string_agg(distinct symptom, '|' order by symptom) filter (risky and turn <= 10), '') as reasons from r group by doc_id",
     "agg15_claims": f"with s as ({TEXT_SQL['txt01_sentences']}), k as (select doc_id, " + ", ".join(f"{v} as {n}" for n, v in _kinds.items()) + " from (select doc_id, lower(sentence) as low from s)), p as (select doc_id, " + ", ".join(f"round(case when what + how + why > 0 then 100 * {n} / (what + how + why) else 100 / 3 end, 4) as {n}" for n in _kinds) + " from k), a as (select doc_id, count(*) as n, avg(what) as what, avg(how) as how, avg(why) as why, count(*) filter (greatest(what, how, why) < 60) as mixed from p group by rollup (doc_id)) select doc_id, n, round(100 * what / (what + how + why), 3) as what, round(100 * how / (what + how + why), 3) as how, round(100 * why / (what + how + why), 3) as why, mixed from a",
 }
