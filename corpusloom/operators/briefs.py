@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that claim too much.
-OVERREACH = ["proves", "undeniable", "impossible", "always", "never", "every", "absolute", "definitively"]
+#: Notes on claims, by how far they overreach.
+NOTES = {
+    "high": "This claim may be crossing jurisdiction. A WHY claim with heavy WHAT language risks implying empirical proof of theological interpretation.",
+    "medium": "Mixed jurisdiction detected. Consider splitting into separate WHAT/HOW/WHY subclaims.",
+}
 
 
 def listed(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
@@ -88,12 +91,14 @@ def answers(questions: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def sentence_claims(kinds: DataFrame) -> DataFrame:
-    """(doc_id, nth, primary, mixed, overreach, note) of sentences (doc_id, nth, text, what, how, why)."""
-    top = F.greatest("what", "how", "why")
-    primary = F.when(F.col("what") == top, "what").when(F.col("how") == top, "how").otherwise("why")
-    over = F.lower("text").rlike(r"\b(" + "|".join(OVERREACH) + r")\b")
-    note = F.when(over & (F.col("what") < 50), "claims more than it shows").when(top < 45, "unscoped").when(top < 60, "mixed").otherwise("")
-    return kinds.select("doc_id", "nth", primary.alias("primary"), (top < 60).alias("mixed"), over.alias("overreach"), note.alias("note"))
+    """(doc_id, nth, primary, mixed, confidence, overreach, note) of sentences (doc_id, nth, what, how, why, primary, mixed, margin), as `catalog.statement_kinds` rates them.
+
+    Overreach follows from what a claim of one kind has of another: why beyond data, data beyond why, why beyond how.
+    """
+    is_ = lambda k: F.col("primary") == k
+    over = F.when(is_("what") & (F.col("why") > 25), "medium").when(is_("why") & (F.col("what") > 30), "high").when(is_("how") & (F.col("why") > 40), "medium").when(is_("why") & (F.col("how") > 40), "low").otherwise("none")
+    note = F.when(over == "high", NOTES["high"]).when(over == "medium", NOTES["medium"]).otherwise("")
+    return kinds.select("doc_id", "nth", "primary", "mixed", F.col("margin").alias("confidence"), over.alias("overreach"), note.alias("note"))
 
 
 def topic_pages(chunks: DataFrame) -> DataFrame:

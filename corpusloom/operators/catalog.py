@@ -7,9 +7,25 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.text import occurrences
 
-# Extensions by read tier, and phrases and terms of the three kinds of statement.
+#: Extensions by read tier, a default of the parameter.
 TIERS = {"text": [".md", ".txt", ".html", ".csv", ".json", ".yml", ".py", ".log"], "document": [".pdf", ".docx", ".xlsx"], "media": [".png", ".jpg"]}
-KINDS = {"what": (["data shows", "according to", "percent of"], ["observed", "measured", "data", "rate"]), "how": (["works by", "leads to", "results in"], ["process", "model", "because"]), "why": (["means that", "ultimately"], ["meaning", "purpose", "should"])}
+# Phrases and terms of the three kinds of statement.
+KINDS = {
+    "what": (
+        ["data shows", "study found", "measured at", "observed that", "according to", "rates increased", "percent of", "correlation between", "peer-reviewed", "sample size"],
+        ["observed", "measured", "counted", "detected", "data", "evidence", "citation", "source", "reference", "percent", "ratio", "rate", "count", "documented", "reported"],
+    ),
+    "how": (
+        ["works by", "mechanism is", "leads to", "follows from", "derived from", "results in", "defined as", "cohere when", "cost-bearing", "resolves through", "isomorphic to", "predicts that", "would falsify", "kill condition", "if and only if"],
+        ["mechanism", "process", "structure", "model", "equation", "formula", "operator", "constraint", "derivation", "proof", "theorem", "axiom", "because", "causes", "produces", "algorithm", "pipeline", "conservation", "isomorphism", "falsifiable"],
+    ),
+    "why": (
+        ["means that", "reveals that", "ultimately", "the purpose of", "god intended", "christ is", "the cross is", "spiritually", "theologically", "reality is grounded", "matters because", "kingdom of god", "moral order", "divine architecture"],
+        ["meaning", "purpose", "significance", "sacred", "divine", "spiritual", "god", "christ", "jesus", "logos", "trinity", "grace", "sin", "salvation", "redemption", "moral", "ought", "should", "good", "evil", "holy", "destiny", "calling"],
+    ),
+}
+#: Shares of a text without any of them: of a text as a whole, and of a single claim.
+NONE_WHOLE, NONE_CLAIM = (33.3, 33.3, 33.3), (33.3, 33.3, 33.4)
 
 
 def read_tier(files: DataFrame) -> DataFrame:
@@ -59,14 +75,22 @@ def next_items(queue: DataFrame, group: str) -> DataFrame:
     return queue.groupBy(group).agg(F.min_by("doc_id", F.struct("priority", "doc_id")).alias("doc_id"))
 
 
-def statement_kinds(docs: DataFrame) -> DataFrame:
-    """(doc_id, what, how, why, margin): weighted phrases and terms in percent; a third each without any."""
-    low = F.lower("text")
-    raw = {k: sum((F.when(F.contains(low, F.lit(p)), 2.5).otherwise(0.0) for p in ps), F.lit(0.0)) + sum((F.when(low.rlike(rf"\b{t}\b"), 1.0).otherwise(0.0) for t in ts), F.lit(0.0)) for k, (ps, ts) in KINDS.items()}
-    df = docs.select("doc_id", *(v.alias(f"r_{k}") for k, v in raw.items())).withColumn("total", sum((F.col(f"r_{k}") for k in KINDS), F.lit(0.0)))
-    df = df.select("doc_id", *(F.round(F.when(F.col("total") > 0, 100 * F.col(f"r_{k}") / F.col("total")).otherwise(100 / 3), 4).alias(k) for k in KINDS))
-    top = F.sort_array(F.array(*KINDS), asc=False)
-    return df.withColumn("margin", F.round(F.get(top, F.lit(0)) - F.get(top, F.lit(1)), 4))
+def statement_kinds(docs: DataFrame, kinds: dict[str, tuple[list[str], list[str]]] | None = None, none: tuple[float, float, float] = NONE_WHOLE) -> DataFrame:
+    """(doc_id, what, how, why, primary, mixed, margin, unscoped): shares in percent of phrases (2.5 each, wherever they are) and of whole words (1 each), each counted once.
+
+    The first of equals is primary; below 60 percent it is mixed, below 45 unscoped.
+    """
+    kinds = kinds or KINDS
+    rows = docs.select("doc_id", F.lower("text").alias("low")).withColumn("ws", F.expr(r"array_distinct(regexp_extract_all(low, r'[\p{L}\p{N}_]+', 0))"))
+    raw = {k: sum((F.when(F.contains("low", F.lit(p)), 2.5).otherwise(0.0) for p in ps), F.lit(0.0)) + F.size(F.array_intersect("ws", F.array(*map(F.lit, ts)))) for k, (ps, ts) in kinds.items()}
+    df = rows.select("doc_id", *(v.alias(f"r_{k}") for k, v in raw.items())).withColumn("total", sum((F.col(f"r_{k}") for k in kinds), F.lit(0.0)))
+    df = df.select("doc_id", *(F.when(F.col("total") > 0, F.round(100 * F.col(f"r_{k}") / F.col("total"), 1)).otherwise(x).alias(k) for k, x in zip(kinds, none, strict=True)))
+    order = F.sort_array(F.array(*kinds), asc=False)
+    top = F.greatest(*kinds)
+    primary = F.lit(list(kinds)[-1])
+    for k in list(kinds)[-2::-1]:
+        primary = F.when(F.col(k) == top, k).otherwise(primary)
+    return df.select("doc_id", *kinds, primary.alias("primary"), (top < 60).alias("mixed"), F.round(F.get(order, F.lit(0)) - F.get(order, F.lit(1)), 1).alias("margin"), (top < 45).alias("unscoped"))
 
 
 def sparse_sentences(sentences: DataFrame, every: int = 20) -> DataFrame:

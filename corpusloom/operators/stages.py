@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.metrics import matched
+
 # The terms of the stages.
 VARIABLES = {
     "G": ["grace", "mercy", "restore", "redemption", "forgive", "draw", "attract"], "M": ["will", "repentance", "moral", "alignment", "choice", "conversion", "decision"],
@@ -93,3 +95,43 @@ def claims(kinds: DataFrame) -> DataFrame:
     sums = kinds.rollup("doc_id").agg(F.count("*").alias("n"), *(F.avg(k).alias(k) for k in ("what", "how", "why")), F.count_if(top < 60).alias("mixed"))
     total = F.col("what") + F.col("how") + F.col("why")
     return sums.select("doc_id", "n", *(F.round(100 * F.col(k) / total, 3).alias(k) for k in ("what", "how", "why")), "mixed")
+
+
+# What a hit of each category is worth, and the diagnoses in order.
+SCALES = {"justice": 12, "mercy": 12, "cost_bearer": 14, "coercion": 16, "evidence": 12, "overclaim": 18, "positive": 12, "negative": 12}
+NEUTRAL = "neutral -- insufficient signal to diagnose"
+
+
+def profiled(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, profile, the eight scores of SCALES, coherence, ratio, balance, evidence_ratio, diagnosis) of texts under each profile of a lexicon (profile, category, term).
+
+    A word counts once for a text, a phrase with a blank each time; scores end at 100. Texts without a hit have a row
+    for each profile too.
+    """
+    uses = lexicon.select("profile", "category", F.lower("term").alias("term"))
+    places = matched(docs.select("doc_id", F.lit(0).alias("nth"), F.col("text").alias("sentence")), uses.select("term"))
+    counts = places.groupBy("doc_id", "term").agg(F.count("*").alias("n")).withColumn("n", F.when(F.contains("term", F.lit(" ")), F.col("n")).otherwise(1))
+    raw = counts.join(uses, "term").groupBy("doc_id", "profile").pivot("category", list(SCALES)).agg(F.sum("n"))
+    every = docs.select("doc_id").distinct().withColumn("profile", F.explode(F.lit([r.profile for r in uses.select("profile").distinct().orderBy("profile").limit(1000).collect()])))
+    df = every.join(raw, ["doc_id", "profile"], "left").select("doc_id", "profile", *(F.least(F.lit(100), F.coalesce(F.col(k), F.lit(0)) * v).cast("int").alias(k) for k, v in SCALES.items()))
+    j, m, c, x, ev, oc, pos, neg = map(F.col, SCALES)
+    rules = [
+        ((j > 50) & (m < 15), "terminal justice -- mercy absent"), ((m > 50) & (j < 15), "false mercy -- justice absent"), ((j > 30) & (m > 30) & (c < 10), "contradiction -- both demanded, no payer"), ((j > 30) & (m > 30) & (c > 25), "resolution path present"),
+        (x > 40, "coercion pressure detected"), ((c > 40) & (m < 10), "cost language without restoration target"), (oc > ev + 15, "overclaim exceeds evidence"), (ev > oc + 20, "evidence-grounded"), (neg > pos + 20, "negative signal dominant"), (pos > neg + 20, "positive signal dominant"),
+        ((j < 10) & (m < 10), "low moral signal overall"),
+    ]
+    signals = F.array_compact(F.array(*(F.when(test, name) for test, name in rules)))
+    return df.withColumns({
+        "coherence": F.greatest(F.lit(0), F.least(F.lit(100), F.least(j, m) + c - x)), "ratio": F.round(j / F.greatest(F.lit(1), m), 2), "balance": j - m, "evidence_ratio": F.round(ev / F.greatest(F.lit(1), oc), 2),
+        "diagnosis": F.when(F.size(signals) == 0, F.array(F.lit(NEUTRAL))).otherwise(signals),
+    })
+
+
+def compared(rows: DataFrame, profiles: list[str]) -> DataFrame:
+    """(doc_id, <profile>_coherence .., best, spread): each text's coherence under the profiles side by side, the profile with the most, the first of equals, and how far they are apart."""
+    wide = rows.groupBy("doc_id").pivot("profile", profiles).agg(F.first("coherence"))
+    top = F.greatest(*profiles)
+    best = F.lit(profiles[-1])
+    for p in profiles[-2::-1]:
+        best = F.when(F.col(p) == top, p).otherwise(best)
+    return wide.select("doc_id", *(F.col(p).alias(f"{p}_coherence") for p in profiles), best.alias("best"), (top - F.least(*profiles)).alias("spread"))

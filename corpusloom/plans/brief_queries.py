@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import briefs as b
-from corpusloom.operators import catalog
 from corpusloom.operators import conversations as c
 from corpusloom.operators import text as t
 from corpusloom.plans import text_queries as tq
@@ -47,11 +46,6 @@ def _answers(scan):
     return b.answers(asked, scan.report())
 
 
-def _claims(docs):
-    each = t.sentences(docs).select(F.struct("doc_id", "nth", "sentence").alias("doc_id"), F.col("sentence").alias("text"))
-    return b.sentence_claims(catalog.statement_kinds(each).select("doc_id.doc_id", "doc_id.nth", F.col("doc_id.sentence").alias("text"), "what", "how", "why"))
-
-
 def _pages(s, d):
     return b.topic_pages(tq._chunks(s, d).join(tq._topics(s, d), ["conv_id", "turn"]))
 
@@ -69,7 +63,6 @@ QUERIES = {
     "agg39_feedback": _scan(_feedback),
     "agg40_report": _scan(_Scan.report),
     "txt30_answers": _scan(_answers),
-    "txt17_sentence_claims": lambda s, d: _claims(x.table(s, d, "documents")),
     "txt28_topic_pages": _pages,
     "txt26_expanded": _expanded,
 }
@@ -82,13 +75,10 @@ _anomalies = "an as (select root, nth, kind, summary from (select *, cast(row_nu
 _suggest = "sg as (select root, nth, kind, summary from (select *, cast(row_number() over (partition by root order by rank, place, summary) as int) as nth from (select root, case when doc_id % 2 = 0 then 1 else 2 end as rank, case when doc_id % 2 = 0 then 'spelling_correction' else 'rename' end as kind, 0::double as place, 'Rename ' || name || ' to new_' || name as summary from files where doc_id % 17 = 3 union all select root, 3, 'route', k, 'Route ' || path || ' to ' || target from (select *, row_number() over (partition by root, target order by path) as k from rt where target is not null) where k <= 3 union all select root, 4, 'family_consolidation', 0, 'Review ' || count(*) || ' near-duplicate pairs' from nr where jaccard >= 0.9 group by root)) where nth <= 10)"
 _report = f"rp as (select st.root, st.n, st.coverage, coalesce(a, '') as anomalies, coalesce(s, '') as suggestions from st left join (select root, string_agg(summary, chr(10) order by nth) as a from an group by root) aa on aa.root = st.root left join (select root, string_agg(summary, chr(10) order by nth) as s from sg group by root) ss on ss.root = st.root)"
 _whole = f"with {_f}, {_stats}, {_near}, {_anomalies}, {_suggest}, {_report}"
-_kinds = {n: " + ".join([f"case when contains(low, '{p}') then 2.5::double else 0 end" for p in ps] + [f"case when list_contains(ws, '{w}') then 1.0::double else 0 end" for w in ts]) for n, (ps, ts) in catalog.KINDS.items()}
-_over = "len(list_intersect(ws, ['proves', 'undeniable', 'impossible', 'always', 'never', 'every', 'absolute', 'definitively'])) > 0"
 SQL = {
     "agg17_report_statistics": f"{_whole} select * from st",
     "agg33_report_suggestions": f"{_whole} select * from sg",
     "agg39_feedback": f"{_whole} select root, nth, kind, case when nth % 5 + 1 >= 4 then 1 else 0 end as approved from sg where nth % 5 + 1 <> 3",
-    "txt17_sentence_claims": f"with s as ({tq.SQL['txt01_sentences']}), w as (select doc_id, nth, low, regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+') as ws from (select *, lower(sentence) as low from s)), k as (select doc_id, nth, {_over} as overreach, " + ", ".join(f"{v} as {n}" for n, v in _kinds.items()) + " from w), p as (select doc_id, nth, overreach, " + ", ".join(f"round(case when what + how + why > 0 then 100 * {n} / (what + how + why) else 100 / 3 end, 4) as {n}" for n in _kinds) + " from k), g as (select *, greatest(what, how, why) as top from p) select doc_id, nth, case when what = top then 'what' when how = top then 'how' else 'why' end as primary, top < 60 as mixed, overreach, case when overreach and what < 50 then 'claims more than it shows' when top < 45 then 'unscoped' when top < 60 then 'mixed' else '' end as note from g",
     "txt28_topic_pages": f"with tp as ({tq.SQL['win02_topics']}), {tq._chunk} select conv_id, topic, md5(conv_id || ':' || topic) as page_id, count(*) as n, cast(sum(length(text)) as bigint) as n_chars, string_agg(distinct speaker, ',' order by speaker) as speakers, min(turn) as first, max(turn) as last from ch join tp using (conv_id, turn) group by conv_id, topic",
     "txt26_expanded": "with r as (select distinct 'w' || (doc_id % 50) as word, case doc_id % 3 when 0 then 'broader' when 1 then 'synonym' else 'narrower' end as relation, 'w' || (doc_id % 211) as term from documents), s as (select distinct lang as category, 'w' || (doc_id % 20) as word from documents where doc_id % 5 = 0), o as (select category, relation, term from s join r using (word)), t as (select o.category, r.relation, r.term from o join r on o.relation = 'broader' and r.relation = 'broader' and r.word = o.term), m as (select category, term from (select *, row_number() over (partition by category, relation order by length(term), term) as nth from (select * from o union select * from t)) where nth <= 4), e as (select category, word as term from s union select category, term from m), q as (select *, cast(row_number() over (partition by category order by length(term), term) as int) as nth from e) select * from q where nth <= 12",
 }

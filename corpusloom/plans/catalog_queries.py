@@ -41,11 +41,9 @@ QUERIES = {
     "join19_node_matches": _docs(lambda v: k.node_matches(v, NODES)),
     "win09_sparse_sentences": _docs(lambda v: k.sparse_sentences(t.sentences(v))),
     "win18_next_items": _docs(lambda v: k.next_items(v.selectExpr("source", "doc_id", "n_chars % 7 as priority"), "source")),
-    "txt10_statement_kinds": _docs(k.statement_kinds),
 }
 _f = f"with {x.FILES_SQL}"
 _in = lambda v: "(" + ", ".join(f"'{a}'" for a in v) + ")"
-_raw = {n: " + ".join([f"case when contains(lower(text), '{p}') then 2.5 else 0 end" for p in ps] + [f"case when regexp_matches(lower(text), '\\b{w}\\b') then 1.0 else 0 end" for w in ts]) for n, (ps, ts) in k.KINDS.items()}
 _occ = lambda ws: " + ".join(f"(length(text) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in ws)
 SQL = {
     "flt20_read_tier": f"{_f} select doc_id, case " + " ".join(f"when ext in {_in(v)} then '{n}'" for n, v in k.TIERS.items()) + " else 'metadata' end as tier from files",
@@ -57,5 +55,4 @@ SQL = {
     "join19_node_matches": "with s as (" + " union all ".join(f"select '{n}' as node, doc_id, cast({_occ(ws)} as bigint) as score from documents" for n, ws in NODES) + "), r as (select *, cast(row_number() over (partition by node order by score desc, doc_id) as int) as nth from s where score > 0) select * from r where nth <= 30",
     "win09_sparse_sentences": f"with s as ({TEXT_SQL['txt01_sentences']}) select doc_id, cast(count(*) as int) as n, arg_min(sentence[1:100], nth) as first, arg_max(sentence[1:100], nth) as last, coalesce(string_agg(sentence[1:80], '|' order by nth) filter (nth % 20 = 19), '') as picked from s group by doc_id",
     "win18_next_items": "select source, arg_min(doc_id, (n_chars % 7, doc_id)) as doc_id from documents group by source",
-    "txt10_statement_kinds": "with r as (select doc_id, " + ", ".join(f"({v})::double as {n}" for n, v in _raw.items()) + " from documents), s as (select doc_id, " + ", ".join(f"round(case when what + how + why > 0 then 100 * {n} / (what + how + why) else 100 / 3 end, 4) as {n}" for n in k.KINDS) + " from r) select *, round(list_sort([what, how, why], 'desc')[1] - list_sort([what, how, why], 'desc')[2], 4) as margin from s",
 }

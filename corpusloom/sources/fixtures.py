@@ -98,3 +98,21 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILE_EVENTS_SQL = f"file_events as (select event_id, {EVENT_KIND} as kind, 'u' || cast(user_id as string) || '/f' || coalesce(json_extract_string(props, '$.k'), 'x') as path, ts from events)"
+
+#: Sentences that some texts get at their end, by doc_id % 16, so that every verdict on texts occurs.
+PLANTED = [
+    "Data shows and evidence measured it, so the source and a citation were reported.", "The mechanism is a process because the model leads to a proof.", "Ultimately the meaning and the sacred purpose of grace is good.", "Data observed by the source means that grace and the sacred should count.",
+    "God intended the meaning of data and evidence from a source, reported and observed.", "The mechanism and model of a divine purpose, sacred and holy.", "The process and the structure of a divine purpose, sacred and holy.", "Accountability, consequence, judgment, restitution, boundary, violation and debt are due.",
+    "Forgiveness, patience, compassion, dignity, healing and reconciliation are there.", "Accountability, consequence, judgment and violation meet forgiveness, patience, dignity and healing.", "Accountability, consequence, judgment and debt meet mercy, patience, dignity and healing, to pay the cost and sacrifice a price.",
+    "They coerce, dominate, manipulate and blame.", "It proves what is undeniable and impossible.", "It proves one citation.", "Empirical statistical replication of the sample figure and table.", "",
+]
+_plant = "case doc_id % 16 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(PLANTED)) + " end"
+PLANTED_TEXT = f"coalesce(text, '') || '. ' || {_plant}"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a sentence of PLANTED at the end of their texts."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.expr(PLANTED_TEXT))
+
+
+PLANTED_SQL = f"planted as (select * replace ({PLANTED_TEXT} as text) from documents)"
