@@ -178,21 +178,39 @@ def fill(sequences: DataFrame, pairs: DataFrame, state: str, missing: str, key:
     return runs.join(F.broadcast(powers), "anchor", "left").select(*key, *order, F.coalesce(F.get("path", place.cast("int")), lost).alias("filled"))
 
 
-def markov_scores(decisions: DataFrame, sequence: str, k: float = 0.5) -> DataFrame:
-    """(doc_id, p): probability of approval from two chains of transitions, one of each class."""
-    steps = decisions.select("doc_id", "approved", F.explode(F.expr(f"transform(sequence(1, size({sequence}) - 1), i -> struct({sequence}[i - 1] as a, {sequence}[i] as b))")).alias("x")).select("doc_id", "approved", "x.*")
-    vocabulary = steps.select("a").unionByName(steps.select(F.col("b").alias("a"))).agg(F.countDistinct("a").alias("v"))
+def markov_scores(decisions: DataFrame, sequence: str, k: float = 0.5, rows: DataFrame | None = None) -> DataFrame:
+    """(doc_id, p): probability of approval from two chains of transitions, one of each class.
+
+    The chains are learned from decisions (doc_id, approved, sequence), and applied to rows (doc_id, sequence), by
+    default the same. A transition that was never seen counts as k of the vocabulary's size, in both classes.
+    """
+    steps_of = lambda df, *cols: df.select("doc_id", *cols, F.explode(F.expr(f"transform(sequence(1, size({sequence}) - 1), i -> struct({sequence}[i - 1] as a, {sequence}[i] as b))")).alias("x")).select("doc_id", *cols, "x.*")
+    steps = steps_of(decisions, "approved")
+    vocabulary = steps.select("a").unionByName(steps.select(F.col("b").alias("a"))).agg(F.greatest(F.lit(1), F.countDistinct("a")).alias("v"))
     count = lambda c: F.count_if(F.col("approved") == c)
     pairs = steps.groupBy("a", "b").agg(count(1).alias("n1"), count(0).alias("n0"))
     froms = steps.groupBy("a").agg(count(1).alias("t1"), count(0).alias("t0"))
     classes = decisions.agg(F.log((count(1) + 1) / (count(0) + 1)).alias("prior")).crossJoin(vocabulary)
-    ratio = F.log((F.col("n1") + k) / (F.col("t1") + k * F.col("v"))) - F.log((F.col("n0") + k) / (F.col("t0") + k * F.col("v")))
-    weights = pairs.join(froms, "a").crossJoin(F.broadcast(classes)).select("a", "b", ratio.alias("w"), "prior")
-    sums = steps.join(weights, ["a", "b"]).groupBy("doc_id").agg((F.sum("w") + F.max("prior")).alias("d"))
+    n1, n0, t1, t0 = (F.coalesce(c, F.lit(0)) for c in ("n1", "n0", "t1", "t0"))
+    ratio = F.log((n1 + k) / (t1 + k * F.col("v"))) - F.log((n0 + k) / (t0 + k * F.col("v")))
+    asked = steps if rows is None else steps_of(rows)
+    weighed = asked.join(pairs, ["a", "b"], "left").join(froms, "a", "left").crossJoin(F.broadcast(classes)).select("doc_id", ratio.alias("w"), "prior")
+    sums = weighed.groupBy("doc_id").agg((F.sum("w") + F.max("prior")).alias("d"))
     d = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("d")))
     return sums.select("doc_id", (1 / (1 + F.exp(-d))).alias("p"))
 
 
+def frequency_scores(decisions: DataFrame, rows: DataFrame, key_share: float = 0.6, smooth: float = 2.0) -> DataFrame:
+    """(doc_id, p) of rows (doc_id, key, tags): the smoothed share of approvals of the key among decisions, and 0.4 of the mean of the tags' that occur there."""
+    rate = (F.sum("approved") + smooth * 0.5) / (F.count("*") + smooth)
+    by_key = decisions.groupBy("key").agg(rate.alias("key_rate"))
+    by_tag = decisions.select("approved", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(rate.alias("rate"))
+    tags = rows.select("doc_id", F.explode(F.array_distinct("tags")).alias("tag")).join(by_tag, "tag").groupBy("doc_id").agg(F.avg("rate").alias("tag_rate"))
+    key_rate = F.coalesce("key_rate", F.lit(0.5))
+    p = F.when(F.col("tag_rate").isNull(), key_rate).otherwise(key_share * key_rate + (1 - key_share) * F.col("tag_rate"))
+    return rows.select("doc_id", "key").join(by_key, "key", "left").join(tags, "doc_id", "left").select("doc_id", p.alias("p"))
+
+
 def prequential(decisions: DataFrame, key: str, order: str, smooth: float = 2.0, warm: int = 4) -> DataFrame:
     """(key, n, correct, log_loss): each decision is predicted from those of its key before it, then learned."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
