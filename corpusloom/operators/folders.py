@@ -23,6 +23,9 @@ CODE_MARKS = ["#!/usr/bin/env", "#!/bin/", "import ", "def ", "function ", "cons
 TYPE_CODES = {"document": "DOC", "code": "COD", "data": "DAT", "note": "NOT", "config": "CFG", "paper": "PAP", "image": "IMG", "video": "VID", "audio": "AUD", "binary": "BIN"}
 STATE_CODES = {"draft": "DR", "active": "AC", "final": "FN", "archive": "AR", "review": "RV"}
 CERTAIN = [".py", ".js", ".ts", ".ahk", ".json", ".csv", ".sqlite", ".db", ".md", ".txt", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".mp4", ".mov", ".avi", ".mkv", ".mp3", ".wav", ".flac"]
+PROVENANCE = ["staging", "draft", "work", "temp", "tmp", "old", "backup", "bak"]
+LAYERS = ["story", "highschool", "college", "phd", "doctoral", "technical", "reading_layers"]
+MARKERS = [".git", "package.json", "requirements.txt", "pyproject.toml", "cargo.toml"]
 APPROVE, QUEUE, REJECTED, LONGEST_NAME = 0.72, 0.45, 0.25, 180
 WEIGHTS = {"F": 2, "N": 3, "E": 1, "C": 3, "H": 5, "T": 1, "P": 2, "Role": 1}
 
@@ -87,9 +90,14 @@ def simple_symptoms(files: DataFrame) -> DataFrame:
     return d.select("root", "dir", F.array_join(found, ",").alias("symptoms")).where("symptoms <> ''")
 
 
-def kills(pairs: DataFrame, files: DataFrame, least: float = 0.12) -> DataFrame:
-    """(source, target, kills): why the folders of a pair (source, target, margin) must not be joined."""
-    e = files.select("dir", F.lower("name").alias("low"), F.lower("stem").alias("stem"), F.lower("ext").alias("ext"), "hash", "hour")
+def kills(pairs: DataFrame, files: DataFrame, roots: DataFrame, least: float = 0.12, words: list[str] | None = None, layers: list[str] | None = None) -> DataFrame:
+    """(source, target, kills): why the folders of a pair (source, target, margin) must not be joined, sorted.
+
+    roots (dir) are folders that hold a marker of a program; words are those of paths that tell of copies on their
+    way, layers the folder names of reading levels, which two folders must have alike if both have some.
+    """
+    words, layers = words or PROVENANCE, layers or LAYERS
+    e = files.select("dir", F.lower("name").alias("low"), F.replace(F.lower("stem"), F.lit(".canonical"), F.lit("")).alias("stem"), F.lower("ext").alias("ext"), "hash", "hour")
     src, tgt = e.withColumnRenamed("dir", "source"), e.withColumnRenamed("dir", "target")
     names = lambda df, key: df.groupBy(key).agg(F.count_distinct("low").alias("n"))
     one = lambda df, key: df.groupBy(key, "low").agg(F.min("hash").alias("h0"), F.max("hash").alias("h1"), F.max("hour").alias("hour"))
@@ -100,9 +108,17 @@ def kills(pairs: DataFrame, files: DataFrame, least: float = 0.12) -> DataFrame:
     stems = lambda k: e.withColumnRenamed("dir", k).select(k, "stem", "ext").distinct()
     forms = key.join(stems("source"), "source").unionByName(key.join(stems("target"), "target").select("source", "target", "stem", "ext")).groupBy("source", "target", "stem").agg(F.countDistinct("ext").alias("x")).groupBy("source", "target").agg((F.max("x") > 1).alias("forms"))
     df = pairs.join(both, ["source", "target"], "left").join(forms, ["source", "target"], "left").join(inner("source"), "source", "left").join(inner("target"), "target", "left").join(names(src, "source"), "source", "left")
+    path = F.lower(F.concat_ws("/", "dir", "name"))
+    flags = files.groupBy("dir").agg(F.bool_or(path.rlike("|".join(words))).alias("passing"))
+    level = F.array_join(F.array_sort(F.array_intersect(F.split(F.lower("dir"), "/"), F.array(*map(F.lit, layers)))), ",")
+    flags = flags.withColumn("level", level).join(roots.select("dir").distinct().withColumn("program", F.lit(True)), "dir", "left")
+    for k in ("source", "target"):
+        df = df.join(flags.select(F.col("dir").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("passing", "level", "program"))), k, "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    conflict = (F.col("source_level") != "") & (F.col("target_level") != "") & (F.col("source_level") != F.col("target_level"))
     found = F.array(
         F.when(yes("forms"), F.lit("format_variants_detected")), F.when(F.coalesce("same", F.lit(0)) == F.col("n"), F.lit("incoming_folder_subset_of_target")), F.when(F.col("margin") < least, F.lit("multiple_targets_low_rival_margin")),
+        F.when(yes("source_program") | yes("target_program"), F.lit("protected_program_root_detected")), F.when(yes("source_passing"), F.lit("provenance_penalty_path_signal")), F.when(conflict, F.lit("reading_layer_conflict")),
         F.when(yes("clash") | yes("own_source") | yes("own_target"), F.lit("same_filename_different_hash")), F.when(yes("newer"), F.lit("target_newer_than_incoming")),
     )
     return df.select("source", "target", F.array_join(F.array_compact(found), ",").alias("kills"))

@@ -29,8 +29,8 @@ def _scans(s, d):
 
 def _identities(s, d):
     f = x.files(s, d)
-    now = f.where("doc_id % 2 = 1").groupBy(F.concat_ws(":", "root", "lang").alias("folder_id")).agg(F.min("dir").alias("dir"))
-    before = x.files_before(f).where("doc_id % 2 = 1").groupBy(F.concat_ws(":", "root", "lang").alias("folder_id")).agg(F.max("dir").alias("dir"), F.array(F.min("lang")).alias("previous"))
+    now = f.groupBy(F.concat_ws(":", "root", "lang").alias("folder_id")).agg(F.min("dir").alias("dir"))
+    before = x.files_before(f).groupBy(F.concat_ws(":", "root", "lang").alias("folder_id")).agg(F.max("dir").alias("dir"), F.array(F.min("lang")).alias("previous"))
     return o.identities(now, before)
 
 
@@ -38,6 +38,12 @@ def _pairs(f):
     return classify.group_scores(f, cq.WEIGHTS).select("source", "target", "margin")
 
 
+def _kills(f):
+    inside = x.dirs(f).where("base = '.git'").select(F.col("parent").alias("dir"))
+    roots = f.where(F.lower("name").isin(o.MARKERS)).select("dir").unionByName(inside)
+    return o.kills(_pairs(f), f, roots, layers=["en", "de", "fr", "es"])
+
+
 def _clusters(s, d):
     v = lambda k, m: f"(doc_id * {k} % {m}) / {m - 1}.0D"
     c = x.table(s, d, "documents").selectExpr("doc_id as key", *(f"{v(k, 11)} as {n}" for n, k in (("F", 3), ("N", 5), ("E", 7), ("C", 2), ("T", 9), ("P", 4), ("Role", 8))), "case when doc_id % 3 = 0 then 1.0D else 0.0D end as H", "cast(doc_id % 101 as int) as safety", "doc_id % 4 = 0 as variants")
@@ -58,7 +64,7 @@ def _gate(s, d):
 
 def _corpus(f):
     items = f.selectExpr("doc_id", "ext", "(doc_id % 97) / 97.0D as confidence")
-    return o.corpus(items.where("doc_id % 9 = 0"), items.where("doc_id % 9 in (1, 2)"), 5, 6)
+    return o.corpus(items.where("doc_id % 9 = 0"), items.where("doc_id % 9 <> 0"), 5, 6)
 
 
 def _terms(s, d):
@@ -101,7 +107,7 @@ QUERIES = {
     "join21_identities": _identities,
     "agg41_plans": lambda s, d: (lambda f: o.plans(diagnostics.scan(f, x.dirs(f), x.AS_OF, ["C05", "I04", "N01", "I07"]), STEPS))(x.files(s, d)),
     "dx2_simple_symptoms": _files(o.simple_symptoms),
-    "join22_kills": _files(lambda f: o.kills(_pairs(f), f)),
+    "join22_kills": lambda s, d: _kills(x.files(s, d)),
     "agg30_behaviour": lambda s, d: o.behaviour(_clusters(s, d)),
     "agg37_manifest_report": lambda s, d: o.manifest_report(o.behaviour(_clusters(s, d)), classify.resolution(x.files(s, d))),
     "agg14_node_summaries": _nodes,
@@ -140,14 +146,14 @@ SQL = {
     "agg09_pressures": f"{_f}, {_p} select root, dir, n, {_all}, {'[' + ', '.join(repr(a) for a in o.PRESSURES) + ']'}[list_position([{_all}], greatest({_all}))] as dominant from p",
     "agg10_folder_health": f"{_f}, {_p} select root, dir, round(1 - least(0.7, (duplicate_cleanup + manual_review_pressure) / n), 3) as health, case when n < 2 then 0 else round(spread / n, 3) end as churn, array_to_string(list_filter([case when duplicate_cleanup > 0 then 'duplicates' end, case when manual_review_pressure > 0 then 'manual_review_queue' end, case when metadata_fill_pressure > 0 then 'missing_metadata' end], lambda v: v is not null), ',') as drivers from p",
     "win16_score_changes": "with s as (select source as root, doc_id // 200 as scanned_at, round(100 * avg(quality), 3) as score from labels join documents using (doc_id) group by 1, 2) select *, score - lag(score) over (partition by root order by scanned_at) as change from s",
-    "join21_identities": f"with {x.BEFORE_SQL}, n as (select root || ':' || lang as folder_id, min(dir) as dir from files where doc_id % 2 = 1 group by 1), b as (select root || ':' || lang as folder_id, max(dir) as old, min(lang) as prev from before where doc_id % 2 = 1 group by 1), j as (select *, coalesce(lower(old) <> lower(dir), false) as moved from n left join b using (folder_id)) select folder_id, dir, moved, coalesce(case when moved then prev || ',' || old else prev end, '') as previous from j",
+    "join21_identities": f"with {x.BEFORE_SQL}, n as (select root || ':' || lang as folder_id, min(dir) as dir from files group by 1), b as (select root || ':' || lang as folder_id, max(dir) as old, min(lang) as prev from before group by 1), j as (select *, coalesce(lower(old) <> lower(dir), false) as moved from n left join b using (folder_id)) select folder_id, dir, moved, coalesce(case when moved then prev || ',' || old else prev end, '') as previous from j",
     "dx2_simple_symptoms": f"{_f}, v as (select root, dir, max(n) as versions from (select root, dir, lower(regexp_replace(stem, '(?i)[_\\-\\s]*(v\\d+|final|copy|\\(\\d+\\))$', '')) as s, count(*) as n from files group by 1, 2, 3) group by 1, 2), g as (select root, dir, count(*) as n, count(distinct ext) as exts, count(distinct hash) as hashes, count(*) filter (ext in ('.jpg', '.jpeg', '.png', '.gif', '.mp4', '.mov', '.mp3', '.wav')) / count(*) as media, count(*) filter (ext in ('.md', '.txt', '.pdf', '.doc', '.docx', '.html')) / count(*) as docs from files group by 1, 2), r as (select root, dir, array_to_string(list_filter([case when exts >= 6 then 'S01' end, case when n >= 200 then 'S04' end, case when versions >= 3 then 'S02' end, case when hashes < n then 'C01' end, case when n >= 10 and media >= 0.7 then 'C05' end, case when n >= 25 and docs >= 0.6 then 'C04' end], lambda q: q is not null), ',') as symptoms from g join v using (root, dir)) select * from r where symptoms <> ''",
-    "join22_kills": f"with {_pair}, {x.FILES_SQL}, a as (select dir, lower(name) as low, min(hash) as h0, max(hash) as h1, max(hour) as hour from files group by 1, 2), q as (select source, target, count(*) as same, bool_or(least(s.h0, d.h0) <> greatest(s.h1, d.h1)) as clash, bool_or(d.hour > s.hour and (s.h0 <> d.h0 or s.h1 <> d.h1)) as newer from pr join a s on s.dir = source join a d on d.dir = target and d.low = s.low group by 1, 2), fm as (select source, target, max(k) > 1 as forms from (select source, target, lower(stem), count(distinct lower(ext)) as k from pr join files on dir in (source, target) group by 1, 2, 3) group by 1, 2), n as (select dir, count(*) as n, bool_or(h0 <> h1) as own from a group by dir) select source, target, array_to_string(list_filter([case when coalesce(forms, false) then 'format_variants_detected' end, case when coalesce(same, 0) = sn.n then 'incoming_folder_subset_of_target' end, case when margin < 0.12 then 'multiple_targets_low_rival_margin' end, case when coalesce(clash, false) or sn.own or tn.own then 'same_filename_different_hash' end, case when coalesce(newer, false) then 'target_newer_than_incoming' end], lambda v: v is not null), ',') as kills from pr left join q using (source, target) left join fm using (source, target) left join n sn on sn.dir = source left join n tn on tn.dir = target",
+    "join22_kills": f"with {_pair}, {x.DIRS_SQL}, roots as (select dir from files where lower(name) in ('.git', 'package.json', 'requirements.txt', 'pyproject.toml', 'cargo.toml') union select parent from dirs where base = '.git'), fl as (select dir, bool_or(regexp_matches(lower(dir || '/' || name), 'staging|draft|work|temp|tmp|old|backup|bak')) as passing, array_to_string(list_sort(list_intersect(string_split(lower(dir), '/'), ['en', 'de', 'fr', 'es'])), ',') as level, dir in (select dir from roots where dir is not null) as program from files group by dir), a as (select dir, lower(name) as low, min(hash) as h0, max(hash) as h1, max(hour) as hour from files group by 1, 2), q as (select source, target, count(*) as same, bool_or(least(s.h0, d.h0) <> greatest(s.h1, d.h1)) as clash, bool_or(d.hour > s.hour and (s.h0 <> d.h0 or s.h1 <> d.h1)) as newer from pr join a s on s.dir = source join a d on d.dir = target and d.low = s.low group by 1, 2), fm as (select source, target, max(k) > 1 as forms from (select source, target, lower(stem), count(distinct lower(ext)) as k from pr join files on dir in (source, target) group by 1, 2, 3) group by 1, 2), n as (select dir, count(*) as n, bool_or(h0 <> h1) as own from a group by dir) select source, target, array_to_string(list_filter([case when coalesce(forms, false) then 'format_variants_detected' end, case when coalesce(same, 0) = sn.n then 'incoming_folder_subset_of_target' end, case when margin < 0.12 then 'multiple_targets_low_rival_margin' end, case when sf.program or tf.program then 'protected_program_root_detected' end, case when sf.passing then 'provenance_penalty_path_signal' end, case when sf.level <> '' and tf.level <> '' and sf.level <> tf.level then 'reading_layer_conflict' end, case when coalesce(clash, false) or sn.own or tn.own then 'same_filename_different_hash' end, case when coalesce(newer, false) then 'target_newer_than_incoming' end], lambda v: v is not null), ',') as kills from pr left join q using (source, target) left join fm using (source, target) left join n sn on sn.dir = source left join n tn on tn.dir = target left join fl sf on sf.dir = source left join fl tf on tf.dir = target",
     "agg30_behaviour": f"with {_comp} select * from bh",
     "agg37_manifest_report": f"with {_comp} select 'behaviour' as part, behaviour as value, count(*) as n from bh group by 2 union all select 'state', state, count(*) from ({cq.SQL['join23_resolution']}) group by 2",
     "agg14_node_summaries": f"with {_term}, r as (select term, doc_id, row_number() over (partition by term order by n desc, doc_id) as nth from h), w as (select unnest([{', '.join(repr(w) for w in TERMS)}]) as node) select node, count(doc_id) as n, round(count(doc_id) / (select count(*) from documents), 6) as share, coalesce(string_agg(cast(doc_id as varchar), ',' order by nth) filter (nth <= 30), '') as top from w left join r on term = node group by node",
     "agg06_gate_report": f"select category, overridden, count(*) as n, string_agg(distinct source, ',' order by source) as sources from {_sym('txt08_gate')} join documents using (doc_id) group by 1, 2",
-    "join25_corpus": f"{_f}, i as (select doc_id, ext, (doc_id % 97) / 97.0 as confidence from files), a as (select * from i where doc_id % 9 = 0), u as (select *, 'approved' as origin from a union all select *, 'reference' from i where doc_id % 9 in (1, 2) and ext not in (select ext from a group by ext having count(*) >= 5)) select ext, doc_id, origin from u qualify row_number() over (partition by ext order by origin, confidence desc, doc_id) <= 6",
+    "join25_corpus": f"{_f}, i as (select doc_id, ext, (doc_id % 97) / 97.0 as confidence from files), a as (select * from i where doc_id % 9 = 0), u as (select *, 'approved' as origin from a union all select *, 'reference' from i where doc_id % 9 <> 0 and ext not in (select ext from a group by ext having count(*) >= 5)) select ext, doc_id, origin from u qualify row_number() over (partition by ext order by origin, confidence desc, doc_id) <= 6",
     "flt19_file_kind": f"{_f}, {KINDS_SQL} select doc_id, label, confidence, reason from kinds",
     "flt23_suggestions": f"{_f}, {KINDS_SQL} select doc_id, dir || '/' || case when safe = '' then 'file' else safe end || '__' || label || '__' || hash[1:12] || lower(ext) as target, least(0.95, confidence) as confidence from (select *, regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as safe from files join kinds using (doc_id))",
     "flt24_coded_names": f"{_f}, c as (select doc_id, lower(ext) as e, (doc_id % 100) / 100.0 as conf, doc_id % 11 <> 0 as text, case when doc_id % 3 = 1 then (doc_id % 41) / 40.0 end as pref, lower(ext) in ('.py', '.js', '.ts', '.ahk', '.json', '.csv', '.sqlite', '.db', '.md', '.txt', '.png', '.jpg', '.jpeg', '.gif', '.webp', '.svg', '.mp4', '.mov', '.avi', '.mkv', '.mp3', '.wav', '.flac') as certain, case when doc_id % 7 <> 0 then upper(lang) else 'GN' end || '__' || case doc_id % 4 when 0 then 'PAP' when 1 then 'COD' else 'DOC' end || '__' || case when doc_id % 3 = 0 then 'GN' else lang || '-' || root end || '__' || case when doc_id % 5 <> 0 then strftime(date '2024-01-01' + cast(day as int), '%Y%m%d') else '00000000' end || '__' || case when doc_id % 2 = 0 then 'DR' else 'AC' end || lower(ext) as coded from files) select doc_id, case when not (conf < 0.45 and not certain and not text) then coded[1:180] end as coded, case when conf < 0.45 and not certain and not text then 'skip' when pref is null and (conf >= 0.72 or certain) or pref >= 0.25 and 0.6 * conf + 0.4 * pref >= 0.72 then 'auto_approve' else 'queue' end as decision from c",

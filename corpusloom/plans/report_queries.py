@@ -78,7 +78,7 @@ QUERIES = {
     "flt29_enforced_labels": _labels,
     "join20_tree": _tree,
     "join27_agreement": _agreement,
-    "join29_uncovered": _docs(lambda v: r.uncovered(v.where("doc_id % 3 = 0"), v.where("lang <> 'fr'"), ["doc_id"])),
+    "join29_uncovered": _docs(lambda v: r.uncovered(v, v.where("lang <> 'fr'"), ["doc_id"])),
     "win21_rotation": _rotation,
 }
 _f = f"with {x.FILES_SQL}"
@@ -107,6 +107,6 @@ SQL = {
     "flt29_enforced_labels": "with r(label, rank, blocks) as (values ('en', 1, ['share']), ('de', 2, ['share', 'train']), ('long', 3, ['copy']), ('src0', 5, ['share', 'delete'])), o as (select doc_id as key, unnest([lang, source, case when n_chars > 2000 then 'long' end]) as label from documents), e as (select key, r.* from o join r on o.label = r.label) select key, arg_max(label, (rank, label)) as label, array_to_string(list_sort(list_distinct(flatten(list(blocks)))), ',') as actions from e group by key",
     "join20_tree": f"with {x.DIRS_SQL} select distinct dir as id, dir as path, cast(len(string_split(dir, '/')) - 1 as int) as depth from dirs",
     "join27_agreement": f"with a as ({_lines}), b as ({_swapped}) select * from (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.property, b.property) as property, cast(abs(coalesce(a.level, 0) - coalesce(b.level, 0)) as int) as apart from a full join b on a.doc_id = b.doc_id and a.property = b.property) where apart >= 2",
-    "join29_uncovered": "select doc_id from documents where doc_id % 3 = 0 and lang = 'fr'",
+    "join29_uncovered": "select doc_id from documents where lang = 'fr' or lang is null",
     "win21_rotation": "with d as (select source as page, lang as kind from documents where doc_id % 20 < 15 or lang <> 'es'), p as (select distinct source as page from documents), k(nth, kind) as (values (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr'), (4, 'it')), e as (select page, nth, kind, (page, kind) in (select (page, kind) from d) as had, (select count(*) from d where d.kind = k.kind) as total from p, k) select page, coalesce(arg_min(kind, nth) filter (not had), arg_min(kind, (total, nth))) as kind from e group by page",
 }

@@ -90,7 +90,7 @@ QUERIES = {
     "agg16_curation_stats": _docs(c.curation_stats),
     "flt03_items": lambda s, d: listing.items(_items(s, d), tag="en", query="tion").select("doc_id", "folder", "pinned"),
     "flt05_top_items": lambda s, d: listing.items(_items(s, d), most=25).select("doc_id", "pinned"),
-    "flt08_under_folder": lambda s, d: listing.under(x.files(s, d), "src0/en").select("doc_id", "path"),
+    "flt08_under_folder": lambda s, d: listing.under(x.files(s, d), "src1/en").select("doc_id", "path"),
     "flt13_secret_warning": lambda s, d: listing.secret_warning(_items(s, d)),
     "srt02_search_top": lambda s, d: listing.search(_items(s, d), "the tion", 50),
     "srt02_search_all": lambda s, d: listing.search_all(_items(s, d), "the tion"),
@@ -139,7 +139,7 @@ SQL = {
     "agg16_curation_stats": f"with {_verdicts} select verdict, doc_id, count(*) as n from v group by verdict, doc_id union all select verdict, null, count(*) from v group by verdict",
     "flt03_items": "select doc_id, source as folder, doc_id % 17 = 0 as pinned from documents where lang = 'en' and contains(lower(text), 'tion')",
     "flt05_top_items": "select doc_id, doc_id % 17 = 0 as pinned from documents order by pinned desc, doc_id desc limit 25",
-    "flt08_under_folder": f"with {x.FILES_SQL} select doc_id, path from files where starts_with(path, 'src0/en/')",
+    "flt08_under_folder": f"with {x.FILES_SQL} select doc_id, path from files where starts_with(path, 'src1/en/')",
     "flt13_secret_warning": "select doc_id, regexp_matches(text, '(?i)(api[_-]?key|secret|token|password)\\s*[:=]\\s*\\S+') or regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{12,}') or regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') as warning from documents",
     "srt02_search_top": "select * from (select doc_id, cast((length(text) - length(replace(lower(text), 'the', ''))) // 3 + (length(text) - length(replace(lower(text), 'tion', ''))) // 4 as bigint) as score from documents) where score > 0 order by score desc, doc_id desc limit 50",
     "srt02_search_all": "select * from (select doc_id, cast((length(text) - length(replace(lower(text), 'the', ''))) // 3 + (length(text) - length(replace(lower(text), 'tion', ''))) // 4 as bigint) as score from documents) where score > 0",
