@@ -60,6 +60,22 @@ def _names(spark, sf_dir):
     return similarity.nearest_names(files.where("doc_id % 100 = 0").select("name").distinct(), files.select("name").distinct())
 
 
+#: Lines that some texts get, so that every verdict occurs; and the front matter of some.
+TALK_LINES = ["Absolutely!", "\tHello there ", "Wait, that's not it. Actually I was wrong.", " \t ", "Hence the proof", "You're welcome", "ok", "Good morning!\x0b"]
+_talk_line = "case doc_id % 9 " + " ".join(f"when {i} then '" + t.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\x0b", "' || chr(11) || '") + "'" for i, t in enumerate(TALK_LINES)) + " else '' end"
+_front = "case doc_id % 5 when 0 then '---' || chr(10) || 'stage: \"segmented\"' || chr(10) || '  curated: false' || chr(10) || '---' || chr(10) when 1 then '--- no end' when 2 then '---' || chr(10) || 'curated: true' || chr(10) || 'curated_at: x' || chr(10) || '---' else '' end"
+TALK_TEXT = f"{_front} || {_talk_line} || chr(10) || coalesce(text, '') || chr(10) || {_talk_line}"
+
+
+def _pages_of_talk(s, d):
+    return x.table(s, d, "documents").select("doc_id", F.expr(TALK_TEXT.replace("''s", "\\'s").replace("''re", "\\'re")).alias("text"))
+
+
+def _flat_pages(df):
+    flat = lambda c: F.array_join(F.transform(c, lambda v: F.concat_ws(":", v["nth"].cast("string"), v["text"])), "|")
+    return df.withColumns({"page": F.sha2(F.col("page").cast("binary"), 256), "cuts": flat("cuts"), "corrections": flat("corrections")})
+
+
 QUERIES = {
     "txt07_term_counts": _docs(lambda d: t.term_counts(d, LEXICON)),
     "txt04_profile": _docs(lambda d: t.profile(d, LEXICON)),
@@ -86,8 +102,9 @@ QUERIES = {
     "win11_turns": lambda s, d: c.turns(_talk(s, d)),
     "win12_packet": _packet,
     "txt27_titles": lambda s, d: c.titles(_chunks(s, d), "conv_id", "turn"),
-    "txt29_line_verdicts": _docs(c.line_verdicts),
-    "agg16_curation_stats": _docs(c.curation_stats),
+    "txt29_line_verdicts": lambda s, d: c.line_verdicts(_pages_of_talk(s, d)),
+    "txt29_curated_pages": lambda s, d: _flat_pages(c.curated(_pages_of_talk(s, d), "2024-02-01T00:00:00")),
+    "agg16_curation_stats": lambda s, d: c.curation_stats(_pages_of_talk(s, d)),
     "flt03_items": lambda s, d: listing.items(_items(s, d), tag="en", query="tion").select("doc_id", "folder", "pinned"),
     "flt05_top_items": lambda s, d: listing.items(_items(s, d), most=25).select("doc_id", "pinned"),
     "flt08_under_folder": lambda s, d: listing.under(x.files(s, d), "src1/en").select("doc_id", "path"),
@@ -105,7 +122,15 @@ _correction = r"(i\s+was\s+wrong|that'?s?\s+(not\s+)?(right|correct|accurate))|(
 _keep = r"equation|formula|theorem|axiom|law\s+\d|derivat|proof|lemma|therefore|thus|hence|it\s+follows|QED|∴|[A-Z]_\{|\\frac|\\int|\\sum|\\nabla|χ|Φ|ψ|∫|∑|∇|sigma|p-value|confidence|correlation|r\s*=|p\s*[<>=]|scripture|verse|chapter|genesis|exodus|galatians|john|romans|matthew|grace|entropy|coherence|negentropy|master\s+equation|lagrangian"
 _cut = r"^that'?s?\s+(a\s+)?(great|excellent|wonderful|interesting)\s+(question|point|observation)|^glad\s+you\s+(asked|mentioned|brought)|^(absolutely|definitely|certainly)[.!]?\s*$|^(i'?d\s+be\s+happy|happy)\s+to\s+help|^(sure|of course)[,.]?\s*(let'?s|i'?ll)|^(thanks?\s+for\s+sharing|thank\s+you\s+for)|^(hey|hi|hello|good\s+(morning|afternoon|evening))[\s,!.]*$|^(talk\s+later|bye|goodbye|see\s+you|take\s+care)|^(sorry\s+(about\s+that|for\s+the))|^(you'?re\s+welcome|no\s+problem|my\s+pleasure)"
 _re = lambda p: "(?i)" + p.replace("'", "''")
-_verdicts = f"v as (select doc_id, nth, case when regexp_matches(line, '{_re(_correction)}') then 'correction' when length(s) < 5 then 'cut' when regexp_matches(s, '{_re(_keep)}') then 'kept' when regexp_matches(s, '{_re(_cut)}') then 'cut' else 'kept' end as verdict from (select doc_id, cast(i - 1 as int) as nth, l[i] as line, trim(l[i], ' ') as s from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))))"
+_case = f"case when regexp_matches(line, '{_re(_correction)}') then 'correction' when length(s) < 5 then 'cut' when regexp_matches(s, '{_re(_keep)}') then 'kept' when regexp_matches(s, '{_re(_cut)}') then 'cut' else 'kept' end"
+_trim = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_verdicts = f"talk_ as (select doc_id, {TALK_TEXT} as text from documents), v as (select doc_id, nth, {_case} as verdict from (select doc_id, cast(i - 1 as int) as nth, l[i] as line, {_trim.format('l[i]')} as s from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from talk_))))"
+_pages_sql = (
+    f"talk_ as (select doc_id, {TALK_TEXT} as text from documents), hd as (select doc_id, text, case when starts_with(text, '---') and strpos(text[4:], '---') > 0 then text[1:strpos(text[4:], '---') + 5] else '' end as head from talk_), mk as (select doc_id, replace(replace(head, 'stage: \"segmented\"', 'stage: \"curated\"'), 'curated: false', 'curated: true') as m, text[length(head) + 1:] as body from hd), "
+    "mk2 as (select doc_id, case when contains(m, 'curated_at') then m else replace(m, 'curated: true', 'curated: true' || chr(10) || '  curated_at: \"2024-02-01T00:00:00\"') end as head, string_split(body, chr(10)) as l from mk), "
+    f"ln as (select doc_id, i - 1 as nth, line, s, {_case} as verdict from (select doc_id, i, l[i] as line, {_trim.format('l[i]')} as s from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from mk2))), "
+    "ag as (select doc_id, cast(count(*) as int) as n_lines, cast(count(*) filter (verdict <> 'cut') as int) as n_kept, cast(count(*) filter (verdict = 'cut') as int) as n_cut, cast(count(*) filter (verdict = 'correction') as int) as n_corrections, string_agg(line, chr(10) order by nth) filter (verdict <> 'cut') as kept, coalesce(string_agg(nth || ':' || s[1:100], '|' order by nth) filter (verdict = 'cut' and s <> ''), '') as cuts, coalesce(string_agg(nth || ':' || s, '|' order by nth) filter (verdict = 'correction'), '') as corrections from ln group by doc_id)"
+)
 _sections = "sec as (select doc_id, cast(sum(cast(regexp_matches(line, '^(#{1,6}\\s|[A-Z]\\w*\\.$)') as int)) over (partition by doc_id order by nth) as bigint) as section, nth, line from (select doc_id, cast(i - 1 as int) as nth, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))))"
 _simhash = "wd as (select doc_id, w, count(*) as n, md5(w) as h from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) as w from documents) group by doc_id, w), vb as (select doc_id, i, sum(case when (('0x' || h[17 + 8 * (i // 32):24 + 8 * (i // 32)])::ubigint >> (31 - i % 32)::ubigint) & 1 = 1 then n else -n end) as v from (select *, unnest(range(0, 64)) as i from wd) group by doc_id, i), sh as (select doc_id, string_agg(case when v > 0 then '1' else '0' end, '' order by i) as simhash from vb group by doc_id)"
 _talk_sql = f"{_chunk}, talk as (select conv_id as doc_id, string_agg(upper(speaker[1]) || speaker[2:] || ': ' || text, chr(10) order by turn) as text from ch group by conv_id)"
@@ -136,6 +161,7 @@ SQL = {
     "win12_packet": "select * from (select source, doc_id as rank, n_chars as length, cast(sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used from documents) where used <= 5000",
     "txt27_titles": f"with {_chunk}, r as (select conv_id, arg_min(text, turn) filter (speaker = 'human') as h, arg_min(text, turn) as f from ch group by conv_id), q as (select *, trim(regexp_replace(string_split(h, chr(10))[1][1:60], '[<>:\"/\\\\|?*]', '', 'g')) as clean from r) select conv_id, case when clean <> '' then clean else 'topic_' || md5(f)[1:8] end as title from q",
     "txt29_line_verdicts": f"with {_verdicts} select * from v",
+    "txt29_curated_pages": f"with {_pages_sql} select doc_id, sha256(head || coalesce(kept, '')) as page, n_lines, n_kept, n_cut, n_corrections, round(100 * n_cut / greatest(n_lines, 1), 1) as cut_share, cuts, corrections from ag join mk2 using (doc_id)",
     "agg16_curation_stats": f"with {_verdicts} select verdict, doc_id, count(*) as n from v group by verdict, doc_id union all select verdict, null, count(*) from v group by verdict",
     "flt03_items": "select doc_id, source as folder, doc_id % 17 = 0 as pinned from documents where lang = 'en' and contains(lower(text), 'tion')",
     "flt05_top_items": "select doc_id, doc_id % 17 = 0 as pinned from documents order by pinned desc, doc_id desc limit 25",
