@@ -139,17 +139,35 @@ def resolution(files: DataFrame) -> DataFrame:
 def group_scores(files: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(source, target, raw, margin): the best target group of each source group, and its lead over the next.
 
-    Groups are folders; names, extensions and contents are compared as sets, by joins on their elements.
+    Groups are folders; names, extensions and contents are compared as sets. Folders meet by their names and contents.
+    Extensions are few and in every folder, so folders don't meet by them: the different sets of extensions are
+    compared with each other, and each set gets the three first folders of those nearest to it. A folder's two best
+    targets are among these and those that it shares a name or a content with, as any other has the nearest ones' score
+    at most.
     """
-    shared = None
-    for part, col in (("names", F.lower("name")), ("exts", F.col("ext")), ("hashes", F.col("hash"))):
-        e = files.select("dir", col.alias("e")).distinct()
+    items = {"names": files.select("dir", F.lower("name").alias("e")).distinct(), "hashes": files.select("dir", F.col("hash").alias("e")).distinct()}
+    kinds = files.groupBy("dir").agg(F.array_sort(F.collect_set("ext")).alias("exts"))  # a folder has few extensions
+    parts = None
+    for part, e in items.items():
         n = e.groupBy("dir").agg(F.count("*").alias("n"))
         both = e.alias("a").join(e.alias("b"), F.expr("a.e = b.e and a.dir <> b.dir")).groupBy(F.col("a.dir").alias("source"), F.col("b.dir").alias("target")).agg(F.count("*").alias("c"))
         j = both.join(n.withColumnsRenamed({"dir": "source", "n": "ns"}), "source").join(n.withColumnsRenamed({"dir": "target", "n": "nt"}), "target")
         one = j.select("source", "target", (weights[part] * F.col("c") / (F.col("ns") + F.col("nt") - F.col("c"))).alias("v"))
-        shared = one if shared is None else shared.unionByName(one)
-    raw = shared.groupBy("source", "target").agg(F.round(F.sum("v"), 9).alias("raw"))
+        parts = one if parts is None else parts.unionByName(one)
+    shared = parts.groupBy("source", "target").agg(F.sum("v").alias("v"))
+    # the three first folders of each set of extensions, taken part by part
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy("exts", *by).orderBy("dir"))).where("nth <= 3").drop("nth")
+    heads = first(first(kinds.withColumn("part", F.pmod(F.xxhash64("dir"), F.lit(64))), "part").drop("part"))
+    sets = kinds.select("exts").distinct()
+    elements = sets.select("exts", F.explode("exts").alias("e"))
+    near = elements.alias("a").join(elements.alias("b"), F.expr("a.e = b.e")).select(F.col("a.exts").alias("exts"), F.col("b.exts").alias("other")).distinct()
+    alike = lambda p, q: F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))
+    near = near.join(heads.withColumnRenamed("exts", "other"), "other").withColumn("j", alike("exts", "other"))
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("exts").orderBy(F.desc("j"), "dir"))).where("nth <= 3").select("exts", F.col("dir").alias("target"))
+    by_ext = kinds.join(near, "exts").select(F.col("dir").alias("source"), "target").where("source <> target")
+    pairs = shared.unionByName(by_ext.withColumn("v", F.lit(0.0))).groupBy("source", "target").agg(F.sum("v").alias("v"))
+    side = lambda c: kinds.select(F.col("dir").alias(c), F.col("exts").alias(f"{c}_exts"))
+    raw = pairs.join(side("source"), "source").join(side("target"), "target").select("source", "target", F.round(F.col("v") + weights["exts"] * alike("source_exts", "target_exts"), 9).alias("raw")).where("raw > 0")
     w = Window.partitionBy("source").orderBy(F.desc("raw"), "target")
     ranked = raw.withColumns({"nth": F.row_number().over(w), "next": F.lead("raw").over(w)})
     return ranked.where("nth = 1").select("source", "target", F.round("raw", 6).alias("raw"), F.round(F.when(F.col("next").isNull(), 1.0).otherwise((F.col("raw") - F.col("next")) / F.greatest(F.lit(1.0), F.col("raw"))), 6).alias("margin"))

@@ -62,6 +62,37 @@ def gate(docs: DataFrame, lexicon: list[tuple[str, str, float]], regulated: list
     return out.withColumn("category", F.when((F.col("per_1000") < least) & ~F.col("overridden"), "uncategorized").otherwise(F.col("category")))
 
 
+#: The routes of work whose source is in part, or not, at hand.
+SHALLOW = "process_shallow"
+
+
+def gate_routes(gated: DataFrame, registry: DataFrame, other: str = "uncategorized") -> DataFrame:
+    """(doc_id, category, overridden, tier, access, route, reason, sources) of gated texts.
+
+    registry: (category, tier, access, sources, route_available, route_blocked); access is `have`, `partial` or
+    `missing`. A category without an entry takes that of `other`.
+    """
+    has = registry.select("category").withColumn("known", F.lit(True))
+    asked = gated.join(has, "category", "left").withColumn("entry", F.when(F.col("known"), F.col("category")).otherwise(other))
+    df = asked.join(registry.withColumnRenamed("category", "entry"), "entry")
+    access = F.col("access")
+    route = F.when(access == "have", F.col("route_available")).when(access == "partial", SHALLOW).otherwise(F.col("route_blocked"))
+    reason = F.when(access == "have", "required source available").when(access == "partial", "partial access, light work now and the rest later").otherwise("required source not configured")
+    return df.select("doc_id", "category", "overridden", "tier", "access", route.alias("route"), reason.alias("reason"), "sources")
+
+
+def access_report(routed: DataFrame, block: str) -> DataFrame:
+    """(part, value, n): counts of routes, tiers and overrides, and for each blocked category and source how many texts wait for it."""
+    one = lambda part, value, rows=routed: rows.groupBy(F.lit(part).alias("part"), value.alias("value")).agg(F.count("*").alias("n"))
+    blocked = routed.where(F.col("route") == block)
+    wanted = blocked.select("category", F.explode("sources").alias("source")).select(F.concat_ws(":", "category", "source").alias("value"))
+    parts = [one("route", F.col("route")), one("tier", F.col("tier")), one("overridden", F.col("overridden").cast("string")), one("needs_access", F.col("value"), wanted)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def intensity(docs: DataFrame, patterns: dict[str, dict[int, list[str]]]) -> DataFrame:
     """(doc_id, property, level): from 1 to 3 by the number of matching patterns of each tier."""
     def level(tiers: dict[int, list[str]]) -> Column:

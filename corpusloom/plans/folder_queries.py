@@ -8,7 +8,7 @@ from corpusloom.operators import classify, diagnostics
 from corpusloom.operators import folders as o
 from corpusloom.operators import text as t
 from corpusloom.plans import classify_queries as cq
-from corpusloom.plans.text_queries import LEXICON, REGULATED
+from corpusloom.plans.text_queries import _gated
 from corpusloom.plans.text_queries import SQL as TEXT_SQL
 from corpusloom.sources import fixtures as x
 
@@ -58,8 +58,7 @@ def _nodes(s, d):
 
 
 def _gate(s, d):
-    docs = x.table(s, d, "documents")
-    return o.gate_report(t.gate(docs, LEXICON, REGULATED), docs)
+    return o.gate_report(_gated(s, d), x.table(s, d, "documents"))
 
 
 def _corpus(f):

@@ -76,11 +76,26 @@ def _flat_pages(df):
     return df.withColumns({"page": F.sha2(F.col("page").cast("binary"), 256), "cuts": flat("cuts"), "corrections": flat("corrections")})
 
 
+#: Texts with enough of a regulated category's terms that it comes near the top, or passes it; and a registry of access.
+GATED_TEXT = "coalesce(text, '') || case when doc_id % 5 = 1 then repeat(' sch', cast(n_chars div 45 as int)) else '' end"
+REGISTRY = [("en", "BUSINESS", "partial", ["web"], "process_deep", "process_shallow"), ("de", "REGULATED", "missing", ["registry", "case_law"], "process_deep", "block_pending"), ("fr", "ORIGINAL", "have", [], "process_deep", "review"), ("uncategorized", "UNKNOWN", "have", [], "review", "review")]
+
+
+def _gated(s, d):
+    return t.gate(x.table(s, d, "documents").withColumn("text", F.expr(GATED_TEXT)), LEXICON, REGULATED)
+
+
+def _routes(s, d):
+    return t.gate_routes(_gated(s, d), s.createDataFrame(REGISTRY, "category string, tier string, access string, sources array<string>, route_available string, route_blocked string"))
+
+
 QUERIES = {
     "txt07_term_counts": _docs(lambda d: t.term_counts(d, LEXICON)),
     "txt04_profile": _docs(lambda d: t.profile(d, LEXICON)),
     "txt06_primary": _docs(lambda d: t.primary(t.profile(d, LEXICON), ORDER)),
-    "txt08_gate": _docs(lambda d: t.gate(d, LEXICON, REGULATED)),
+    "txt08_gate": _gated,
+    "txt08_routes": lambda s, d: _routes(s, d).withColumn("sources", F.array_join("sources", ",")),
+    "agg05_access_report": lambda s, d: t.access_report(_routes(s, d), "block_pending"),
     "txt09_intensity": _docs(lambda d: t.intensity(d, PATTERNS)),
     "txt14_balance": _docs(lambda d: t.stage_balance(d, ["the", "and", "is"], ["not", "was", "to"])),
     "txt16_word_scores": lambda s, d: t.word_scores(x.table(s, d, "documents"), s.createDataFrame(LEXICON, "category string, term string, weight double")),
@@ -135,11 +150,16 @@ _sections = "sec as (select doc_id, cast(sum(cast(regexp_matches(line, '^(#{1,6}
 _simhash = "wd as (select doc_id, w, count(*) as n, md5(w) as h from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) as w from documents) group by doc_id, w), vb as (select doc_id, i, sum(case when (('0x' || h[17 + 8 * (i // 32):24 + 8 * (i // 32)])::ubigint >> (31 - i % 32)::ubigint) & 1 = 1 then n else -n end) as v from (select *, unnest(range(0, 64)) as i from wd) group by doc_id, i), sh as (select doc_id, string_agg(case when v > 0 then '1' else '0' end, '' order by i) as simhash from vb group by doc_id)"
 _talk_sql = f"{_chunk}, talk as (select conv_id as doc_id, string_agg(upper(speaker[1]) || speaker[2:] || ': ' || text, chr(10) order by turn) as text from ch group by conv_id)"
 _level = lambda tiers: "case when {3} >= 2 then 3 when {3} >= 1 or {2} >= 2 then 2 when {2} >= 1 or {1} >= 1 then 1 else 0 end".format(*["0"] + ["(" + " + ".join(f"cast(regexp_matches(text, '{p}') as int)" for p in tiers.get(k, [])) + ")" for k in (1, 2, 3)])
+_gated_docs = f"gated_docs as (select * replace ({GATED_TEXT.replace(' div ', ' // ')} as text) from documents)"
+_gate_sql = f"with {_gated_docs}, {_counts.replace('from documents', 'from gated_docs').replace('join documents', 'join gated_docs')}, d as (select doc_id, category, round(sc.n * 1000.0 / greatest(1, len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 3) as d from sc join gated_docs using (doc_id)), top as (select doc_id, max(d) as d0, arg_min(category, (-d, category)) as c0, max(d) filter (category in ('de', 'es')) as d1, arg_min(category, (-d, category)) filter (category in ('de', 'es')) as c1 from d group by doc_id), r as (select *, c0 not in ('de', 'es') and coalesce(d1 >= d0 * 0.6, false) as overridden from top) select doc_id, case when not overridden and d0 < 0.5 then 'uncategorized' when overridden then c1 else c0 end as category, case when overridden then d1 else d0 end as per_1000, overridden from r"
+_registry = "reg(category, tier, access, sources, go, stop_) as (values ('en', 'BUSINESS', 'partial', 'web', 'process_deep', 'process_shallow'), ('de', 'REGULATED', 'missing', 'registry,case_law', 'process_deep', 'block_pending'), ('fr', 'ORIGINAL', 'have', '', 'process_deep', 'review'), ('uncategorized', 'UNKNOWN', 'have', '', 'review', 'review'))"
 SQL = {
     "txt07_term_counts": f"with {_counts} select doc_id, category, term, weight, n from hits",
     "txt04_profile": f"with {_counts} select doc_id, category, score, round(100 * score / sum(score) over (partition by doc_id), 4) as percent from sc",
     "txt06_primary": f"with {_counts}, r as (select doc_id, category, score, row_number() over w as nth, lead(category) over w as second, lead(score) over w as nxt from sc window w as (partition by doc_id order by score desc, ord)) select doc_id, category as first, second, score - coalesce(nxt, 0) as margin from r where nth = 1",
-    "txt08_gate": f"with {_counts}, d as (select doc_id, category, round(sc.n * 1000.0 / greatest(1, len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 3) as d from sc join documents using (doc_id)), top as (select doc_id, max(d) as d0, arg_min(category, (-d, category)) as c0, max(d) filter (category in ('de', 'es')) as d1, arg_min(category, (-d, category)) filter (category in ('de', 'es')) as c1 from d group by doc_id), r as (select *, c0 not in ('de', 'es') and coalesce(d1 >= d0 * 0.6, false) as overridden from top) select doc_id, case when not overridden and d0 < 0.5 then 'uncategorized' when overridden then c1 else c0 end as category, case when overridden then d1 else d0 end as per_1000, overridden from r",
+    "txt08_gate": _gate_sql,
+    "txt08_routes": f"with g as ({_gate_sql}), {_registry} select doc_id, g.category, overridden, tier, access, case access when 'have' then go when 'partial' then 'process_shallow' else stop_ end as route, case access when 'have' then 'required source available' when 'partial' then 'partial access, light work now and the rest later' else 'required source not configured' end as reason, sources from g join reg on reg.category = case when g.category in ('en', 'de', 'fr') then g.category else 'uncategorized' end",
+    "agg05_access_report": f"with g as ({_gate_sql}), {_registry}, r as (select g.category, overridden, tier, sources, case access when 'have' then go when 'partial' then 'process_shallow' else stop_ end as route from g join reg on reg.category = case when g.category in ('en', 'de', 'fr') then g.category else 'uncategorized' end) select 'route' as part, route as value, count(*) as n from r group by 2 union all select 'tier', tier, count(*) from r group by 2 union all select 'overridden', cast(overridden as varchar), count(*) from r group by 2 union all select 'needs_access', category || ':' || src, count(*) from (select category, unnest(string_split(sources, ',')) as src from r where route = 'block_pending') group by 2",
     "txt09_intensity": "select * from (" + " union all ".join(f"select doc_id, '{k}' as property, cast({_level(v)} as int) as level from documents" for k, v in PATTERNS.items()) + ") where level > 0",
     "txt14_balance": "select doc_id, cast(g as int) as good, cast(b as int) as bad, case when g > b then 'positive' when g < b then 'negative' else 'even' end as balance from (select doc_id, len(list_intersect(w, ['the', 'and', 'is'])) as g, len(list_intersect(w, ['not', 'was', 'to'])) as b from (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}')) as w from documents))",
     "txt16_word_scores": f"with {_lex}, w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) select doc_id, category, count(*) as n, sum(weight) as score from w join lex using (term) group by doc_id, category",
