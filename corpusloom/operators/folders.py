@@ -140,13 +140,19 @@ def manifest_report(actions: DataFrame, resolutions: DataFrame) -> DataFrame:
     return one(actions, "behaviour", "behaviour").unionByName(one(resolutions, "state", "state"))
 
 
+def first_of(rows: DataFrame, by: list[str], order: list[Column], most: int, parts: int = 64) -> DataFrame:
+    """The first `most` rows of each group, with their place `nth`: first in parts, so that no group is ranked whole in one task."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    some = rows.withColumn("_part", part).withColumn("nth", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col("nth") <= most).drop("_part", "nth")
+    return some.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= most)
+
+
 def node_summaries(matches: DataFrame, nodes: list[str], total: DataFrame, most: int = 30) -> DataFrame:
     """(node, n, share, top): documents that match each node, their share of all, and the best ones; nodes without any are there too."""
     spark = matches.sparkSession
-    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "doc_id"))
-    ranked = matches.withColumn("nth", nth)
-    best = F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "doc_id"))))
-    sums = ranked.groupBy("node").agg(F.count("*").alias("n"), F.array_join(F.transform(best, lambda x: x["doc_id"].cast("string")), ",").alias("top"))
+    best = first_of(matches.select("node", "doc_id", "score"), ["node"], [F.desc("score"), F.asc("doc_id")], most)
+    best = best.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("top"))
+    sums = matches.groupBy("node").agg(F.count("*").alias("n")).join(best, "node")
     every = spark.createDataFrame([(n,) for n in nodes], "node string").join(sums, "node", "left").crossJoin(F.broadcast(total.agg(F.count("*").alias("total"))))
     n = F.coalesce("n", F.lit(0))
     return every.select("node", n.alias("n"), F.round(n / F.col("total"), 6).alias("share"), F.coalesce("top", F.lit("")).alias("top"))
@@ -254,10 +260,8 @@ def graph(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = matches.select("doc_id", "term").distinct()
     nodes = one.groupBy(F.col("term").alias("node")).agg(F.count("*").alias("n"))
     pairs = one.alias("x").join(one.alias("y"), F.expr("x.doc_id = y.doc_id and x.term < y.term")).select(F.col("x.term").alias("a"), F.col("y.term").alias("b"), F.col("x.doc_id").alias("doc_id"))
-    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id"))
-    ranked = pairs.withColumn("nth", nth)
-    evidence = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= 3, F.col("doc_id")))), lambda x: x.cast("string")), ",")
-    return nodes, ranked.groupBy("a", "b").agg(F.count("*").alias("n"), evidence.alias("evidence"))
+    some = first_of(pairs, ["a", "b"], [F.asc("doc_id")], 3).groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("evidence"))
+    return nodes, pairs.groupBy("a", "b").agg(F.count("*").alias("n")).join(some, ["a", "b"])
 
 
 def anti_edges(similar: DataFrame, edges: DataFrame) -> DataFrame:
