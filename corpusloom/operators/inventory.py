@@ -168,6 +168,14 @@ def folder_summary(files: DataFrame) -> DataFrame:
     return sums.join(exts, ["root", "dir"]).select("root", "dir", "n", "bytes", "n_ext", "top_ext", "oldest", "newest", F.round((F.col("n") - F.col("h")) / F.col("n"), 6).alias("duplicate_share"), tier.alias("strategy"))
 
 
+def folder_distributions(files: DataFrame, columns: list[str]) -> DataFrame:
+    """(root, dir, part, value, n, share): how often each value of the columns is in each folder, null as `none`."""
+    values = F.array(*(F.struct(F.lit(c).alias("part"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value")) for c in columns))
+    counts = files.select("root", "dir", F.explode(values).alias("x")).groupBy("root", "dir", "x.part", "x.value").agg(F.count("*").alias("n"))
+    total = files.groupBy("root", "dir").agg(F.count("*").alias("total"))
+    return counts.join(total, ["root", "dir"]).select("root", "dir", "part", "value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
 def folder_diagnosis(files: DataFrame, families: dict[str, list[str]], least: float = 0.6) -> DataFrame:
     """(root, dir, family, share): the family of content that makes up at least `least` of a folder, or mixed."""
     share = {k: F.count_if(F.col("ext").isin(v)) / F.count("*") for k, v in families.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog, text
@@ -80,3 +80,26 @@ def questions(items: DataFrame, most: int = 100) -> DataFrame:
     uncertain, apart = 1 - F.abs(2 * F.col("p") - 1), (F.size(F.array_distinct("answers")) - 1) / F.greatest(F.size("answers") - 1, F.lit(1))
     score = uncertain + apart + F.col("n") / F.col("largest") + F.col("risk") + (1 - share) - share
     return df.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(most)
+
+
+def catalog(files: DataFrame, texts: list[str], stop: list[str], most: int = 3, sample: int = 4096, quick: int = 65536) -> DataFrame:
+    """(doc_id, path, name, ext, size, md5, modified, tier, tags, status) of files (doc_id, path, name, ext, size, modified, bytes).
+
+    Texts, by extension, are `text`, others `blob`. The quick hash takes the size and the first and last `quick` bytes,
+    the last ones only of a file of more than twice as many. Tags are the most frequent words of three letters and more
+    of a text's first bytes, or of the name where there are none; `untagged` without any.
+    """
+    ext = F.lower("ext")
+    tier = F.when(ext.isin(texts), "text").otherwise("blob")
+    raw = F.coalesce("bytes", F.lit(b""))
+    n = F.length(raw)
+    tail = F.when(n > 2 * quick, F.substring(raw, n - quick + 1, F.lit(quick))).otherwise(F.lit(b""))
+    md5 = F.md5(F.concat(n.cast("string").cast("binary"), F.substring(raw, 1, quick), tail))
+    head = F.when(tier == "text", F.lower(F.decode(F.substring(raw, 1, sample), "ISO-8859-1"))).otherwise("")
+    word = "[a-z]{3,}"
+    source = F.when(head.rlike(word), head).otherwise(F.lower("name"))
+    words = files.select("doc_id", F.explode(F.regexp_extract_all(source, F.lit(word), 0)).alias("w")).where(~F.col("w").isin(stop)).groupBy("doc_id", "w").count()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), "w"))
+    tags = words.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "w"))), lambda x: x["w"]), ", ").alias("tags"))
+    df = files.select("doc_id", "path", "name", ext.alias("ext"), "size", md5.alias("md5"), "modified", tier.alias("tier")).join(tags, "doc_id", "left")
+    return df.withColumns({"tags": F.coalesce("tags", F.lit("untagged")), "status": F.lit("active")})

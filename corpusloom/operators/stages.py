@@ -97,6 +97,20 @@ def claims(kinds: DataFrame) -> DataFrame:
     return sums.select("doc_id", "n", *(F.round(100 * F.col(k) / total, 3).alias(k) for k in ("what", "how", "why")), "mixed")
 
 
+def stage_records(files: DataFrame, claims_: DataFrame, names: list[str]) -> DataFrame:
+    """(label, source_type, stages, one struct for each stage) of texts of files (path, text), and of raw claims (label, text)."""
+    both = files.select(F.col("path").alias("label"), F.lit("file").alias("source_type"), "text").unionByName(claims_.select("label", F.lit("claim").alias("source_type"), "text"))
+    return run(both.select(F.struct("label", "source_type").alias("doc_id"), "text"), names).select("doc_id.*", "stages", *names)
+
+
+def batch_report(records: DataFrame, verdicts: dict[str, str]) -> DataFrame:
+    """(source_type, stage, verdict, n, share) of stage records; verdicts names the field of each stage that is counted."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("stage"), F.col(f"{k}.{f}").cast("string").alias("verdict")) for k, f in verdicts.items())))
+    counts = records.select("source_type", each.alias("x")).groupBy("source_type", "x.stage", "x.verdict").agg(F.count("*").alias("n"))
+    total = records.groupBy("source_type").agg(F.count("*").alias("total"))
+    return counts.join(total, "source_type").select("source_type", "stage", "verdict", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
 # What a hit of each category is worth, and the diagnoses in order.
 SCALES = {"justice": 12, "mercy": 12, "cost_bearer": 14, "coercion": 16, "evidence": 12, "overclaim": 18, "positive": 12, "negative": 12}
 NEUTRAL = "neutral -- insufficient signal to diagnose"

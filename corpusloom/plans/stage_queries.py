@@ -53,6 +53,12 @@ def _rated_sentences(docs):
     return rated.select("doc_id.doc_id", "doc_id.nth", *rated.columns[1:])
 
 
+def _records(s, d):
+    files = x.planted(s, d).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    items = x.table(s, d, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"), F.concat("text", F.when(F.col("item_id").cast("string").rlike("[02468]$"), " It proves what is undeniable.").otherwise("")).alias("text"))
+    return g.stage_records(files, items, ["domains", "justice", "evidence"])
+
+
 QUERIES = {
     "txt11_variables": _planted(lambda v: g.run(v, ["variables"]).select("doc_id", "variables.*")),
     "txt11_domains": _planted(lambda v: g.run(v, ["domains"]).select("doc_id", "domains.*")),
@@ -65,6 +71,8 @@ QUERIES = {
     "agg15_claims": _planted(lambda v: g.claims(_rated_sentences(v))),
     "txt10_statement_kinds": _planted(catalog.statement_kinds),
     "txt17_sentence_claims": _planted(lambda v: briefs.sentence_claims(_rated_sentences(v))),
+    "txt34_stage_records": lambda s, d: _records(s, d).select("label", "source_type", "stages", F.col("domains.primary").alias("domain"), "justice.diagnosis", "evidence.risk"),
+    "txt34_batch_report": lambda s, d: g.batch_report(_records(s, d), {"domains": "primary", "justice": "diagnosis", "evidence": "risk"}),
     "txt16_profiles": lambda s, d: _profiled(s, d).withColumn("diagnosis", F.array_join("diagnosis", "|")),
     "txt16_compared": lambda s, d: g.compared(_profiled(s, d), ["late", "other", "plain"]),
 }
@@ -124,6 +132,8 @@ _profiles = (
     "case when justice > 30 and mercy > 30 and cost_bearer < 10 then 'contradiction -- both demanded, no payer' end, case when justice > 30 and mercy > 30 and cost_bearer > 25 then 'resolution path present' end, case when coercion > 40 then 'coercion pressure detected' end, case when cost_bearer > 40 and mercy < 10 then 'cost language without restoration target' end, case when overclaim > evidence + 15 then 'overclaim exceeds evidence' end, case when evidence > overclaim + 20 then 'evidence-grounded' end, "
     "case when negative > positive + 20 then 'negative signal dominant' end, case when positive > negative + 20 then 'positive signal dominant' end, case when justice < 10 and mercy < 10 then 'low moral signal overall' end) as found from f), q as (select * exclude (found), case when found = '' then 'neutral -- insufficient signal to diagnose' else found end as diagnosis from pr)"
 )
+_both = f"{x.PLANTED_SQL}, both_ as (select 'doc/' || doc_id as label, 'file' as source_type, text from planted union all select 'item ' || item_id, 'claim', text || case when regexp_matches(cast(item_id as varchar), '[02468]$') then ' It proves what is undeniable.' else '' end from benchmark)"
+_recs = f"{_both}, keyed as (select label || '#' || source_type as doc_id, text from both_), rec as (select b.label, b.source_type, 'domains,justice,evidence' as stages, d.primary as domain, diagnosis, risk from both_ b join ({_composition(g.DOMAINS, 'unknown').replace('from planted', 'from keyed')}) d on d.doc_id = b.label || '#' || b.source_type join ({_five.replace('from planted', 'from keyed')}) f on f.doc_id = d.doc_id join ({_evidence.replace('from planted', 'from keyed')}) e on e.doc_id = d.doc_id)"
 SQL = {
     "txt11_variables": f"with {x.PLANTED_SQL} " + _composition(g.VARIABLES, "UC"),
     "txt11_domains": f"with {x.PLANTED_SQL} " + _composition(g.DOMAINS, "unknown"),
@@ -135,6 +145,8 @@ SQL = {
     "agg15_claims": f"with {_claimed}, a as (select doc_id, count(*) as n, avg(what) as what, avg(how) as how, avg(why) as why, count(*) filter (greatest(what, how, why) < 60) as mixed from k group by rollup (doc_id)) select doc_id, n, round(100 * what / (what + how + why), 3) as what, round(100 * how / (what + how + why), 3) as how, round(100 * why / (what + how + why), 3) as why, mixed from a",
     "txt10_statement_kinds": f"with {x.PLANTED_SQL}, l as (select doc_id, lower(text) as low from planted), {_rated('l', 'doc_id', 33.3)} select * from k",
     "txt17_sentence_claims": f"with {_claimed} select doc_id, nth, k3.primary, mixed, margin as confidence, o as overreach, case o when 'high' then 'This claim may be crossing jurisdiction. A WHY claim with heavy WHAT language risks implying empirical proof of theological interpretation.' when 'medium' then 'Mixed jurisdiction detected. Consider splitting into separate WHAT/HOW/WHY subclaims.' else '' end as note from (select *, case when k.primary = 'what' and why > 25 then 'medium' when k.primary = 'why' and what > 30 then 'high' when k.primary = 'how' and why > 40 then 'medium' when k.primary = 'why' and how > 40 then 'low' else 'none' end as o from k) k3",
+    "txt34_stage_records": f"with {_recs} select * from rec",
+    "txt34_batch_report": f"with {_recs}, v as (select source_type, 'domains' as stage, domain as verdict from rec union all select source_type, 'justice', diagnosis from rec union all select source_type, 'evidence', risk from rec), t as (select source_type, count(*) as total from rec group by 1) select source_type, stage, verdict, count(*) as n, round(count(*) / max(total), 6) as share from v join t using (source_type) group by 1, 2, 3",
     "txt16_profiles": f"with {_profiles} select * from q",
     "txt16_compared": f"with {_profiles}, w as (select doc_id, max(coherence) filter (profile = 'late') as late_coherence, max(coherence) filter (profile = 'other') as other_coherence, max(coherence) filter (profile = 'plain') as plain_coherence from q group by doc_id) select *, case when late_coherence >= other_coherence and late_coherence >= plain_coherence then 'late' when other_coherence >= plain_coherence then 'other' else 'plain' end as best, greatest(late_coherence, other_coherence, plain_coherence) - least(late_coherence, other_coherence, plain_coherence) as spread from w",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import inventory, records
 from corpusloom.plans import folder_queries as fq
 from corpusloom.plans.prediction_queries import decisions
 from corpusloom.sources import fixtures as x
@@ -80,6 +81,13 @@ def _inventoried(s, d):
     return got.where("kind = 'file'").select(inside.alias("folder"), F.explode(F.split(F.rtrim(F.regexp_replace(F.col("content").cast("string"), r"\n$", "")), "\n")).alias("line")).groupBy("folder").agg(F.count("*").alias("n"), F.sum(F.col("line").cast("bigint")).alias("total"))
 
 
+def _catalog(s, d):
+    """Files with bytes: their content, some cut off and some long, and a moment of change."""
+    f = x.files(s, d).withColumn("bytes", F.expr("cast(case when doc_id % 7 = 0 then '' when doc_id % 50 = 1 then repeat(content, 40) else content end as binary)"))
+    f = f.withColumns({"size": F.length("bytes").cast("bigint"), "modified": F.expr("date_add(date'2024-01-01', cast(day as int))")})
+    return records.catalog(f, [".md", ".txt", ".html", ".py"], ["the", "and", "der"], quick=4096)
+
+
 QUERIES = {
     "str08_ingest": _ingested,
     "str04_path_states": _path_states,
@@ -88,6 +96,8 @@ QUERIES = {
     "snk02_upserted": _upserted,
     "snk04_ledger": _ledger,
     "src01_inventory": _inventoried,
+    "flt30_catalog_records": _catalog,
+    "agg07_folder_distributions": lambda s, d: inventory.folder_distributions(x.files(s, d), ["ext", "encoding"]),
 }
 _f = f"with {x.FILES_SQL}"
 _events_sql = "events_ as (select " + ", ".join(f"{e} as {c}" for c, e in EVENT.items()) + " from files)"
@@ -106,4 +116,10 @@ SQL = {
     "snk02_upserted": f"{_f} select path, doc_id, size from files qualify row_number() over (partition by path order by doc_id % 3 = 0 desc, doc_id desc, size desc) = 1",
     "snk04_ledger": f"with {x.FILE_EVENTS_SQL} select kind, count(*) as n, count(distinct path) as paths from file_events group by kind",
     "src01_inventory": f"{_f} select 'root=' || root || '/depth=' || length(list_last(string_split(dir, '/'))) as folder, count(*) as n, cast(sum(doc_id) as bigint) as total from files group by 1",
+    "flt30_catalog_records": f"{_f}, b as (select *, encode(case when doc_id % 7 = 0 then '' when doc_id % 50 = 1 then repeat(content, 40) else coalesce(content, '') end) as raw from files), h as (select *, lower(ext) as e, case when lower(ext) in ('.md', '.txt', '.html', '.py') then 'text' else 'blob' end as tier, hex(raw) as hx from b), "
+    "t as (select *, case when tier = 'text' then lower(case when octet_length(raw) = 0 then '' else coalesce(content, '') end) else '' end as head0 from h), w as (select doc_id, unnest(regexp_extract_all(case when tier = 'text' and regexp_matches(asc_, '[a-z]{3,}') then asc_ else lower(name) end, '[a-z]{3,}')) as w from (select *, "
+    "array_to_string(list_transform(regexp_extract_all(hx[1:8192], '..'), lambda p: case when p >= '61' and p <= '7A' then chr(cast(('0x' || p) as int)) when p >= '41' and p <= '5A' then chr(cast(('0x' || p) as int) + 32) else ' ' end), '') as asc_ from t)), "
+    "n as (select doc_id, w, row_number() over (partition by doc_id order by count(*) desc, w) as nth from w where w not in ('the', 'and', 'der') group by doc_id, w), g as (select doc_id, string_agg(w, ', ' order by nth) as tags from n where nth <= 3 group by doc_id) "
+    "select doc_id, path, name, e as ext, octet_length(raw) as size, md5(encode(cast(octet_length(raw) as varchar)) || unhex(hx[1:8192]) || case when octet_length(raw) > 8192 then unhex(hx[length(hx) - 8191:]) else ''::blob end) as md5, cast(date '2024-01-01' + cast(day as int) as date) as modified, tier, coalesce(tags, 'untagged') as tags, 'active' as status from t left join g using (doc_id)",
+    "agg07_folder_distributions": f"{_f}, v as (select root, dir, unnest([{{'part': 'ext', 'value': coalesce(ext, 'none')}}, {{'part': 'encoding', 'value': coalesce(encoding, 'none')}}]) as x from files), t as (select root, dir, count(*) as total from files group by 1, 2) select root, dir, x.part as part, x.value as value, count(*) as n, round(count(*) / max(total), 6) as share from v join t using (root, dir) group by 1, 2, 3, 4",
 }
