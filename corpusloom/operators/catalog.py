@@ -101,6 +101,14 @@ def sparse_sentences(sentences: DataFrame, every: int = 20) -> DataFrame:
     return df.select("doc_id", F.size("a").alias("n"), F.get("a", F.lit(0))["s"].alias("first"), F.element_at("a", -1)["s"].alias("last"), F.array_join(F.transform(picked, lambda x: F.substring(x["s"], 1, 80)), "|").alias("picked"))
 
 
+def headings(docs: DataFrame, most: int = 100, width: int = 120) -> DataFrame:
+    """(doc_id, n, headings): the first headings of a text, of up to three marks or of markup; only texts that have some."""
+    s = F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c")))
+    marked = F.filter(s, lambda x: x.rlike(r"^#{1,3}\s+\S") | x.rlike(r"(?i)^<h[1-3][^>]*>.*</h[1-3]>"))
+    plain = F.transform(marked, lambda x: F.substring(F.trim(F.when(x.startswith("#"), F.regexp_replace(x, r"^#{1,3}\s+", "")).otherwise(F.regexp_replace(x, "<[^>]+>", ""))), 1, width))
+    return docs.select("doc_id", F.slice(plain, 1, most).alias("headings")).where(F.size("headings") > 0).select("doc_id", F.size("headings").alias("n"), "headings")
+
+
 def pair_assets(files: DataFrame, sidecars: list[str]) -> DataFrame:
     """(dir, stem, primaries, sidecars): files of one stem, with at least one of each kind."""
     side = F.col("ext").isin(sidecars)

@@ -41,11 +41,12 @@ def lifecycle(files: DataFrame, as_of: int, old: int = 180) -> DataFrame:
     return files.select("doc_id", state.alias("state"))
 
 
-def blocked(files: DataFrame, protected: list[str], roots: DataFrame) -> DataFrame:
-    """(doc_id, reason): why a file must not be touched; roots are folders (root, dir) of programs."""
+def blocked(files: DataFrame, protected: list[str], roots: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """(doc_id, reason): why a file must not be touched; roots are folders (root, dir) of programs, profiles those of roots (root, protected)."""
     marked = roots.select("root", "dir").distinct().withColumn("is_root", F.lit(True))
-    reason = F.when(F.arrays_overlap(F.split("dir", "/"), F.array(*map(F.lit, protected))), "protected_directory").when(F.lower("name").rlike(SECRET_NAME), "secret_or_credential_name").when(F.col("is_root"), "program_root")
-    return files.join(marked, ["root", "dir"], "left").select("doc_id", reason.alias("reason")).where("reason is not null")
+    guarded = (profiles if profiles is not None else files.select("root", F.lit(False).alias("protected")).limit(0)).groupBy("root").agg(F.bool_or("protected").alias("guarded"))
+    reason = F.when(F.col("guarded"), "protected_folder_profile").when(F.arrays_overlap(F.split("dir", "/"), F.array(*map(F.lit, protected))), "protected_directory").when(F.lower("name").rlike(SECRET_NAME), "secret_or_credential_name").when(F.col("is_root"), "program_root")
+    return files.join(marked, ["root", "dir"], "left").join(guarded, "root", "left").select("doc_id", reason.alias("reason")).where("reason is not null")
 
 
 def review_gate(suggestions: DataFrame, inventory: DataFrame, threshold: float = SURE, risky: list[str] | None = None) -> DataFrame:

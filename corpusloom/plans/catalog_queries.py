@@ -31,6 +31,8 @@ def _discovered(s, d):
     return k.discovered(now, x.files_before(now).withColumn("size", F.expr("case when doc_id % 4 = 0 then size + 1 else size end")))
 
 
+#: Texts of which some have headings.
+HEADED = "case doc_id % 6 when 0 then '# One  ' || chr(10) || text || chr(13) || chr(10) || '### Three ' || lang when 1 then '#### Four' || chr(10) || text when 2 then chr(9) || '<H2 id=\"x\">Two <b>' || source || '</b></H2>' || chr(10) || text when 3 then '##none' || chr(10) || '## ' || repeat('long ', 40) else text end"
 QUERIES = {
     "flt20_read_tier": _files(k.read_tier),
     "flt18_ranked": _files(lambda f: k.ranked(f, PATTERNS, WEIGHTS)),
@@ -40,6 +42,7 @@ QUERIES = {
     "join11_asset_pairs": _files(lambda f: k.pair_assets(f, SIDE)),
     "join19_node_matches": _docs(lambda v: k.node_matches(v, NODES)),
     "win09_sparse_sentences": _docs(lambda v: k.sparse_sentences(t.sentences(v))),
+    "win09_headings": lambda s, d: k.headings(x.table(s, d, "documents").withColumn("text", F.expr(HEADED))).withColumn("headings", F.array_join("headings", "|")),
     "win18_next_items": _docs(lambda v: k.next_items(v.selectExpr("source", "doc_id", "n_chars % 7 as priority"), "source")),
 }
 _f = f"with {x.FILES_SQL}"
@@ -54,5 +57,6 @@ SQL = {
     "join11_asset_pairs": f"{_f} select * from (select dir, stem, coalesce(string_agg(distinct name, ',' order by name) filter (ext not in {_in(SIDE)}), '') as primaries, coalesce(string_agg(distinct name, ',' order by name) filter (ext in {_in(SIDE)}), '') as sidecars from files group by dir, stem) where primaries <> '' and sidecars <> ''",
     "join19_node_matches": "with s as (" + " union all ".join(f"select '{n}' as node, doc_id, cast({_occ(ws)} as bigint) as score from documents" for n, ws in NODES) + "), r as (select *, cast(row_number() over (partition by node order by score desc, doc_id) as int) as nth from s where score > 0) select * from r where nth <= 30",
     "win09_sparse_sentences": f"with s as ({TEXT_SQL['txt01_sentences']}) select doc_id, cast(count(*) as int) as n, arg_min(sentence[1:100], nth) as first, arg_max(sentence[1:100], nth) as last, coalesce(string_agg(sentence[1:80], '|' order by nth) filter (nth % 20 = 19), '') as picked from s group by doc_id",
+    "win09_headings": f"with t as (select doc_id, regexp_replace({HEADED}, '\\r\\n?', chr(10), 'g') as text from documents), l as (select doc_id, i, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12)) as s from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from t))), h as (select doc_id, row_number() over (partition by doc_id order by i) as nth, trim(case when starts_with(s, '#') then regexp_replace(s, '^#{{1,3}}\\s+', '') else regexp_replace(s, '<[^>]+>', '', 'g') end, ' ')[1:120] as s from l where regexp_matches(s, '^#{{1,3}}\\s+\\S') or regexp_matches(s, '(?i)^<h[1-3][^>]*>.*</h[1-3]>')) select doc_id, cast(count(*) as int) as n, string_agg(s, '|' order by nth) as headings from h where nth <= 100 group by doc_id",
     "win18_next_items": "select source, arg_min(doc_id, (n_chars % 7, doc_id)) as doc_id from documents group by source",
 }

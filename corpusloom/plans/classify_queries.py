@@ -48,7 +48,7 @@ def _pairs(s, d):
 QUERIES = {
     "flt16_content_type": _files(k.content_type),
     "flt17_lifecycle": _files(lambda f: k.lifecycle(f, x.AS_OF)),
-    "flt14_blocked": _files(lambda f: k.blocked(f, [".git", "tmp"], _roots(f))),
+    "flt14_blocked": _files(lambda f: k.blocked(f, [".git", "tmp"], _roots(f), f.sparkSession.createDataFrame([("src2", True), ("src3", False)], "root string, protected boolean"))),
     "flt15_review_gate": _files(lambda f: k.review_gate(_suggestions(f), f)),
     "flt26_tags": lambda s, d: k.tags(x.table(s, d, "documents"), GROUPS),
     "flt27_slug": _files(k.slug),
@@ -70,7 +70,7 @@ _jac = lambda e, w: f"select a.dir as source, b.dir as target, {w} * count(*) /
 SQL = {
     "flt16_content_type": f"{_f} select doc_id, case when ext in {_in(k.TYPES['document'])} and regexp_matches(lower(content), '{k.PAPER}') then 'paper' " + " ".join(f"when ext in {_in(v)} then '{n}'" for n, v in k.TYPES.items()) + " when content <> '' then 'note' else 'binary' end as content_type from files",
     "flt17_lifecycle": f"{_f} select doc_id, case " + " ".join(f"when regexp_matches(lower(name), '{v}') then '{n}'" for n, v in k.STATES.items()) + f" when {x.AS_OF} - day > 180 then 'archive' else 'active' end as state from files",
-    "flt14_blocked": f"{_f} select * from (select doc_id, case when list_has_any(string_split(dir, '/'), ['.git', 'tmp']) then 'protected_directory' when regexp_matches(lower(name), '{k.SECRET_NAME}') then 'secret_or_credential_name' when (root, dir) in (select (root, dir) from files where stem in ('package', 'requirements')) then 'program_root' end as reason from files) where reason is not null",
+    "flt14_blocked": f"{_f} select * from (select doc_id, case when root = 'src2' then 'protected_folder_profile' when list_has_any(string_split(dir, '/'), ['.git', 'tmp']) then 'protected_directory' when regexp_matches(lower(name), '{k.SECRET_NAME}') then 'secret_or_credential_name' when (root, dir) in (select (root, dir) from files where stem in ('package', 'requirements')) then 'program_root' end as reason from files) where reason is not null",
     "flt15_review_gate": f"{_f}, s as (select doc_id, ext, case when doc_id % 3 = 0 then path else dir || '/renamed' end as target, (doc_id % 100) / 100.0 as confidence from files), r as (select doc_id, case when doc_id % 41 = 0 then 'protected_folder' when doc_id % 29 = 0 then 'folder_review_only' when lower(ext) in ('.exe', '.dll', '.sh', '.bat', '.cmd', '.ps1') then 'risky_file_type' when target in (select path from files) then 'target_exists' when confidence < case when doc_id % 3 = 1 then 0.5 else 0.98 end then 'low_confidence' else 'auto_approved_threshold' end as reason from s) select doc_id, reason <> 'auto_approved_threshold' as review, reason from r",
     "flt26_tags": "select doc_id, array_to_string(list_filter([" + ", ".join("case when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then '{c}' end" for ws, c in GROUPS) + "], lambda c: c is not null)[1:3], ',') as tags from documents",
     "flt27_slug": f"{_f}, w as (select doc_id, list_filter(string_split_regex(trim(regexp_replace(stem, '{k.JUNK_WORDS}', '', 'g')), '[_\\-\\s]+'), lambda w: length(w) > 2)[1:4] as w from files) select doc_id, case when len(w) = 0 then 'untitled' else lower(array_to_string(w, '-')) end as slug from w",

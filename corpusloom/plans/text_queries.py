@@ -60,6 +60,13 @@ def _names(spark, sf_dir):
     return similarity.nearest_names(files.where("doc_id % 100 = 0").select("name").distinct(), files.select("name").distinct())
 
 
+def _enriched(spark, sf_dir):
+    """Names with a domain and tags, of which some have none of their own."""
+    files = x.files(spark, sf_dir)
+    items = files.groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("name", F.expr("case when doc_id % 4 = 0 then 'GN' else 'd' || (doc_id % 3) end").alias("domain"), F.expr("array('t' || (doc_id % 5), 'u' || (doc_id % 2))").alias("tags"))
+    return similarity.enriched(_names(spark, sf_dir), items)
+
+
 #: Lines that some texts get, so that every verdict occurs; and the front matter of some.
 TALK_LINES = ["Absolutely!", "\tHello there ", "Wait, that's not it. Actually I was wrong.", " \t ", "Hence the proof", "You're welcome", "ok", "Good morning!\x0b"]
 _talk_line = "case doc_id % 9 " + " ".join(f"when {i} then '" + t.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\x0b", "' || chr(11) || '") + "'" for i, t in enumerate(TALK_LINES)) + " else '' end"
@@ -110,6 +117,7 @@ QUERIES = {
     "agg29_set_similarity": lambda s, d: similarity.set_similarity(c.word_sets(_chunks(s, d), "conv_id", "turn"), "words", "before").select("conv_id", "turn", F.round("jaccard", 6).alias("jaccard")),
     "udf09_near_fingerprints": _docs(lambda d: similarity.near_fingerprints(t.simhash(d))),
     "join17_nearest_names": _names,
+    "join17_enriched": lambda s, d: _enriched(s, d).withColumn("tags", F.array_join("tags", ",")),
     "join18_nearest_vectors": _vectors,
     "win01_adjacent_similarity": _similar,
     "win02_topics": _topics,
@@ -191,3 +199,8 @@ SQL = {
     "srt02_search_all": "select * from (select doc_id, cast((length(text) - length(replace(lower(text), 'the', ''))) // 3 + (length(text) - length(replace(lower(text), 'tion', ''))) // 4 as bigint) as score from documents) where score > 0",
     "set06_combined": "with u as (select *, sum(length(text)) over (partition by source order by doc_id) - length(text) as used from documents) select source as folder, cast(used // 100000 as bigint) as part, string_agg(text, chr(10) || '---' || chr(10) order by doc_id) as body from u group by 1, 2",
 }
+SQL["join17_enriched"] = (
+    f"with nr as ({SQL['join17_nearest_names']}), it as (select name, case when doc_id % 4 = 0 then 'GN' else 'd' || (doc_id % 3) end as domain, ['t' || (doc_id % 5), 'u' || (doc_id % 2)] as tags from (with {x.FILES_SQL} select name, min(doc_id) as doc_id from files group by name)), nb as (select * from nr join it using (name) where similarity >= 0.05), "
+    "dm as (select query, domain from (select query, domain, row_number() over (partition by query order by round(sum(similarity), 9) desc, domain) as nth from nb where domain <> 'GN' group by query, domain) where nth = 1), tg as (select query, string_agg(tag, ',' order by nth) as tags from (select query, tag, row_number() over (partition by query order by round(sum(similarity), 9) desc, tag) as nth from (select query, similarity, unnest(tags) as tag from nb) group by query, tag) where nth <= 3 group by query) "
+    "select query, max(similarity) as best, coalesce(max(domain), 'GN') as domain, coalesce(max(tags), '') as tags, case when max(similarity) >= 0.6 then 'enriched' when max(similarity) >= 0.3 then 'compare' else 'uncertain' end as outcome from nr left join dm using (query) left join tg using (query) group by query"
+)
