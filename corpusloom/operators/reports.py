@@ -104,3 +104,15 @@ def tree(folders: DataFrame) -> DataFrame:
 def gaps(scores: DataFrame, least: int) -> DataFrame:
     """(category, n): categories with fewer than `least` documents."""
     return scores.groupBy("category").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") < least)
+
+
+def coverage_gaps(scores: DataFrame, evidence: DataFrame, least: int, sure: float, over: int = 20) -> DataFrame:
+    """(kind, unit, n) of what a corpus lacks: `low_confidence` documents of each category, `thin_category` with fewer than `least` documents, and `claims_without_evidence`, documents that claim more than they show.
+
+    scores: (doc_id, category, confidence); evidence: (doc_id, evidence, overclaim) from 0 to 100, as the stage of that
+    name rates texts. Documents without a category are in none.
+    """
+    low = scores.where((F.col("confidence") < sure) & F.col("category").isNotNull()).groupBy("category").agg(F.countDistinct("doc_id").alias("n")).select(F.lit("low_confidence").alias("kind"), F.col("category").alias("unit"), "n")
+    thin = gaps(scores.where("category is not null"), least).select(F.lit("thin_category").alias("kind"), F.col("category").alias("unit"), "n")
+    bold = evidence.where(F.col("overclaim") > F.col("evidence") + over).select(F.lit("claims_without_evidence").alias("kind"), F.col("doc_id").cast("string").alias("unit"), (F.col("overclaim") - F.col("evidence")).cast("bigint").alias("n"))
+    return low.unionByName(thin).unionByName(bold)

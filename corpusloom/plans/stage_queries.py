@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import briefs, catalog
+from corpusloom.operators import briefs, catalog, reports
 from corpusloom.operators import metrics as m
 from corpusloom.operators import stages as g
 from corpusloom.operators import text as t
@@ -71,6 +71,7 @@ QUERIES = {
     "agg15_claims": _planted(lambda v: g.claims(_rated_sentences(v))),
     "txt10_statement_kinds": _planted(catalog.statement_kinds),
     "txt17_sentence_claims": _planted(lambda v: briefs.sentence_claims(_rated_sentences(v))),
+    "agg36_coverage_gaps": lambda s, d: reports.coverage_gaps(x.table(s, d, "documents").selectExpr("doc_id", "concat(source, lang) as category", "(doc_id % 100) / 100.0D as confidence"), g.run(x.planted(s, d), ["evidence"]).select("doc_id", "evidence.*"), 8, 0.2),
     "txt34_stage_records": lambda s, d: _records(s, d).select("label", "source_type", "stages", F.col("domains.primary").alias("domain"), "justice.diagnosis", "evidence.risk"),
     "txt34_batch_report": lambda s, d: g.batch_report(_records(s, d), {"domains": "primary", "justice": "diagnosis", "evidence": "risk"}),
     "txt16_profiles": lambda s, d: _profiled(s, d).withColumn("diagnosis", F.array_join("diagnosis", "|")),
@@ -145,6 +146,7 @@ SQL = {
     "agg15_claims": f"with {_claimed}, a as (select doc_id, count(*) as n, avg(what) as what, avg(how) as how, avg(why) as why, count(*) filter (greatest(what, how, why) < 60) as mixed from k group by rollup (doc_id)) select doc_id, n, round(100 * what / (what + how + why), 3) as what, round(100 * how / (what + how + why), 3) as how, round(100 * why / (what + how + why), 3) as why, mixed from a",
     "txt10_statement_kinds": f"with {x.PLANTED_SQL}, l as (select doc_id, lower(text) as low from planted), {_rated('l', 'doc_id', 33.3)} select * from k",
     "txt17_sentence_claims": f"with {_claimed} select doc_id, nth, k3.primary, mixed, margin as confidence, o as overreach, case o when 'high' then 'This claim may be crossing jurisdiction. A WHY claim with heavy WHAT language risks implying empirical proof of theological interpretation.' when 'medium' then 'Mixed jurisdiction detected. Consider splitting into separate WHAT/HOW/WHY subclaims.' else '' end as note from (select *, case when k.primary = 'what' and why > 25 then 'medium' when k.primary = 'why' and what > 30 then 'high' when k.primary = 'how' and why > 40 then 'medium' when k.primary = 'why' and how > 40 then 'low' else 'none' end as o from k) k3",
+    "agg36_coverage_gaps": f"with {x.PLANTED_SQL}, ev as ({_evidence}), sc as (select doc_id, source || lang as category, (doc_id % 100) / 100.0 as confidence from documents) select 'low_confidence' as kind, category as unit, count(distinct doc_id) as n from sc where confidence < 0.2 and category is not null group by 2 union all select 'thin_category', category, count(distinct doc_id) from sc where category is not null group by 2 having count(distinct doc_id) < 8 union all select 'claims_without_evidence', cast(doc_id as varchar), overclaim - evidence from ev where overclaim > evidence + 20",
     "txt34_stage_records": f"with {_recs} select * from rec",
     "txt34_batch_report": f"with {_recs}, v as (select source_type, 'domains' as stage, domain as verdict from rec union all select source_type, 'justice', diagnosis from rec union all select source_type, 'evidence', risk from rec), t as (select source_type, count(*) as total from rec group by 1) select source_type, stage, verdict, count(*) as n, round(count(*) / max(total), 6) as share from v join t using (source_type) group by 1, 2, 3",
     "txt16_profiles": f"with {_profiles} select * from q",
