@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import catalog, text
+from corpusloom.operators import text
+from corpusloom.operators.catalog import pair_assets
 from corpusloom.operators.diagnostics import LINK
 
 #: A name's last extension; names that begin with their only dot have none.
@@ -16,7 +17,7 @@ _parent = lambda path: F.regexp_replace(path, r"/?[^/]*$", "")
 
 def with_sidecars(files: DataFrame, sidecars: list[str]) -> DataFrame:
     """The primary files with `sidecar_links`: the names of their sidecars in the same folder, null without any."""
-    pairs = catalog.pair_assets(files, sidecars).select("dir", "stem", F.col("sidecars").alias("sidecar_links"))
+    pairs = pair_assets(files, sidecars).select("dir", "stem", F.col("sidecars").alias("sidecar_links"))
     return files.where(~F.col("ext").isin(sidecars)).join(pairs, ["dir", "stem"], "left")
 
 
