@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import text
-from corpusloom.operators.catalog import pair_assets
+from corpusloom.operators.catalog import pair_assets, sparse_sentences
 from corpusloom.operators.diagnostics import LINK
 
 #: A name's last extension; names that begin with their only dot have none.
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     own = docs.select("doc_id", sha(F.col("text")).alias("sha256"), F.when(plain != "", sha(plain)).alias("plain_sha256"), F.octet_length("text").cast("bigint").alias("size"))
     tree = text.section_hashes(docs).groupBy("doc_id").agg(F.max(F.when(F.col("level") == 0, F.col("hash"))).alias("root"), F.count_if(F.col("level") == 1).alias("n_sections"))
-    anchors = catalog.sparse_sentences(text.sentences(docs)).select("doc_id", "first", "last")
+    anchors = sparse_sentences(text.sentences(docs)).select("doc_id", "first", "last")
     return own.join(tree, "doc_id", "left").join(anchors, "doc_id", "left")
 
 
