@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from corpusloom.operators import metrics, semantic
@@ -45,3 +46,15 @@ def test_signals_are_counted_without_overlaps_of_their_own(spark):
     signals = spark.createDataFrame([("aa", "G", 1.0), ("axiom", "G", 1.0), ("axiomatic", "K", 1.0), ("axiom", "K", 0.5), ("", "K", 1.0)], "signal string, var string, weight double")
     assert sorted(map(tuple, semantic.counted(docs, signals).collect())) == [(1, "aa", 2), (1, "axiom", 2), (1, "axiomatic", 1)]
     assert semantic.counted(docs, signals.limit(0)).count() == 0
+
+
+def halfway(spark):
+    """A blank file whose E is 3 and whose K is 1.275, a little less in binary; and its addresses."""
+    files = spark.createDataFrame([(1, "p/n.x", "n", ".x", "")], "doc_id long, path string, stem string, ext string, text string")
+    signals, priors = spark.createDataFrame([("zz", "G", 1.0)], "signal string, var string, weight double"), spark.createDataFrame([(".x", "K", 1.275)], "ext string, var string, weight double")
+    return files, semantic.addresses(files, signals, priors)
+
+
+def test_scores_are_rounded_as_sql_does(spark):
+    ((want,),) = duckdb.sql("select round(1.275::double, 2)").fetchall()
+    assert halfway(spark)[1].first().vector[semantic.VARS.index("K")] == want == 1.27
