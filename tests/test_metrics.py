@@ -58,3 +58,10 @@ def halfway(spark):
 def test_scores_are_rounded_as_sql_does(spark):
     ((want,),) = duckdb.sql("select round(1.275::double, 2)").fetchall()
     assert halfway(spark)[1].first().vector[semantic.VARS.index("K")] == want == 1.27
+
+
+def test_records_have_scores_as_sql_rounds_them(spark):
+    files, found = halfway(spark)
+    rules = spark.createDataFrame([("domain", 1, "HIGH", 1.28), ("domain", 2, "LOW", None)], "axis string, priority int, output string, min_K double")
+    (row,) = semantic.records(files, found, rules).collect()
+    assert row.by_variable["K"] == 1.27 and row.meta == {"domain": "LOW"}
