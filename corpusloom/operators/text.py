@@ -145,11 +145,14 @@ def snippets(docs: DataFrame, keyword: str, width: int = 80, most: int = 3) -> D
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """(doc_id, simhash): 64 bits as text, the highest first; each word of 3 or more letters votes with its md5."""
-    words = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9_]{3,}', 0)")).alias("w")).groupBy("doc_id", "w").count()
+    """(doc_id, simhash): 64 bits as text, the highest first; each word of 3 or more letters votes with its md5.
+
+    Words vote where they are read: a document's votes are summed before anything travels, one row a document.
+    """
+    words = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9_]{3,}', 0)")).alias("w"))
     half = lambda at: F.conv(F.substring(F.md5(F.col("w").cast("binary")), at, 8), 16, 10).cast("bigint")
-    votes = words.select("doc_id", "count", half(17).alias("hi"), half(25).alias("lo"))
-    vote = lambda i: F.when(F.shiftright("hi" if i < 32 else "lo", 31 - i % 32).bitwiseAND(1) == 1, F.col("count")).otherwise(-F.col("count"))
+    votes = words.select("doc_id", half(17).alias("hi"), half(25).alias("lo"))
+    vote = lambda i: F.when(F.shiftright("hi" if i < 32 else "lo", 31 - i % 32).bitwiseAND(1) == 1, 1).otherwise(-1)
     sums = votes.groupBy("doc_id").agg(*(F.sum(vote(i)).alias(f"v{i}") for i in range(64)))
     return sums.select("doc_id", F.concat(*(F.when(F.col(f"v{i}") > 0, "1").otherwise("0") for i in range(64))).alias("simhash"))
 

@@ -1,10 +1,12 @@
 """Fixed lists against literals, and operators that SQL can't express against plain versions."""
 
 import difflib
+import hashlib
+import re
 
 import numpy as np
 
-from corpusloom.operators import classify, conversations, diagnostics, folders
+from corpusloom.operators import classify, conversations, diagnostics, folders, text
 
 
 def test_fixed_lists():
@@ -48,3 +50,16 @@ def test_merged_topics(spark):
                     target[j] = i
         want |= {(c, t, target[t]) for t in range(8)}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_simhash_sums_votes_before_they_travel(spark):
+    docs = [(1, "the cat and the hat, THE end"), (2, "a b"), (3, None), (4, "cat cat dog"), (4, "dog owl")]
+    got = text.simhash(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {}
+    for i in (1, 4):
+        words = re.findall("[a-z0-9_]{3,}", " ".join(x for d, x in docs if d == i).lower())
+        bits = [int(hashlib.md5(w.encode()).hexdigest()[16:], 16) for w in words]
+        want[i] = "".join("1" if sum(1 if b >> (63 - k) & 1 else -1 for b in bits) > 0 else "0" for k in range(64))
+    assert {r.doc_id: r.simhash for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1  # one row a document, no words
