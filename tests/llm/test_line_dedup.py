@@ -166,3 +166,11 @@ def test_frequent_long_words_bring_no_lines_together(spark):
     rows = [(i, " ".join([f"frequentlongword{j}" for j in r.sample(range(10), 6)] + [f"{i:x}.{j}" for j in range(20)])) for i in range(600)]
     lines = line_dedup.profile(spark.createDataFrame(rows, "id long, t string"), 80)
     assert line_dedup.entries(lines).count() < 60
+
+
+def test_words_of_all_documents_are_counted_for_the_order(spark):
+    key, n = 12345, 32
+    docs = spark.createDataFrame([(i, f"only{i} " * 200) for i in range(n)], "id long, t string")
+    places = spark.createDataFrame([(f"only{i}",) for i in range(n)], "x string").select(line_dedup.bucket(key, "x").alias("b")).collect()
+    found = line_dedup.levels(docs, key)
+    assert len(found) == 1 << line_dedup.ORDER_BITS and all(found[r.b] >= 4 for r in places) and sum(map(bool, found)) == len({r.b for r in places})
