@@ -10,6 +10,7 @@ from test_scans import brute_counts, brute_scan
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from corpusloom.llm import line_dedup
 from corpusloom.llm.queries import tokenizer
 
 
@@ -88,3 +89,12 @@ def test_line_stage_drops_short_repeats(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two three\n重複した行です"), (2, "重複した行です\none two three\nfour")], "doc_id long, text string")
     got = {x.doc_id: x.text for x in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()}
     assert got == {1: "one two three\n重複した行です", 2: "four"}
+
+
+def test_line_stage_counts_the_words_of_all_documents(spark, monkeypatch):
+    seen, levels = [], line_dedup.levels
+    monkeypatch.setattr(line_dedup, "levels", lambda docs, key: seen.append((key, levels(docs, key))) or seen[-1][1])
+    corpus_pipeline.lines(spark, spark.createDataFrame([(i, f"only{i} other{i}") for i in range(24)], "doc_id long, text string"), "")
+    ((key, found),) = seen
+    words = spark.createDataFrame([(f"{w}{i}",) for i in range(24) for w in ("only", "other")], "x string")
+    assert all(found[r.b] for r in words.select(line_dedup.bucket(key, "x").alias("b")).collect())
